@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlume.llm import decontam
+from kvlume.llm import decontam, license_scan, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,3 +50,34 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = F.col("pii")["spans"]
+
+    def joined(s):
+        return F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter(spans, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    base = F.filter(spans, lambda x: x["kind"].isin(*pii.BASE_KINDS))
+    return pii.scan(docs).select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    r = F.col("licence")
+    return license_scan.scan(docs).select(
+        "doc_id",
+        r["n_words"].alias("n_words"),
+        F.size(r["base_words"]).cast("long").alias("n_base"),
+        F.get(r["base_words"], F.lit(0)).alias("first_word"),
+        F.when(F.size(r["base_words"]) > 0, F.element_at(r["base_words"], -1)).alias("last_word"),
+        F.array_join(r["base_labels"], ",").alias("base_labels"),
+        F.array_join(r["labels"], ",").alias("labels"),
+        r["score"].alias("score"),
+        r["spans"].alias("spans"),
+    )
+
+
+QUERIES |= {"op8_pii": op8_pii, "op2_license_scan": op2_license_scan}
