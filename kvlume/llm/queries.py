@@ -59,7 +59,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(s):
         return F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter(spans, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    def count(kind):
+        return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.BASE_KINDS]
     base = F.filter(spans, lambda x: x["kind"].isin(*pii.BASE_KINDS))
     return pii.scan(docs).select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
 
