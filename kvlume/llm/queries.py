@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlume.llm import decontam, license_scan, pii
+from kvlume.llm import decontam, license_scan, packing, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,3 +84,19 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op8_pii": op8_pii, "op2_license_scan": op2_license_scan}
+
+
+def byte_bpe() -> dict:
+    """Where the public byte-level vocabulary lies, as parameters of ``packing``."""
+    import public_tokenizers
+
+    return {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, **byte_bpe())
+    return packed.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES |= {"op10_packing": op10_packing}
