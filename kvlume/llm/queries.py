@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlume.llm import decontam, license_scan, packing, pii
+from kvlume.llm import decontam, lang_id, license_scan, packing, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,3 +100,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op10_packing": op10_packing}
+
+
+def crc_mod(column: str, n: int):
+    """crc32 of an id's text, modulo n; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1))
+
+
+def language_model_of(docs: DataFrame) -> lang_id.Model:
+    learn = docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", 4) != 2))
+    return lang_id.train(learn, order_by=F.col("doc_id"))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_model_of(docs.select("doc_id", "text", "lang"))
+    found = F.col("language")
+    return lang_id.predict(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), found["lang"].alias("lang_pred"), found["score"].alias("score"), found["bits"].alias("bits"), found["n_bytes"].alias("n_bytes"))
+
+
+QUERIES |= {"op1_language_id": op1_language_id}
