@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlume.llm import decontam, lang_id, license_scan, lm_score, packing, pii
+from kvlume.llm import decontam, lang_id, license_scan, lm_score, packing, pii, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,3 +129,11 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_lm_score": op6_lm_score}
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES |= {"op3_simhash": op3_simhash}
