@@ -13,11 +13,13 @@ before it, so no task ever holds all pieces of a common length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,11 +44,9 @@ class Tokens:
     """
 
     def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        self.fast = None
+        self.path, self._slow, self.fast = path, None, None
+        with open(path) as file:
+            self.special = [t["content"] for t in json.load(file).get("added_tokens", ())]
         if ranks_path:
             import base64
 
@@ -56,9 +56,17 @@ class Tokens:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def slow(self):
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and _latin(text) and not any(s in text for s in self.special):
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+            return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
 
@@ -80,7 +88,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None,
         task = TaskContext.get().partitionId()
         seen = np.zeros(max_tokens + 1, np.int64)
         for batch in batches:
-            lengths = np.array([len(t) if t else 0 for t in batch.column(1).to_pylist()], np.int64)
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             for part in chunks(batch, lengths):
                 row, out, ids_out = [], [], []
                 for r, text in enumerate(part.column(1).to_pylist()):
@@ -119,11 +127,12 @@ def exact_patterns(lengths: np.ndarray, total: int) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
-def fit(histogram: np.ndarray, patterns: np.ndarray, steps: int = 20_000, least: float = 0.5) -> np.ndarray:
+def fit(histogram: np.ndarray, patterns: np.ndarray, steps: int = 5_000, least: float = 0.5) -> np.ndarray:
     """Repeat counts x >= 0 of the patterns that minimise |A x - histogram|^2, by
     coordinate descent: each step takes the coordinate that lowers the error
     most to its own optimum. It stops when no step would change a count by
-    ``least``, which rounding would lose."""
+    ``least``, which rounding would lose, or after ``steps``; what is not fitted
+    then is packed with the residuals."""
     x = np.zeros(len(patterns))
     if not len(patterns):
         return x
@@ -137,12 +146,15 @@ def fit(histogram: np.ndarray, patterns: np.ndarray, steps: int = 20_000, least:
     pair, often = np.unique(patterns.ravel() * len(patterns) + np.repeat(np.arange(len(patterns)), 3), return_counts=True)
     users = pair % len(patterns)
     where = np.searchsorted(pair // len(patterns), np.arange(len(histogram) + 1))
+
+    def gains(at):
+        step = grad[at] / norm[at]
+        return np.where(step < 0, np.minimum(-step, x[at]), step) ** 2 * norm[at]
+
+    gain = gains(slice(None))
     for _ in range(steps):
-        step = grad / norm
-        gain = np.where(step < 0, np.minimum(-step, x), step)
-        gain = gain * gain * norm
         j = int(np.argmax(gain))
-        d = max(step[j], -x[j])
+        d = max(grad[j] / norm[j], -x[j])
         if abs(d) < least:
             break
         x[j] += d
@@ -151,6 +163,10 @@ def fit(histogram: np.ndarray, patterns: np.ndarray, steps: int = 20_000, least:
                 residual[length] -= d
                 own = slice(where[length], where[length + 1])
                 grad[users[own]] -= d * often[own]
+        for length in patterns[j]:
+            if length:
+                own = users[where[length] : where[length + 1]]
+                gain[own] = gains(own)
     return x
 
 
