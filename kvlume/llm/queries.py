@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlume.llm import decontam, lang_id, license_scan, lm_score, packing, pii, simhash, store, warc
+from kvlume.llm import decontam, lang_id, license_scan, lm_score, packing, pii, simhash, store, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,3 +158,18 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN first < page_id THEN first END AS refers_to
 FROM f
 """
+
+
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain | None:
+    bad, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    categories = {"low_quality": bad, "toxic": toxic, "toxic_and_low": bad & toxic}
+    return toxicity.train(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), categories)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    p = F.col("toxicity")
+    return toxicity.predict(docs, toxicity_chain(spark, sf_dir)).select("doc_id", (p["toxic"] >= 0.5).alias("toxic"), p["toxic"].alias("score"), p["low_quality"].alias("p_low_quality"), p["toxic_and_low"].alias("p_toxic_and_low"))
+
+
+QUERIES |= {"op4_toxicity": op4_toxicity}
