@@ -1,24 +1,57 @@
-"""Corpus preparation: the stages, each applied to all that the one before kept."""
+"""Corpus preparation: the stages, each applied to all that the one before kept.
+
+A stage's result is written as Parquet and read again as the next one's input,
+so a lost executor costs no more than the stage at hand.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvlume.llm import decontam
+from kvlume.llm import decontam, lang_id, packing, pii, simhash, store
+from kvlume.llm.queries import byte_bpe, language_model_of
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; those without letters or a clear
+    language go."""
+    return lang_id.reject(docs, language_model_of(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies."""
+    return simhash.deduplicate(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which windows of at most one benchmark item occur."""
     return decontam.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("benchmark decontamination", decontaminate)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece with its place in a sequence of 2048 tokens."""
+    return packing.pack(docs, **byte_bpe())
+
+
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("PII", personal_data),
+    ("best-fit packing", pack),
+]
+#: SQL can't express language models, XXH64 or byte-pair encoding; the tests
+#: compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; each result is written and read again."""
-    from kvlume.llm import store
-
+    """The stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         path = store.scratch(spark, f"pipeline-{k}")

@@ -124,6 +124,18 @@ def links(fps: DataFrame, fp: str = "fp", radius: int = RADIUS, small: int = SMA
     return small_links.unionByName(large_links).distinct()
 
 
+def _own(docs: DataFrame, text_col: str, id_col: str, **kw) -> DataFrame:
+    name = column_name(docs.select(id_col, text_col), "simhash")
+    return fingerprints(docs.select(F.col(id_col), F.col(text_col)), text_col, name, **kw).select(F.col(id_col).alias("id"), F.col(name)["fp"].alias("fp"))
+
+
+def _classes(own: DataFrame) -> DataFrame:
+    """Each fingerprint with its least id and the root of its component."""
+    classes = own.groupBy("fp").agg(F.min("id").alias("least"))
+    found = components(links(classes))
+    return classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **kw) -> DataFrame:
     """A row per document: id, ``fp`` and ``component_id``, the smallest id of the
     documents that links reach from it, itself included.
@@ -131,11 +143,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     Null ids do not count as smallest; texts without words are linked like any
     others, by fingerprint 0. Repeated rows give repeated results.
     """
-    name = column_name(docs, "simhash")
-    own = cut(fingerprints(docs.select(F.col(id_col), F.col(text_col)), text_col, name, **kw).select(F.col(id_col).alias("id"), F.col(name)["fp"].alias("fp")))
-    classes = own.groupBy("fp").agg(F.min("id").alias("least"))
-    found = components(links(classes))
-    grouped = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    own = cut(_own(docs, text_col, id_col, **kw))
+    grouped = _classes(own)
     roots = grouped.where(F.col("root") != F.col("fp")).select("root").distinct()
     linked = grouped.join(roots, "root", "left_semi")
     smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"))
@@ -143,5 +152,25 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return own.join(class_of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **kw) -> DataFrame:
+    """One document of each component: the one with the smallest id (null ids
+    come last). Of rows that repeat that id with one fingerprint, one stays."""
+    docs = as_string(docs, text_col)
+    own = cut(_own(docs, text_col, id_col, **kw))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp"))
+    stay = _classes(own).groupBy("root").agg(first.alias("s")).select(F.col("s.least").alias("_id"), F.col("s.fp").alias("_fp"))
+    copies = own.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    stay = cut(stay.join(copies, stay["_id"].eqNullSafe(copies["id"]) & (stay["_fp"] == copies["fp"]), "left").select("_id", "_fp", F.coalesce("n", F.lit(1)).alias("_n")))
+    name = column_name(docs, "simhash")
+    marked = fingerprints(docs, text_col, name, **kw)
+    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(name)["fp"] == F.col("_fp")))
+    single = kept.where(F.col("_n") == 1).select(*[F.col(c) for c in docs.columns])
+    if stay.where(F.col("_n") > 1).isEmpty():
+        return single
+    repeated = kept.where(F.col("_n") > 1)
+    one = repeated.groupBy("_id", "_fp").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(text_col)).alias("row"))
+    return single.unionByName(one.select("row.*"))
+
+
 def hex16(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
