@@ -278,7 +278,7 @@ def n_hit(leak):
     return F.aggregate(signed, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, text_col: str = "text", **kw) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, text_col: str = "text", **kw) -> DataFrame:
     """The documents in which windows of fewer than ``min_items`` items occur."""
     name = column_name(docs, "leak")
     return scan(docs, benchmark, text_col=text_col, name=name, **kw).where(F.size(F.col(name)["items"]) < min_items).select(*docs.columns)
