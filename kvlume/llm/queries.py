@@ -168,8 +168,9 @@ def toxicity_chain(spark: SparkSession, sf_dir: str) -> toxicity.Chain | None:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity_chain(spark, sf_dir)
     p = F.col("toxicity")
-    return toxicity.predict(docs, toxicity_chain(spark, sf_dir)).select("doc_id", (p["toxic"] >= 0.5).alias("toxic"), p["toxic"].alias("score"), p["low_quality"].alias("p_low_quality"), p["toxic_and_low"].alias("p_toxic_and_low"))
+    return toxicity.predict(docs, chain, categories=("low_quality", "toxic", "toxic_and_low")).select("doc_id", (p["toxic"] >= (chain.thresholds["toxic"] if chain else 0.5)).alias("toxic"), p["toxic"].alias("score"), p["low_quality"].alias("p_low_quality"), p["toxic_and_low"].alias("p_toxic_and_low"))
 
 
 QUERIES |= {"op4_toxicity": op4_toxicity}

@@ -15,15 +15,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvlume.llm.arrow import Words, add_result, as_string, column_name
+from kvlume.llm.arrow import Words, add_result, as_string, chunks
 from kvlume.llm.lang_id import LETTERS
 
 #: Labelled rows to learn from, at most, and bytes of such a row's text.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 8_000
 SAMPLE_ROW_BYTES = 40_000
 HASH_BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)
@@ -94,17 +95,27 @@ class Rows:
     def __init__(self, n: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray):
         self.n, self.row, self.feature, self.value = n, row, feature, value
 
+    @classmethod
+    def of(cls, texts: pa.Table, column: str) -> Rows:
+        """Of many texts, chunk by chunk and in narrow types."""
+        parts, n = [], 0
+        for batch in texts.select([column]).to_batches():
+            for part in chunks(batch, pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)):
+                row, feature, tokens = text_features(Words(part.column(0), LETTERS))
+                parts.append(((row + n).astype(np.int32), feature.astype(np.int32), np.log1p(tokens).astype(np.float32)))
+                n += part.num_rows
+        return cls(n, *[np.concatenate(c) for c in zip(*parts, strict=True)])
+
 
 class Linear:
     """Logistic regression on chosen features and some dense columns."""
 
     def __init__(self, x: Rows, dense: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = 300, l2: float = 1e-3):
         size = 1 << HASH_BITS
-        own = use[x.row]
-        row, feature, value, pos = x.row[own], x.feature[own], x.value[own], y[x.row[own]]
+        own, pos = use[x.row], y[x.row]
         n1, n0 = max(1, y[use].sum()), max(1, (~y[use]).sum())
-        c1 = np.bincount(feature[pos], minlength=size)
-        c0 = np.bincount(feature[~pos], minlength=size)
+        c1 = np.bincount(x.feature[own & pos], minlength=size)
+        c0 = np.bincount(x.feature[own & ~pos], minlength=size)
         p = (c1 + c0) / (n1 + n0)
         with np.errstate(divide="ignore", invalid="ignore"):
             z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
@@ -113,9 +124,9 @@ class Linear:
         self.features = self.features[z[self.features] >= MIN_Z]
         slot = np.full(size, -1)
         slot[self.features] = np.arange(len(self.features))
-        at = slot[feature] >= 0
+        at = np.flatnonzero(own & (slot >= 0)[x.feature])
         renumber = np.cumsum(use) - 1
-        row, col, value = renumber[row[at]], slot[feature[at]], value[at]
+        row, col, value = renumber[x.row[at]], slot[x.feature[at]], x.value[at].astype(float)
         d, t = dense[use], y[use].astype(float)
         n, k = len(t), len(self.features)
         w, b, v = np.zeros(k), np.log(n1 / n0), np.zeros(d.shape[1])
@@ -139,12 +150,28 @@ class Linear:
         return np.bincount(x.row, x.value * table[x.feature], minlength=x.n)[: x.n] + dense @ self.v + self.b
 
 
+def best_threshold(logit: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the gap between neighbouring predictions that splits best."""
+    if not y.any() or y.all():
+        return 0.5
+    order = np.argsort(-logit, kind="stable")
+    hit, s = np.cumsum(y[order]), logit[order]
+    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    f1[:-1][s[:-1] == s[1:]] = 0
+    k = int(np.argmax(f1))
+    cut = (s[k] + s[min(k + 1, len(s) - 1)]) / 2
+    return float(1 / (1 + np.exp(-cut)))
+
+
 class Chain:
     """A classifier chain over named categories."""
 
     def __init__(self, x: Rows, labels: dict[str, np.ndarray], fold: np.ndarray, folds: int = FOLDS):
         self.names = list(labels)
         self.models: list[Linear] = []
+        #: Probabilities from which a category counts as present: those that gave
+        #: the best F1 on the out-of-fold predictions.
+        self.thresholds: dict[str, float] = {}
         earlier = np.zeros((x.n, 0))
         every = np.ones(x.n, bool)
         for name in self.names:
@@ -155,6 +182,7 @@ class Chain:
                 out = fold == k
                 if out.any() and not out.all():
                     held[out] = Linear(x, earlier, y, ~out).logit(x, earlier)[out]
+            self.thresholds[name] = best_threshold(held, y)
             earlier = np.column_stack([earlier, np.clip(held, -15, 15)])
 
     @property
@@ -184,17 +212,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict, id_col: str = "d
     sample = texts.join(F.broadcast(some), "_id").drop("_id").limit(3 * rows).toArrow()
     if not sample.num_rows:
         return None
-    w = Words(sample["_text"].combine_chunks(), LETTERS)
-    row, feature, tokens = text_features(w)
+    x = Rows.of(sample, "_text")
     y = {name: np.array(sample[f"_c{i}"].to_pylist(), bool) for i, name in enumerate(categories)}
-    return Chain(Rows(sample.num_rows, row, feature, np.log1p(tokens)), y, np.array(sample["_h"].to_numpy()) % FOLDS)
+    return Chain(x, y, np.array(sample["_h"].to_numpy()) % FOLDS)
 
 
-def predict(docs: DataFrame, chain: Chain | None, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+def predict(docs: DataFrame, chain: Chain | None, text_col: str = "text", name: str = "toxicity", categories: tuple[str, ...] = ("toxic",)) -> DataFrame:
     """``docs`` with a struct column ``name``: a probability for each category.
 
-    Null and empty texts have probability 0 everywhere, and so have all texts
-    under no chain. Rows are judged one by one, so copies get equal results; an
+    Null and empty texts have probability 0 everywhere, and so have all texts in
+    ``categories`` where nothing was learned (no chain). Rows are judged one by one, so copies get equal results; an
     empty table gives an empty result.
     """
     docs = as_string(docs, text_col)
@@ -216,5 +243,5 @@ def predict(docs: DataFrame, chain: Chain | None, text_col: str = "text", name:
         return one
 
     if not names:
-        return docs.withColumn(column_name(docs, name), F.lit(None).cast("struct<none:double>"))
+        return docs.withColumn(name, F.struct(*[F.lit(0.0).alias(c) for c in categories]))
     return add_result(docs, text_col, start, T.StructType([T.StructField(n, T.DoubleType()) for n in names]), name)
