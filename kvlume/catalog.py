@@ -1,6 +1,790 @@
-"""Queries by name, and the DuckDB SQL that must give the same rows."""
+"""Queries by name over the driver's tables, and the DuckDB SQL that must give
+the same rows.  Doubles are rounded in both."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kvlume.functions import linalg, resp
+from kvlume.operators import bloom, compaction, loadstats, model, policy, quorum, residency, versions
+from kvlume.plans import commands, metrics
+from kvlume.schemas import SEGMENTS, segment_capacity
+from kvlume.sources import tables
+from kvlume.sources.tables import kv_log, table
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+#: A threshold that gives several memtables at the small scales.
+SMALL_FLUSH = 40_000
+CAPACITY = 16
+TRAFFIC = 100_000
+ROUND = 6
+
+KV = """kv AS (
+  SELECT event_id AS seq, ts, 'user:' || user_id AS key,
+    CASE WHEN event_type IN ('signup', 'purchase') THEN 'PUT' WHEN event_type = 'error' THEN 'DEL' ELSE 'GET' END AS op, value,
+    CAST(CAST('0x' || substr(md5('user:' || user_id), 1, 8) AS BIGINT) % 32 AS INT) AS segment
+  FROM events
+), w AS (SELECT * FROM kv WHERE op <> 'GET'),
+latest AS (SELECT key, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(value, seq) AS value, any_value(segment) AS segment FROM w GROUP BY key HAVING arg_max(op, seq) = 'PUT'),
+ep AS (
+  SELECT *, CAST(floor((sum(length(key) + CASE WHEN op = 'PUT' THEN 8 ELSE 0 END + 32) OVER (ORDER BY seq) - (length(key) + CASE WHEN op = 'PUT' THEN 8 ELSE 0 END + 32)) / 40000) AS BIGINT) AS epoch FROM w
+), runs AS (
+  SELECT 0 AS level, epoch AS sst_id, key, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM ep GROUP BY epoch, key
+)"""
+ACCESS = """acc AS (
+  SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS seq, 'part:' || l_partkey AS key,
+    CAST(CAST('0x' || substr(md5('part:' || l_partkey), 1, 8) AS BIGINT) % 32 AS INT) AS segment
+  FROM lineitem
+), la AS (SELECT segment, key, max(seq) AS last_access_seq FROM acc GROUP BY segment, key),
+rec AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY last_access_seq DESC) AS recency FROM la)"""
+TRAF = """tr AS (
+  SELECT range AS kn, CASE WHEN range % 7 <= 2 THEN 'SET' ELSE 'GET' END AS op,
+    CASE WHEN range % 100 < 10 THEN 'hot4_' || (range % 5000) WHEN range % 100 < 20 THEN 'hot5_' || (range % 5000) ELSE 'k' || (range % 50000) END AS key,
+    CAST(CASE WHEN range % 100 < 10 THEN 4 WHEN range % 100 < 20 THEN 5 ELSE range % 32 END AS INT) AS shard
+  FROM range(100000)
+), cnt AS (SELECT CAST(s.range AS INT) AS shard, count(kn) AS ops FROM range(32) s LEFT JOIN tr ON tr.shard = s.range GROUP BY 1)"""
+RAFT = """rl AS (
+  SELECT n.range AS node_id, (o_orderkey // 1000) + 1 + CASE WHEN n.range = 3 AND (o_orderkey + 1) * 10 > m * 9 THEN 100 ELSE 0 END AS term, o_orderkey + 1 AS index,
+    CASE WHEN o_orderstatus = 'F' THEN 'DEL cust:' || o_custkey ELSE 'PUT cust:' || o_custkey || ' ' || o_orderpriority END AS command
+  FROM orders, range(5) n, (SELECT max(o_orderkey) + 1 AS m FROM orders)
+  WHERE n.range <> 4 OR (o_orderkey + 1) * 10 <= m * 6
+)"""
+
+
+def query(name: str, sql: str | None = None, *ctes: str):
+    """Registers a query and its SQL, which may use the named CTEs and, where it
+    starts with a comma, adds more."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = f"WITH {', '.join(ctes)}{'' if sql.startswith(',') else ' '}{sql}" if ctes else sql
+        return f
+
+    return add
+
+
+# --- versions -----------------------------------------------------------------
+
+
+@query("kv_latest", "SELECT key, seq, value FROM latest", KV)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return versions.latest(kv_log(spark, d)).select("key", "seq", "value")
+
+
+@query("kv_as_of", "SELECT key, max(seq) AS seq, arg_max(value, seq) AS value FROM w WHERE seq <= 4999 GROUP BY key HAVING arg_max(op, seq) = 'PUT'", KV)
+def _(spark, d):
+    return versions.as_of(kv_log(spark, d), 4999).select("key", "seq", "value")
+
+
+@query("kv_versions", "SELECT key, seq, op, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS version FROM w", KV)
+def _(spark, d):
+    return versions.versions(kv_log(spark, d)).select("key", "seq", "op", "version")
+
+
+@query("kv_ordered_scan", "SELECT key, seq, op, value FROM w ORDER BY key, seq DESC", KV)
+def _(spark, d):
+    return versions.scan(kv_log(spark, d)).select("key", "seq", "op", "value")
+
+
+@query("kv_deleted_keys", "SELECT key, max(seq) AS seq FROM w GROUP BY key HAVING arg_max(op, seq) = 'DEL'", KV)
+def _(spark, d):
+    return versions.deleted(kv_log(spark, d)).select("key", "seq")
+
+
+@query("wal_recover", "SELECT count(*) AS replayed, max(seq) + 1 AS next_seq FROM w", KV)
+def _(spark, d):
+    return versions.next_sequence(versions.writes(kv_log(spark, d)))
+
+
+@query("point_lookup", "SELECT c_custkey, key, value, value IS NOT NULL AS found FROM customer LEFT JOIN latest ON key = 'user:' || c_custkey", KV)
+def _(spark, d):
+    """All customers looked up as users at once: a join, whatever the keys."""
+    keys = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("user:"), F.col("c_custkey")).alias("_k"))
+    live = versions.latest(kv_log(spark, d)).select("key", "value")
+    return keys.join(live, F.col("_k") == F.col("key"), "left").select("c_custkey", "key", "value", F.col("value").isNotNull().alias("found"))
+
+
+@query("sst_all_keys", "SELECT DISTINCT key FROM runs", KV)
+def _(spark, d):
+    return compaction.flush(compaction.epochs(kv_log(spark, d), SMALL_FLUSH)).select("key").distinct()
+
+
+@query("store_upsert", "SELECT key, coalesce(u.v, b.v) AS value FROM (SELECT 'c' || c_custkey AS key, c_mktsegment AS v FROM customer) b FULL JOIN (SELECT 'c' || o_custkey AS key, arg_max(o_orderpriority, o_orderkey) AS v FROM orders GROUP BY 1) u USING (key)")
+def _(spark, d):
+    base = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("key"), F.col("c_mktsegment").alias("value"))
+    batch = table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("key"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("seq"))
+    return versions.upsert(base, batch)
+
+
+@query("store_remove", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def _(spark, d):
+    return versions.remove(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("store_size", "SELECT count(*) AS keys FROM latest", KV)
+def _(spark, d):
+    return versions.latest(kv_log(spark, d)).agg(F.count(F.lit(1)).alias("keys"))
+
+
+# --- memtables, runs, compaction ----------------------------------------------
+
+
+def _epochs(spark, d):
+    return compaction.epochs(kv_log(spark, d), SMALL_FLUSH)
+
+
+@query("flush_epochs", "SELECT seq, key, op, epoch FROM ep", KV)
+def _(spark, d):
+    return _epochs(spark, d).select("seq", "key", "op", "epoch")
+
+
+@query("memtable_stats", "SELECT epoch, CAST(sum(length(key) + CASE WHEN op = 'PUT' THEN 8 ELSE 0 END + 32) AS BIGINT) AS approximate_size, count(*) AS entry_count, sum(length(key) + CASE WHEN op = 'PUT' THEN 8 ELSE 0 END + 32) >= 40000 AS should_flush FROM ep GROUP BY epoch", KV)
+def _(spark, d):
+    return compaction.memtables(kv_log(spark, d), SMALL_FLUSH)
+
+
+@query("flush_runs", "SELECT level, sst_id, key, seq, op, value FROM runs", KV)
+def _(spark, d):
+    return compaction.flush(_epochs(spark, d)).select("level", "sst_id", "key", "seq", "op", "value")
+
+
+@query("compact_merge", "SELECT 1 AS level, CAST(100 AS BIGINT) AS sst_id, key, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM runs GROUP BY key", KV)
+def _(spark, d):
+    return compaction.compact(compaction.flush(_epochs(spark, d)), 100)
+
+
+@query("compact_last_level", "SELECT 3 AS level, CAST(100 AS BIGINT) AS sst_id, key, max(seq) AS seq, 'PUT' AS op, arg_max(value, seq) AS value FROM runs GROUP BY key HAVING arg_max(op, seq) = 'PUT'", KV)
+def _(spark, d):
+    return compaction.compact(compaction.flush(_epochs(spark, d)), 100, into=3, last_level=True)
+
+
+@query("compaction_due", "SELECT count(DISTINCT sst_id) AS level0_runs, count(DISTINCT sst_id) >= 2 AS compact FROM runs", KV)
+def _(spark, d):
+    return compaction.needs_compaction(compaction.flush(_epochs(spark, d)))
+
+
+@query("level_counts", "SELECT level, count(*) AS runs, CAST(sum(n) AS BIGINT) AS entries FROM (SELECT CASE WHEN sst_id % 2 = 0 THEN 0 ELSE 1 END AS level, sst_id, count(*) AS n FROM runs GROUP BY 1, 2) GROUP BY ROLLUP (level)", KV)
+def _(spark, d):
+    runs = compaction.flush(_epochs(spark, d)).withColumn("level", F.when(F.col("sst_id") % 2 == 0, 0).otherwise(1))
+    return compaction.level_counts(runs)
+
+
+@query(
+    "tiered_lookup",
+    """, t AS (SELECT CASE WHEN epoch = (SELECT max(epoch) FROM ep) THEN 0 WHEN epoch = (SELECT max(epoch) - 1 FROM ep) THEN 1 ELSE 2 END AS priority, epoch AS sst_id, seq, key, op, value FROM ep),
+  r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY priority, sst_id DESC, seq DESC) AS n FROM t)
+SELECT key, priority, op, value, seq FROM r WHERE n = 1 AND op = 'PUT'""",
+    KV,
+)
+def _(spark, d):
+    ep = _epochs(spark, d)
+    top = ep.agg(F.max("epoch").alias("_top"))
+    priority = F.when(F.col("epoch") == F.col("_top"), 0).when(F.col("epoch") == F.col("_top") - 1, 1).otherwise(2)
+    return versions.tiered(ep.join(F.broadcast(top)).select(priority.alias("priority"), F.col("epoch").alias("sst_id"), "seq", "key", "op", "value"))
+
+
+@query("wal_frame_bytes", "SELECT op, count(*) AS frames, CAST(sum(length(key) + CASE WHEN op = 'PUT' THEN 8 ELSE 0 END + 25) AS BIGINT) AS bytes FROM w GROUP BY op", KV)
+def _(spark, d):
+    return versions.writes(kv_log(spark, d)).groupBy("op").agg(F.count(F.lit(1)).alias("frames"), F.sum(compaction.frame_bytes()).alias("bytes"))
+
+
+# --- residency ----------------------------------------------------------------
+
+
+@query("segment_sizes", "SELECT CAST(range AS INT) AS segment, count(key) AS keys FROM range(32) LEFT JOIN latest ON segment = range GROUP BY 1", KV)
+def _(spark, d):
+    return residency.segment_sizes(spark, versions.latest(kv_log(spark, d)))
+
+
+@query("segment_total", "SELECT segment, count(*) AS keys FROM latest GROUP BY ROLLUP (segment)", KV)
+def _(spark, d):
+    return versions.latest(kv_log(spark, d)).rollup("segment").agg(F.count(F.lit(1)).alias("keys"))
+
+
+@query("segment_capacity_split", "SELECT s_suppkey AS total, CAST(greatest(1, s_suppkey // 32) AS BIGINT) AS per_segment FROM supplier")
+def _(spark, d):
+    assert segment_capacity(100) == 3
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("total"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("s_suppkey") / SEGMENTS)).alias("per_segment"))
+
+
+@query("lru_resident", "SELECT segment, key, last_access_seq, recency FROM rec WHERE recency <= 16", ACCESS)
+def _(spark, d):
+    return residency.resident(tables.access_log(spark, d), CAPACITY)
+
+
+@query("lru_eviction_order", "SELECT segment, key, last_access_seq, row_number() OVER (PARTITION BY segment ORDER BY last_access_seq) AS evict FROM rec WHERE recency <= 16", ACCESS)
+def _(spark, d):
+    return residency.eviction_order(tables.access_log(spark, d), CAPACITY)
+
+
+@query("lru_recency_rank", "SELECT segment, key, last_access_seq, recency FROM rec", ACCESS)
+def _(spark, d):
+    return residency.recency(tables.access_log(spark, d))
+
+
+@query("lru_ends", "SELECT segment, arg_max(key, last_access_seq) AS mru, arg_min(key, last_access_seq) AS lru, count(*) AS keys FROM la GROUP BY segment", ACCESS)
+def _(spark, d):
+    return residency.ends(tables.access_log(spark, d))
+
+
+@query(
+    "lru_hits",
+    """, p AS (SELECT *, lag(seq) OVER (PARTITION BY segment, key ORDER BY seq) AS prev FROM acc)
+SELECT x.seq, x.segment, x.key, x.prev IS NOT NULL AND (SELECT count(*) FROM p y WHERE y.segment = x.segment AND y.seq > x.prev AND y.seq < x.seq AND (y.prev IS NULL OR y.prev <= x.prev)) < 16 AS hit FROM p x""",
+    ACCESS,
+)
+def _(spark, d):
+    return residency.hits(tables.access_log(spark, d), CAPACITY)
+
+
+@query("lru_fold_with_deletes")
+def _(spark, d):
+    return residency.fold(kv_log(spark, d), 2)
+
+
+@query("exists_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def _(spark, d):
+    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+
+
+# --- read and write policies ----------------------------------------------------
+
+
+@query(
+    "cache_aside_lookup",
+    """, c AS (SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY seq DESC) AS r FROM latest) WHERE r <= 2)
+SELECT g.seq, g.key, coalesce(c.value, l.value) AS value, c.key IS NOT NULL AS hit, l.key IS NOT NULL AS found, c.key IS NULL AND l.key IS NOT NULL AS admit
+FROM (SELECT seq, key FROM kv WHERE op = 'GET') g LEFT JOIN c USING (key) LEFT JOIN latest l USING (key)""",
+    KV,
+)
+def _(spark, d):
+    log = kv_log(spark, d)
+    return policy.lookup(log.where(F.col("op") == "GET"), policy.cached(log, 2), versions.latest(log))
+
+
+@query(
+    "cache_stats",
+    """, c AS (SELECT key FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY seq DESC) AS r FROM latest) WHERE r <= 2)
+SELECT count(*) FILTER (op = 'GET' AND key IN (SELECT key FROM c)) AS cache_hits, count(*) FILTER (op = 'GET' AND key NOT IN (SELECT key FROM c)) AS cache_misses,
+  count(*) FILTER (op = 'PUT') AS write_through_ops, CAST(0 AS BIGINT) AS write_back_ops FROM kv""",
+    KV,
+)
+def _(spark, d):
+    log = kv_log(spark, d)
+    answered = policy.lookup(log.where(F.col("op") == "GET"), policy.cached(log, 2), versions.latest(log))
+    return policy.counters(log, answered)
+
+
+@query("op_stats", "SELECT op, count(*) AS n, count(DISTINCT key) AS keys FROM kv GROUP BY op", KV)
+def _(spark, d):
+    return kv_log(spark, d).groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
+
+
+@query("dirty_entries", "SELECT segment, key, seq, value FROM latest WHERE seq > 7000", KV)
+def _(spark, d):
+    return policy.dirty_newest_first(kv_log(spark, d), 7000).select("segment", "key", "seq", "value")
+
+
+@query(
+    "clear_dirty",
+    """, f AS (SELECT key, max(seq) AS s FROM w WHERE seq <= 9000 GROUP BY key HAVING arg_max(op, seq) = 'PUT')
+SELECT latest.key, seq, coalesce(s <> seq, true) AS dirty FROM latest LEFT JOIN f USING (key)""",
+    KV,
+)
+def _(spark, d):
+    """A flush of what was there at 9000; later values stay dirty."""
+    log = kv_log(spark, d)
+    state = versions.latest(log).select("key", "seq", F.lit(True).alias("dirty"))
+    return policy.clear_dirty(state, versions.as_of(log, 9000).select("key", "seq"))
+
+
+@query("dirty_batches", "SELECT key, seq, (row_number() OVER (ORDER BY seq) - 1) // 25 AS batch FROM latest", KV)
+def _(spark, d):
+    return policy.batches(versions.latest(kv_log(spark, d)).select("key", "seq"), 25)
+
+
+@query("write_back_backend", "SELECT key, max(seq) AS seq, arg_max(value, seq) AS value FROM w WHERE seq <= 7000 OR op = 'DEL' GROUP BY key HAVING arg_max(op, seq) = 'PUT'", KV)
+def _(spark, d):
+    return policy.backend_state(kv_log(spark, d), "write-back", 7000).select("key", "seq", "value")
+
+
+@query("flush_all_backend", "SELECT key, value FROM latest", KV)
+def _(spark, d):
+    """A flush of a write-back cache brings the backend up to the newest values.
+    Deletes had reached it before."""
+    log = kv_log(spark, d)
+    cache = policy.dirty(log, 7000).withColumn("dirty", F.lit(True))
+    return policy.flush_all(policy.backend_state(log, "write-back", 7000), cache)[0]
+
+
+# --- bloom ----------------------------------------------------------------------
+
+_BITS, _HASHES = 16_384, 6
+BLOOM = """pos AS (
+  SELECT 'cust:' || c_custkey AS key, c_custkey, c_custkey % 2 = 0 AS member, (CAST('0x' || substr(md5('cust:' || c_custkey), 1, 8) AS BIGINT) + i.range * CAST('0x' || substr(md5('cust:' || c_custkey), 9, 8) AS BIGINT)) % 16384 AS pos FROM customer, range(6) i
+)"""
+
+
+def _cust(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.concat(F.lit("cust:"), F.col("c_custkey")).alias("key"))
+
+
+@query("bloom_bits", "SELECT DISTINCT pos FROM pos WHERE member", BLOOM)
+def _(spark, d):
+    return bloom.build(_cust(spark, d).where(F.col("c_custkey") % 2 == 0), _BITS, _HASHES)
+
+
+@query("bloom_probe", "SELECT key, bool_and(pos IN (SELECT pos FROM pos WHERE member)) AS maybe FROM pos GROUP BY key", BLOOM)
+def _(spark, d):
+    keys = _cust(spark, d)
+    return bloom.may_contain(keys, bloom.build(keys.where(F.col("c_custkey") % 2 == 0), _BITS, _HASHES), _BITS, _HASHES)
+
+
+@query("bloom_sizing", "SELECT s_suppkey AS keys, CAST((greatest(64, s_suppkey * 10) + 7) // 8 * 8 AS BIGINT) AS bits FROM supplier")
+def _(spark, d):
+    assert bloom.sizing(100) == (1000, 6)
+    bits = F.greatest(F.lit(64).cast("long"), F.col("s_suppkey") * 10)
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("keys"), (F.floor((bits + 7) / 8) * 8).alias("bits"))
+
+
+# --- load -----------------------------------------------------------------------
+
+
+@query("traffic_mix", "SELECT op, count(*) AS n, count(DISTINCT key) AS keys FROM tr GROUP BY op", TRAF)
+def _(spark, d):
+    return tables.traffic(spark, TRAFFIC).groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
+
+
+@query("node_requests", "SELECT CAST(shard * 5 // 32 AS INT) AS node, count(*) AS requests FROM tr GROUP BY 1", TRAF)
+def _(spark, d):
+    return tables.traffic(spark, TRAFFIC).groupBy("node").agg(F.count(F.lit(1)).alias("requests"))
+
+
+@query("shard_ops", "SELECT shard, ops FROM cnt", TRAF)
+def _(spark, d):
+    return loadstats.shard_ops(spark, tables.traffic(spark, TRAFFIC))
+
+
+@query("hot_shards", "SELECT shard, ops FROM cnt WHERE ops > (SELECT sum(ops) / 32 FROM cnt) * 2.5", TRAF)
+def _(spark, d):
+    return loadstats.hot_shards(loadstats.shard_ops(spark, tables.traffic(spark, TRAFFIC)), 2.5).select("shard", "ops")
+
+
+@query(
+    "burst_windows",
+    """, x AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // 500 AS win FROM kv), c AS (SELECT win, segment, count(*) AS n, sum(count(*)) OVER (PARTITION BY win) AS total FROM x GROUP BY win, segment)
+SELECT win AS window, CAST(total AS BIGINT) AS total, count(*) FILTER (n > total / 32 * 2.5) AS hot, total > 50 AND count(*) FILTER (n > total / 32 * 2.5) >= 2 AS burst, total > 50 AND count(*) FILTER (n > total / 32 * 2.5) >= 4 AS heat_stroke FROM c GROUP BY win, total""",
+    KV,
+)
+def _(spark, d):
+    return loadstats.bursts(kv_log(spark, d).withColumnRenamed("segment", "shard"), "seq", 500)
+
+
+@query("burst_reports")
+def _(spark, d):
+    return loadstats.with_cooldown(loadstats.bursts(kv_log(spark, d).withColumnRenamed("segment", "shard"), "seq", 500))
+
+
+@query("burst_stop", "SELECT hot AS hot_detected, hot >= 2 AS burst, hot >= 3 AS heat_stroke FROM (SELECT count(*) FILTER (ops > (SELECT sum(ops) / 32 FROM cnt) * 3.0) AS hot FROM cnt)", TRAF)
+def _(spark, d):
+    return loadstats.burst_stop(loadstats.shard_ops(spark, tables.traffic(spark, TRAFFIC)))
+
+
+@query("burst_writes", "SELECT r.range AS round, CAST(s AS INT) AS shard, 'burst_s' || s || '_' || r.range AS key FROM range(1000) r, unnest([0, 1, 2, 3]) t(s)")
+def _(spark, d):
+    return tables.burst_load(spark, 1000, [0, 1, 2, 3])
+
+
+@query("peak_shard", "SELECT shard, round(ops / 100000, 6) AS load FROM cnt ORDER BY ops DESC, shard LIMIT 1", TRAF)
+def _(spark, d):
+    loads = loadstats.shard_ops(spark, tables.traffic(spark, TRAFFIC)).select("shard", (F.col("ops") / TRAFFIC).alias("load"))
+    return loadstats.peak_shard(loads).select(F.col("shard").cast("int").alias("shard"), F.round("load", ROUND).alias("load"))
+
+
+def _telemetry(spark, d):
+    log = kv_log(spark, d).withColumnRenamed("segment", "shard")
+    hit = F.when(F.col("op") == "GET", 1.0).otherwise(0.0)
+    return loadstats.telemetry(log, F.floor(F.col("seq") / 1000), 640, hit)
+
+
+TEL = """o AS (SELECT seq // 1000 AS tick, segment AS shard, key, op FROM kv),
+per AS (SELECT tick, shard, count(*) AS n FROM o GROUP BY 1, 2), fk AS (SELECT tick, shard, count(*) AS k FROM (SELECT shard, key, min(tick) AS tick FROM o GROUP BY 1, 2) GROUP BY 1, 2),
+hr AS (SELECT tick, avg(CASE WHEN op = 'GET' THEN 1.0 ELSE 0.0 END) AS hit_rate FROM o GROUP BY tick),
+tel AS (SELECT tick, shard, least(1.0, 0.7 * n / max(n) OVER (PARTITION BY tick) + 0.3 * sum(coalesce(k, 0)) OVER (PARTITION BY shard ORDER BY tick) / 20) AS load, hit_rate, 0.2 + 0.8 * n / max(n) OVER (PARTITION BY tick) AS latency_ms
+  FROM per LEFT JOIN fk USING (tick, shard) JOIN hr USING (tick))"""
+
+
+@query("telemetry_load", "SELECT tick, shard, round(load, 6) AS load, round(hit_rate, 6) AS hit_rate, round(latency_ms, 6) AS latency_ms FROM tel", KV, TEL)
+def _(spark, d):
+    return _telemetry(spark, d).select("tick", "shard", *[F.round(c, ROUND).alias(c) for c in ("load", "hit_rate", "latency_ms")])
+
+
+@query("telemetry_last_n", "SELECT tick, shard, tick * 32 + shard AS seq FROM tel ORDER BY seq DESC LIMIT 64", KV, TEL)
+def _(spark, d):
+    rows = _telemetry(spark, d).select("tick", "shard", (F.col("tick") * 32 + F.col("shard")).alias("seq"))
+    return loadstats.ring(rows, "seq", 64)
+
+
+@query("training_batch", "SELECT tick * 32 + shard AS seq, shard / 32 AS x, tick / 10 AS t, round(load, 6) AS load FROM tel ORDER BY seq DESC LIMIT 64", KV, TEL)
+def _(spark, d):
+    rows = _telemetry(spark, d).select((F.col("tick") * 32 + F.col("shard")).alias("seq"), "shard", (F.col("tick") / 10).alias("t"), "load")
+    return loadstats.training_batch(rows).select("seq", "x", "t", F.round("load", ROUND).alias("load"))
+
+
+@query("op_deltas", "SELECT tick, shard, total, total - coalesce(lag(total) OVER (PARTITION BY shard ORDER BY tick), 0) AS ops FROM (SELECT tick, shard, CAST(sum(n) OVER (PARTITION BY shard ORDER BY tick) AS BIGINT) AS total FROM per)", KV, TEL)
+def _(spark, d):
+    per = kv_log(spark, d).groupBy(F.floor(F.col("seq") / 1000).alias("tick"), F.col("segment").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    totals = per.select("tick", "shard", F.sum("n").over(Window.partitionBy("shard").orderBy("tick")).alias("total"))
+    return loadstats.deltas(totals)
+
+
+@query("hours_since_start", "SELECT event_id, round(floor(epoch(ts)) / 3600.0 - floor(epoch((SELECT min(ts) FROM events))) / 3600.0, 6) AS hours FROM events")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    start = e.agg(F.min("ts").alias("_s"))
+    return e.join(F.broadcast(start)).select("event_id", F.round(loadstats.hours_since(F.col("ts"), F.col("_s")), ROUND).alias("hours"))
+
+
+@query("prediction_blend", "SELECT shard, round(0.3 * (shard / 32) + 0.7 * ops / (SELECT max(ops) FROM cnt), 6) AS load FROM cnt", TRAF)
+def _(spark, d):
+    counts = loadstats.shard_ops(spark, tables.traffic(spark, TRAFFIC))
+    return loadstats.blend(loadstats.shards(spark).withColumn("prediction", F.col("shard") / 32), counts).select("shard", F.round("load", ROUND).alias("load"))
+
+
+LOADS = "loads AS (SELECT segment AS shard, count(*) / max(count(*)) OVER () AS load FROM kv GROUP BY segment)"
+
+
+@query("migration_recommendations", ", low AS (SELECT shard AS s, load AS l FROM loads ORDER BY load, shard LIMIT 1) SELECT shard AS from_shard, s AS to_shard, round(load, 6) AS from_load, round(l, 6) AS to_load, round(least(1.0, (load - l) / 0.7), 6) AS confidence FROM loads, low WHERE load > 0.7 AND l < (SELECT avg(load) FROM loads)", KV, LOADS)
+def _(spark, d):
+    counts = kv_log(spark, d).groupBy(F.col("segment").alias("shard")).agg(F.count(F.lit(1)).alias("ops"))
+    top = counts.agg(F.max("ops").alias("_m"))
+    loads = counts.join(F.broadcast(top)).select("shard", (F.col("ops") / F.col("_m")).alias("load"))
+    return loadstats.recommendations(loads).select("from_shard", "to_shard", *[F.round(c, ROUND).alias(c) for c in ("from_load", "to_load", "confidence")])
+
+
+@query("predicted_loads")
+def _(spark, d):
+    rows = _telemetry(spark, d).select((F.col("tick") * 32 + F.col("shard")).alias("seq"), "shard", (F.col("tick") / 10).alias("t"), "load")
+    net = model.fit(loadstats.training_batch(rows), steps=50)
+    return model.predict(spark, net, 1.0)
+
+
+@query("event_ring", "SELECT seq, op, key FROM w ORDER BY seq DESC LIMIT 50", KV)
+def _(spark, d):
+    return loadstats.event_ring(versions.writes(kv_log(spark, d)).select("seq", "op", "key"))
+
+
+@query("leader_changes", ", o AS (SELECT seq, value > 50 AS x, CAST(floor(value) AS BIGINT) % 5 AS leader FROM kv), p AS (SELECT seq, lag(leader) OVER (ORDER BY seq) AS previous, leader FROM o) SELECT seq, previous, leader FROM p WHERE previous <> leader", KV)
+def _(spark, d):
+    seen = kv_log(spark, d).select("seq", (F.floor("value") % 5).alias("leader"))
+    return loadstats.leader_changes(seen, 1024)
+
+
+@query("rate_split", "SELECT CAST(c_custkey * 37 - 500 AS INT) AS asked, CAST(greatest(0, least(12000, c_custkey * 37 - 500)) AS INT) AS rate, CAST(greatest(1, greatest(0, least(12000, c_custkey * 37 - 500)) // 4) AS INT) AS worker_rate, CAST(greatest(1, greatest(1, greatest(0, least(12000, c_custkey * 37 - 500)) // 4) // 10) AS INT) AS batch FROM customer")
+def _(spark, d):
+    return loadstats.rate_split(table(spark, d, "customer").select((F.col("c_custkey") * 37 - 500).cast("int").alias("rate")))
+
+
+# --- replicated log -------------------------------------------------------------
+
+
+def _raft(spark, d):
+    return tables.raft_log(spark, d)
+
+
+@query("raft_last_entries", "SELECT CAST(node_id AS INT) AS node_id, count(*) AS size, max(index) AS last_index, arg_max(term, index) AS last_term FROM rl GROUP BY node_id", RAFT)
+def _(spark, d):
+    return quorum.last_entries(_raft(spark, d))
+
+
+@query("raft_term_at", ", p AS (SELECT o_orderkey * 2 AS index, CAST(o_orderkey % 5 AS INT) AS node_id FROM orders) SELECT p.node_id, p.index, coalesce(term, 0) AS term FROM p LEFT JOIN rl ON rl.node_id = p.node_id AND rl.index = p.index", RAFT)
+def _(spark, d):
+    probes = table(spark, d, "orders").select((F.col("o_orderkey") % 5).cast("int").alias("node_id"), (F.col("o_orderkey") * 2).alias("index"))
+    return quorum.term_at(_raft(spark, d), probes)
+
+
+@query("raft_truncate", "SELECT CAST(node_id AS INT) AS node_id, index, term FROM rl WHERE index < 1000", RAFT)
+def _(spark, d):
+    return quorum.truncate_from(_raft(spark, d), 1000).select("node_id", "index", "term")
+
+
+@query("raft_compact", "SELECT CAST(node_id AS INT) AS node_id, index, term FROM rl WHERE index >= 1000", RAFT)
+def _(spark, d):
+    return quorum.compact_before(_raft(spark, d), 1000).select("node_id", "index", "term")
+
+
+@query("raft_range", "SELECT CAST(node_id AS INT) AS node_id, index, term FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY index) AS r FROM rl WHERE index >= 300) WHERE r <= 500", RAFT)
+def _(spark, d):
+    return quorum.entry_range(_raft(spark, d), 300).select("node_id", "index", "term")
+
+
+@query("raft_matches_at", ", p AS (SELECT o_orderkey AS index, CAST(3 + o_orderkey % 2 AS INT) AS node_id, o_orderkey // 1000 + 1 AS term FROM orders) SELECT p.node_id, p.index, p.term, p.index = 0 OR coalesce(rl.term = p.term, false) AS matches FROM p LEFT JOIN rl ON rl.node_id = p.node_id AND rl.index = p.index", RAFT)
+def _(spark, d):
+    k = F.col("o_orderkey")
+    probes = table(spark, d, "orders").select((3 + k % 2).cast("int").alias("node_id"), k.alias("index"), (F.floor(k / 1000) + 1).alias("term"))
+    return quorum.matches_at(_raft(spark, d), probes)
+
+
+@query(
+    "raft_state",
+    """WITH ch AS (SELECT CAST(user_id % 5 AS INT) AS node_id, event_id AS seq, event_id // 100 AS term, CASE WHEN event_type = 'click' THEN CAST(user_id // 5 % 5 AS INT) END AS vote FROM events), mt AS (SELECT node_id, max(term) AS t FROM ch GROUP BY node_id)
+SELECT ch.node_id, t AS current_term, arg_max(vote, seq) FILTER (vote IS NOT NULL AND term = t) AS voted_for FROM ch JOIN mt USING (node_id) GROUP BY ch.node_id, t""",
+)
+def _(spark, d):
+    e = table(spark, d, "events")
+    vote = F.when(F.col("event_type") == "click", (F.floor(F.col("user_id") / 5) % 5).cast("int"))
+    changes = e.select((F.col("user_id") % 5).cast("int").alias("node_id"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 100).alias("term"), vote.alias("vote"))
+    return quorum.state_after(changes)
+
+
+@query("raft_propose", "SELECT 0 AS node_id, CAST(99 AS BIGINT) AS term, (SELECT max(index) FROM rl WHERE node_id = 0) + s_suppkey + 1 AS index, 'PUT supp:' || s_suppkey || ' ' || s_name AS command FROM supplier", RAFT)
+def _(spark, d):
+    s = table(spark, d, "supplier")
+    commands_ = s.select((F.col("s_suppkey") + 1).alias("place"), F.concat(F.lit("PUT supp:"), F.col("s_suppkey"), F.lit(" "), F.col("s_name")).alias("command"))
+    return quorum.propose(_raft(spark, d), commands_, 0, 99)
+
+
+VOTES = """ends AS (SELECT CAST(node_id AS INT) AS node_id, max(index) AS li, arg_max(term, index) AS lt FROM rl GROUP BY node_id),
+votes AS (SELECT c.node_id AS candidate, v.node_id, CAST(1000 + c.node_id AS BIGINT) AS term, (c.lt, c.li) >= (v.lt, v.li) AS granted FROM ends c JOIN ends v ON c.node_id <> v.node_id)"""
+
+
+def _votes(spark, d):
+    ends = quorum.last_entries(_raft(spark, d))
+    candidates = ends.select(F.col("node_id").alias("candidate"), (F.lit(1000).cast("long") + F.col("node_id")).alias("term"), "last_index", "last_term")
+    voters = ends.select("node_id", "last_index", "last_term", F.col("last_term").alias("current_term"), F.lit(None).cast("int").alias("voted_for"))
+    return quorum.grant_votes(candidates, voters)
+
+
+@query("vote_grants", "SELECT candidate, node_id, term, granted FROM votes", RAFT, VOTES)
+def _(spark, d):
+    return _votes(spark, d)
+
+
+@query("vote_winner", "SELECT term, candidate, count(*) FILTER (granted) + 1 AS votes FROM votes GROUP BY term, candidate HAVING count(*) FILTER (granted) + 1 >= 3", RAFT, VOTES)
+def _(spark, d):
+    return quorum.winners(_votes(spark, d), 5)
+
+
+@query(
+    "log_conflicts",
+    """, l AS (SELECT index, term FROM rl WHERE node_id = 0), f AS (SELECT o.node_id, min(o.index) AS fc FROM rl o JOIN l ON l.index = o.index AND l.term <> o.term WHERE node_id <> 0 GROUP BY 1), e AS (SELECT node_id, max(index) AS li FROM rl WHERE node_id <> 0 GROUP BY 1)
+SELECT CAST(e.node_id AS INT) AS node_id, fc AS first_conflict, least(coalesce(fc - 1, li), (SELECT max(index) FROM l)) AS match_index, (SELECT max(index) FROM l) - least(coalesce(fc - 1, li), (SELECT max(index) FROM l)) AS to_append FROM e LEFT JOIN f USING (node_id)""",
+    RAFT,
+)
+def _(spark, d):
+    return quorum.conflicts(_raft(spark, d), 0)
+
+
+@query("replication_batches", "SELECT p.peer, index, term, command FROM rl JOIN (VALUES (1, 1), (2, 700), (3, 1200), (4, 100)) p(peer, n) ON index >= n AND index < n + 200 WHERE node_id = 0", RAFT)
+def _(spark, d):
+    peers = spark.createDataFrame([(1, 1), (2, 700), (3, 1200), (4, 100)], "peer int, next_index long")
+    return quorum.append_batches(_raft(spark, d), peers, 0)
+
+
+def _commit(spark, d):
+    log = _raft(spark, d)
+    match = quorum.conflicts(log, 0).select("node_id", "match_index").unionByName(quorum.last_entries(log).where(F.col("node_id") == 0).select("node_id", F.col("last_index").alias("match_index")))
+    return log, quorum.commit_index(log, match, 0, 5)
+
+
+@query("commit_index", "SELECT max(index) AS commit_index FROM rl WHERE node_id = 0", RAFT)
+def _(spark, d):
+    """Nodes 0, 1 and 2 hold the whole log: a majority of five."""
+    return _commit(spark, d)[1]
+
+
+@query("raft_node_states", "SELECT CAST(node_id AS INT) AS node_id, CASE WHEN node_id = 0 THEN 'Leader' ELSE 'Follower' END AS role, arg_max(term, index) AS term, least(max(index), (SELECT max(index) FROM rl WHERE node_id = 0)) AS commit_index, least(max(index), (SELECT max(index) FROM rl WHERE node_id = 0)) AS last_applied, count(*) AS log_size, 0 AS leader_id FROM rl GROUP BY node_id", RAFT)
+def _(spark, d):
+    log, commit = _commit(spark, d)
+    return quorum.node_states(log, 0, commit)
+
+
+@query("apply_committed", ", a AS (SELECT index AS seq, split_part(command, ' ', 1) AS op, split_part(command, ' ', 2) AS key, split_part(command, ' ', 3) AS value FROM rl WHERE node_id = 0 AND index > 100) SELECT key, max(seq) AS seq, arg_max(value, seq) AS value FROM a GROUP BY key HAVING arg_max(op, seq) = 'PUT'", RAFT)
+def _(spark, d):
+    log, commit = _commit(spark, d)
+    top = commit.first()["commit_index"]
+    return quorum.apply_committed(log, 0, 100, top).select("key", "seq", F.split("value", " ")[0].alias("value"))
+
+
+@query("raft_retained", "SELECT CAST(node_id AS INT) AS node_id, index, term FROM rl WHERE index >= (SELECT max(index) FROM rl) - 999", RAFT)
+def _(spark, d):
+    log, commit = _commit(spark, d)
+    return quorum.retain(log, commit.first()["commit_index"]).select("node_id", "index", "term")
+
+
+# --- matrices -------------------------------------------------------------------
+
+_W = [[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(4)] for i in range(64)]
+_B = [0.1, -0.2, 0.3, 0.0]
+LONG = "e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS k FROM embeddings), wt AS (SELECT i.range AS k, j.range AS j, ((i.range * 7 + j.range * 3) % 11 - 5) / 10 AS w FROM range(64) i, range(4) j), mm AS (SELECT vec_id, j, sum(v * w) AS v FROM e JOIN wt USING (k) GROUP BY vec_id, j)"
+
+
+def _emb(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+@query("matmul", "SELECT vec_id, CAST(j AS INT) AS j, round(v, 6) AS v FROM mm", LONG)
+def _(spark, d):
+    return _emb(spark, d).select("vec_id", F.posexplode(linalg.matmul(F.col("v"), _W)).alias("j", "v")).select("vec_id", "j", F.round("v", ROUND).alias("v"))
+
+
+@query("matmul_long", "SELECT vec_id AS i, CAST(j AS INT) AS j, round(v, 6) AS v FROM mm", LONG)
+def _(spark, d):
+    w = spark.createDataFrame([(i, j, _W[i][j]) for i in range(64) for j in range(4)], "i int, j int, v double")
+    return linalg.matmul_long(linalg.long_form(_emb(spark, d), "vec_id", "v"), w).select("i", "j", F.round("v", ROUND).alias("v"))
+
+
+@query("matrix_transpose", "SELECT CAST(k AS INT) AS i, vec_id AS j, round(v, 6) AS v FROM e", LONG)
+def _(spark, d):
+    return linalg.transpose(linalg.long_form(_emb(spark, d), "vec_id", "v")).select("i", "j", F.round("v", ROUND).alias("v"))
+
+
+@query("bias_tanh", "SELECT vec_id, CAST(j AS INT) AS j, round(tanh(v + [0.1, -0.2, 0.3, 0.0][j + 1]), 6) AS v FROM mm", LONG)
+def _(spark, d):
+    h = linalg.tanh(linalg.add(linalg.matmul(F.col("v"), _W), linalg.literal(_B)))
+    return _emb(spark, d).select("vec_id", F.posexplode(h).alias("j", "v")).select("vec_id", "j", F.round("v", ROUND).alias("v"))
+
+
+@query("activations", "SELECT vec_id, CAST(k AS INT) AS j, round(1 / (1 + exp(-v)), 6) AS sigmoid, round(greatest(0.0, v), 6) AS relu, round(1 - tanh(v) * tanh(v), 6) AS tanh_gradient FROM e", LONG)
+def _(spark, d):
+    v = F.col("v")
+    all_ = F.arrays_zip(linalg.sigmoid(v).alias("s"), linalg.relu(v).alias("r"), linalg.tanh_gradient(v).alias("g"))
+    out = _emb(spark, d).select("vec_id", F.posexplode(all_).alias("j", "z"))
+    return out.select("vec_id", "j", F.round("z.s", ROUND).alias("sigmoid"), F.round("z.r", ROUND).alias("relu"), F.round("z.g", ROUND).alias("tanh_gradient"))
+
+
+@query("elementwise", "SELECT vec_id, round(sum(v + v * v), 6) AS added, round(sum(v - v * v), 6) AS subtracted, round(sum(v * v * v), 6) AS multiplied, round(sum(v * 2.5), 6) AS scaled FROM e GROUP BY vec_id", LONG)
+def _(spark, d):
+    v = F.col("v")
+    sq = linalg.multiply(v, v)
+    r = lambda a, n: F.round(linalg.total(a), ROUND).alias(n)
+    return _emb(spark, d).select("vec_id", r(linalg.add(v, sq), "added"), r(linalg.subtract(v, sq), "subtracted"), r(linalg.multiply(v, sq), "multiplied"), r(linalg.scale(v, 2.5), "scaled"))
+
+
+@query("row_mean", "SELECT vec_id, round(sum(v), 6) AS sum, round(avg(v), 6) AS mean FROM e GROUP BY vec_id", LONG)
+def _(spark, d):
+    return _emb(spark, d).select("vec_id", F.round(linalg.total(F.col("v")), ROUND).alias("sum"), F.round(linalg.mean(F.col("v")), ROUND).alias("mean"))
+
+
+@query("column_sums", "SELECT CAST(k AS INT) AS j, round(sum(v), 6) AS sum FROM e GROUP BY k", LONG)
+def _(spark, d):
+    return linalg.column_sums(_emb(spark, d), "v").select("j", F.round("sum", ROUND).alias("sum"))
+
+
+@query("model_parameters", "SELECT CAST(sum(a * b) AS BIGINT) AS weights, CAST(sum(b) AS BIGINT) AS biases, CAST(sum(a * b + b) AS BIGINT) AS parameters FROM (VALUES (2, 64), (64, 64), (64, 64), (64, 64), (64, 1)) t(a, b)")
+def _(spark, d):
+    layers = spark.createDataFrame(list(zip(model.LAYERS, model.LAYERS[1:], strict=False)), "a long, b long")
+    return layers.agg(F.sum(F.col("a") * F.col("b")).alias("weights"), F.sum("b").alias("biases"), F.sum(F.col("a") * F.col("b") + F.col("b")).alias("parameters"))
+
+
+# --- commands -------------------------------------------------------------------
+
+def _lines(spark, d):
+    verb = F.when(F.col("event_type") == "click", "set").when(F.col("event_type") == "view", "GET").when(F.col("event_type") == "error", "del").when(F.col("event_type") == "signup", "ping").otherwise("xyzzy")
+    return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat(verb, F.lit("  user:"), F.col("user_id"), F.lit(" "), F.col("props"), F.lit("\r\n")).alias("line"))
+
+
+LINES = "ln AS (SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'set' WHEN 'view' THEN 'GET' WHEN 'error' THEN 'del' WHEN 'signup' THEN 'ping' ELSE 'xyzzy' END AS verb, 'user:' || user_id AS key, props FROM events)"
+
+
+@query("command_tokens", "SELECT seq, CAST(2 + len(string_split(props, ' ')) AS INT) AS n, verb || '|' || key || '|' || replace(props, ' ', '|') AS tokens FROM ln", LINES)
+def _(spark, d):
+    tokens = resp.inline_tokens(F.col("line"))
+    return _lines(spark, d).select("seq", F.size(tokens).alias("n"), F.array_join(tokens, "|").alias("tokens"))
+
+
+@query("command_writes", "SELECT seq, CASE verb WHEN 'set' THEN 'PUT' ELSE 'DEL' END AS op, key, CASE WHEN verb = 'set' THEN props END AS value FROM ln WHERE verb IN ('set', 'del') UNION ALL SELECT seq, 'DEL', p, NULL FROM (SELECT seq, unnest(string_split(props, ' ')) AS p FROM ln WHERE verb = 'del')", LINES)
+def _(spark, d):
+    rows = commands.to_log(_lines(spark, d).select("seq", resp.inline_tokens(F.col("line")).alias("tokens")))
+    return rows.where(F.col("op") != "GET").select("seq", "op", "key", "value")
+
+
+@query(
+    "command_replies",
+    """, x AS (SELECT *, len(string_split(props, ' ')) + 1 AS args FROM ln)
+SELECT seq, CASE verb WHEN 'set' THEN '+OK' || chr(13) || chr(10) WHEN 'GET' THEN coalesce('$' || strlen(l.v) || chr(13) || chr(10) || l.v || chr(13) || chr(10), '$-1' || chr(13) || chr(10))
+  WHEN 'del' THEN ':' || args || chr(13) || chr(10) WHEN 'ping' THEN '$' || strlen(x.key) || chr(13) || chr(10) || x.key || chr(13) || chr(10) ELSE '-ERR unknown command ''xyzzy''' || chr(13) || chr(10) END AS reply
+FROM x LEFT JOIN (SELECT 'user:' || c_custkey AS key, c_mktsegment AS v FROM customer) l USING (key)""",
+    LINES,
+)
+def _(spark, d):
+    """Replies of independent requests against a fixed backend."""
+    stored = table(spark, d, "customer").select(F.concat(F.lit("user:"), F.col("c_custkey")).alias("key"), F.col("c_mktsegment").alias("found"))
+    asked = _lines(spark, d).withColumn("tokens", resp.inline_tokens(F.col("line")))
+    return asked.join(stored, F.get("tokens", F.lit(1)) == F.col("key"), "left").select("seq", commands.stateless_reply(F.col("tokens"), F.col("found")).alias("reply"))
+
+
+@query("command_sessions")
+def _(spark, d):
+    asked = _lines(spark, d).select(F.concat(F.lit("s"), F.col("seq") % 64).alias("session"), "seq", resp.inline_tokens(F.col("line")).alias("tokens"))
+    return commands.replies(asked)
+
+
+@query("resp_encode", "SELECT c_custkey, '$' || strlen(c_name) || chr(13) || chr(10) || c_name || chr(13) || chr(10) AS bulk, ':' || c_custkey || chr(13) || chr(10) AS number, '*2' || chr(13) || chr(10) || '$' || strlen(c_name) || chr(13) || chr(10) || c_name || chr(13) || chr(10) || '$' || strlen(c_mktsegment) || chr(13) || chr(10) || c_mktsegment || chr(13) || chr(10) AS list FROM customer")
+def _(spark, d):
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", resp.bulk_string(F.col("c_name")).alias("bulk"), resp.integer(F.col("c_custkey")).alias("number"), resp.array(F.array("c_name", "c_mktsegment")).alias("list"))
+
+
+@query("resp_decode", "SELECT c_custkey, c_name || '|' || c_mktsegment AS tokens, CAST(length(c_name) + length(c_mktsegment) + 12 + length(CAST(length(c_name) AS VARCHAR)) + length(CAST(length(c_mktsegment) AS VARCHAR)) + 2 AS INT) AS consumed FROM customer")
+def _(spark, d):
+    """Array requests decoded again: a round trip."""
+    c = table(spark, d, "customer").select("c_custkey", resp.array(F.array("c_name", "c_mktsegment")).alias("wire"))
+    return resp.parse(c, "wire").select("c_custkey", F.array_join("parsed.tokens", "|").alias("tokens"), F.col("parsed.consumed").alias("consumed"))
+
+
+@query("body_clamp", "SELECT event_id, CAST(greatest(0, least(12000, user_id * 200 - 300)) AS INT) AS rate, CAST(greatest(50, least(5000, user_id * 90)) AS INT) AS intensity, CASE WHEN user_id % 40 < 32 THEN '[' || (user_id % 40) || ']' ELSE '[0,1,2,3]' END AS shards FROM events")
+def _(spark, d):
+    e = table(spark, d, "events")
+    rate = F.concat(F.lit('{"rate": '), F.col("user_id") * 200 - 300, F.lit("}"))
+    burst = F.concat(F.lit('{"shards":['), F.col("user_id") % 40, F.lit('], "intensity": '), F.col("user_id") * 90, F.lit("}"))
+    named = F.concat(F.lit("["), F.array_join(F.transform(commands.burst_shards(burst), lambda x: x.cast("string")), ","), F.lit("]"))
+    return e.select("event_id", commands.traffic_rate(rate).alias("rate"), commands.burst_intensity(burst).alias("intensity"), named.alias("shards"))
+
+
+@query("http_dispatch", "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'preflight' WHEN page_id % 3 = 0 THEN 'api' WHEN contains('/' || split_part(split_part(url, '//', 2), '?', 1), '..') THEN 'refused' ELSE 'file' END AS leads_to FROM pages")
+def _(spark, d):
+    p = table(spark, d, "pages")
+    method = F.when(F.col("page_id") % 7 == 0, "options").otherwise("GET")
+    target = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/metrics?x="), F.col("page_id"))).otherwise(F.concat(F.lit("/"), F.get(F.split("url", "//", 3), F.lit(1))))
+    return p.select("page_id", commands.dispatch(method, target).alias("leads_to"))
+
+
+@query("content_types", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'text/html' WHEN page_id % 4 = 1 THEN 'text/css' WHEN page_id % 4 = 2 THEN 'application/json' ELSE 'text/plain' END AS kind FROM pages")
+def _(spark, d):
+    ending = F.get(F.array(F.lit(".html"), F.lit(".css"), F.lit(".json"), F.lit(".bin")), (F.col("page_id") % 4).cast("int"))
+    return table(spark, d, "pages").select("page_id", commands.content_type(F.concat(F.lit("/f"), F.col("page_id"), ending)).alias("kind"))
+
+
+@query("info_text", "SELECT '# Server' || c || 'distributed_cache_version:1.0.0' || c || 'write_mode:write-through' || c || c || '# Stats' || c || 'cache_hits:' || h || c || 'cache_misses:0' || c || 'write_through_ops:' || p || c || 'write_back_ops:0' || c || c || '# Keyspace' || c || 'keys:' || k || c AS info FROM (SELECT chr(13) || chr(10) AS c, count(*) FILTER (op = 'GET') AS h, count(*) FILTER (op = 'PUT') AS p, (SELECT count(*) FROM latest) AS k FROM kv)", KV)
+def _(spark, d):
+    log = kv_log(spark, d)
+    ops = log.agg(F.count_if(F.col("op") == "GET").alias("cache_hits"), F.count_if(F.col("op") == "PUT").alias("write_through_ops"))
+    keys = versions.latest(log).agg(F.count(F.lit(1)).alias("keys"))
+    zero = F.lit(0).cast("long")
+    return commands.info(ops.join(F.broadcast(keys)).select("*", zero.alias("cache_misses"), zero.alias("write_back_ops"), F.lit("write-through").alias("write_mode")))
+
+
+@query("metrics_fields", "SELECT (SELECT count(*) FROM latest) AS cache_size, (SELECT string_agg(CAST(n AS VARCHAR), ',' ORDER BY s) FROM (SELECT range AS s, count(key) AS n FROM range(32) LEFT JOIN latest ON segment = range GROUP BY 1)) AS segment_sizes, (SELECT count(*) FROM w WHERE op = 'DEL') AS total_deletes, (SELECT count(*) FROM w WHERE op = 'PUT') AS total_puts, (SELECT count(DISTINCT sst_id) FROM runs) AS sstable_count", KV)
+def _(spark, d):
+    """The metrics document read back field by field, as JSON text is no relation."""
+    log = kv_log(spark, d)
+    live = versions.latest(log)
+    runs = compaction.flush(compaction.epochs(log, SMALL_FLUSH))
+    doc = metrics.document(
+        metrics.one_row(
+            live.agg(F.count(F.lit(1)).alias("cache_size")),
+            metrics.in_order(residency.segment_sizes(spark, live), "segment", "keys", "segment_sizes"),
+            log.agg(F.struct(F.count_if(F.col("op") == "DEL").alias("total_deletes"), F.count_if(F.col("op") == "PUT").alias("total_puts")).alias("lsm")),
+            runs.agg(F.count_distinct("sst_id").alias("sstable_count")),
+            metrics.in_order(loadstats.event_ring(versions.writes(log).select("seq", "op")), "seq", "op", "events"),
+        )
+    )
+    m = F.from_json("metrics", "cache_size long, segment_sizes array<string>, lsm struct<total_deletes: long, total_puts: long>, sstable_count long, events array<string>")
+    return doc.select(m.alias("m")).select("m.cache_size", F.array_join("m.segment_sizes", ",").alias("segment_sizes"), "m.lsm.total_deletes", "m.lsm.total_puts", "m.sstable_count")
+
+
