@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlume.llm import decontam, lang_id, license_scan, lm_score, packing, pii, simhash, store, toxicity, warc
+from kvlume.llm import decontam, lang_id, license_scan, lm_score, media, packing, pii, simhash, store, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -174,3 +174,34 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op4_toxicity": op4_toxicity}
+
+
+def mosaic(values, side: int = 64) -> bytes:
+    """A square picture of 64 grey cells from 64 numbers, as a binary PGM."""
+    import numpy as np
+
+    v = np.asarray(values, float)
+    low, high = v.min(), v.max()
+    grey = np.round((v - low) / (high - low) * 255 if high > low else np.full(len(v), 128.0)).astype(np.uint8)
+    cell = side // 8
+    return b"P5 %d %d 255\n" % (side, side) + np.kron(grey.reshape(8, 8), np.ones((cell, cell), np.uint8)).tobytes()
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as pictures: vec_id and image. A null or short vector has
+    no picture."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            out = [mosaic(v) if v is not None and len(v) == 64 and None not in v else None for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["vec_id", "image"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, image binary")
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.search(pictures(spark, sf_dir), F.col("vec_id") % 20 == 0, "vec_id")
+
+
+QUERIES |= {"op9_media": op9_media}
