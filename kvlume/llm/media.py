@@ -2,10 +2,10 @@
 
 Each image gives corners at several scales (Harris responses, local maxima), an
 orientation for each (intensity centroid) and 128 binary tests in the corner's
-own frame.  Descriptors meet in Hamming tables: each table's key is a fixed set
-of 32 bits, so near descriptors share a key in some table.  Pairs of images
-with enough near descriptors are kept if one similarity transform explains
-several of them.
+own frame.  Descriptors meet in Hamming tables: each of the four tables is keyed
+by 32 of the bits, so near descriptors share a key in some table.  Pairs of
+images with enough near descriptors are kept if one similarity transform
+explains several of them and a fair share of the smaller image's corners.
 
 Plain copies never meet in pairs.  Images whose 8 x 8 brightness signatures
 differ in two bits or less, directly or by way of others, form a class; only
@@ -29,15 +29,17 @@ from kvlume.llm import simhash
 from kvlume.llm.arrow import chunks
 from kvlume.llm.store import cut
 
-SCALES = (1.0, 0.7, 0.5)
-CORNERS = 10  # for each scale
-RADIUS = 7
+SCALES = (1.0, 0.8, 0.64)
+CORNERS = 16  # for each scale
+RADIUS = 13
 ANGLES = 36
 BITS = 128
-TABLES = 6
-KEY_BITS = 32
 MAX_DISTANCE = 24
-MIN_INLIERS = 4
+MIN_INLIERS = 5
+#: Inliers against the corners of the image with fewer of them.
+MIN_SHARE = 0.17
+#: Longer images are scaled down to this side first.
+MAX_SIDE = 512
 #: Share of the smallest image side by which a point may miss its place.
 TOLERANCE = 0.06
 #: Index rows from which a key must also agree on the neighbouring corner's key.
@@ -47,7 +49,6 @@ _rng = np.random.default_rng(20240101)
 _disc = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if x * x + y * y <= RADIUS * RADIUS])
 _tests = np.clip(_rng.normal(0, RADIUS / 2, (4 * BITS, 2, 2)), -RADIUS, RADIUS)
 _tests = _tests[(np.hypot(_tests[..., 0], _tests[..., 1]) <= RADIUS - 0.5).all(axis=1)][:BITS]
-_table_bits = np.array([_rng.permutation(BITS)[:KEY_BITS] for _ in range(TABLES)])
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -207,27 +208,32 @@ def _top(flat: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(part, order, axis=1)
 
 
-def keys(words: np.ndarray) -> np.ndarray:
-    """A key for each table: its number and its bits of the descriptors."""
-    bits = np.unpackbits(np.ascontiguousarray(words.astype(">i8")).view(np.uint8).reshape(len(words), -1), axis=1)
-    weight = np.int64(1) << np.arange(KEY_BITS, dtype=np.int64)
-    return np.stack([(np.int64(t) << 40) | (bits[:, own].astype(np.int64) @ weight) for t, own in enumerate(_table_bits)], axis=1)
+def pack_point(x, y, angle, scale) -> np.ndarray:
+    """Place (1/64 of a pixel), angle and scale number in one long."""
+    turn = np.round((angle % (2 * np.pi)) / (2 * np.pi) * 4096).astype(np.int64) % 4096
+    number = np.array([SCALES.index(v) for v in scale], np.int64)
+    return np.round(x * 64).astype(np.int64) << 36 | np.round(y * 64).astype(np.int64) << 20 | turn << 8 | number
 
 
-_POINT = "x float, y float, angle float, scale float, d0 long, d1 long, keys array<long>, next array<long>"
+def unpack_point(geo: np.ndarray) -> np.ndarray:
+    """Columns x, y, angle, scale."""
+    return np.column_stack([(geo >> 36) / 64, (geo >> 20 & 0xFFFF) / 64, (geo >> 8 & 4095) * (2 * np.pi / 4096), np.array(SCALES)[geo & 255]])
 
 
-def described(media: DataFrame, id_col: str, image_col: str, batch: int = 64) -> DataFrame:
-    """id, sig (null if the image can't be decoded), side and points."""
+def described(media: DataFrame, id_col: str, image_col: str, batch: int = 32) -> DataFrame:
+    """id, sig (null if the image can't be decoded), side and points: descriptor
+    words, packed place, and the number of the nearest corner."""
     rows = media.select(F.col(id_col).alias("id"), F.col(image_col).cast("binary").alias("image"))
-    point = pa.struct([(c, pa.float32()) for c in ("x", "y", "angle", "scale")] + [("d0", pa.int64()), ("d1", pa.int64()), ("keys", pa.list_(pa.int64())), ("next", pa.list_(pa.int64()))])
-    schema = T.StructType([rows.schema["id"], T.StructField("sig", T.LongType()), T.StructField("side", T.LongType()), T.StructField("points", T.ArrayType(T._parse_datatype_string(f"struct<{', '.join(f.replace(' ', ': ', 1) for f in _POINT.split(', '))}>")))])
+    names = ("d0", "d1", "geo", "next")
+    point = pa.struct([(c, pa.int64()) for c in names])
+    points_type = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in names]))
+    schema = T.StructType([rows.schema["id"], T.StructField("sig", T.LongType()), T.StructField("side", T.LongType()), T.StructField("points", points_type)])
 
     def run(batches):
         for whole in batches:
             sizes = pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             for part in chunks(whole, sizes, 400_000):
-                images = [decode(x) for x in part.column(1).to_pylist()]
+                images = [_bounded(decode(x)) for x in part.column(1).to_pylist()]
                 n = len(images)
                 sig, side, points = [None] * n, [None] * n, [[] for _ in range(n)]
                 by: dict[tuple, list[int]] = {}
@@ -235,21 +241,28 @@ def described(media: DataFrame, id_col: str, image_col: str, batch: int = 64) ->
                     if a is not None:
                         by.setdefault(a.shape, []).append(i)
                 for own in by.values():
-                    for k in range(0, len(own), batch):
-                        some = own[k : k + batch]
+                    step = max(1, min(batch, 1_000_000 // images[own[0]].size))
+                    for k in range(0, len(own), step):
+                        some = own[k : k + step]
                         stack = np.stack([images[i] for i in some])
                         for i, s, f in zip(some, signature(stack).tolist(), features(stack), strict=True):
                             sig[i], side[i] = s, min(stack.shape[1:])
                             if len(f):
                                 words = np.ascontiguousarray(f[:, 4:6]).view(np.int64)
-                                ks = keys(words)
-                                nxt = ks[f[:, 6].astype(int)]
-                                points[i] = [{"x": p[0], "y": p[1], "angle": p[2], "scale": p[3], "d0": w0, "d1": w1, "keys": a, "next": b} for p, (w0, w1), a, b in zip(f[:, :4].tolist(), words.tolist(), ks.tolist(), nxt.tolist(), strict=True)]
+                                geo = pack_point(f[:, 0], f[:, 1], f[:, 2], f[:, 3].tolist())
+                                points[i] = [dict(zip(names, r, strict=True)) for r in np.column_stack([words, geo, f[:, 6].astype(np.int64)]).tolist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sig, pa.int64()), pa.array(side, pa.int64()), pa.array(points, pa.list_(point))], names=["id", "sig", "side", "points"])
 
     return rows.mapInArrow(run, schema)
 
 
+def _bounded(a: np.ndarray | None) -> np.ndarray | None:
+    if a is None or max(a.shape) <= MAX_SIDE:
+        return a
+    k = MAX_SIDE / max(a.shape)
+    return _resize(_box(a[None], max(1, int(0.5 / k))), max(1, round(a.shape[0] * k)), max(1, round(a.shape[1] * k)))[0]
+
+
 def consensus(matches: np.ndarray, side: float) -> tuple[int, float, float, float, float]:
     """The similarity transform that most matches agree on, from each match's own
     scales and angles: inliers (different corners on both sides), scale, angle
@@ -297,24 +310,33 @@ def search(media: DataFrame, queries: Column, id_col: str = "id", image_col: str
     member = cut(classes(own))
     asked = marked.select(F.col(id_col).alias("id"), "_q").where("_q").join(member, "id").select("class_id").distinct()
     reps = own.join(member.where(F.col("id") == F.col("class_id")).select("id").distinct(), "id").dropDuplicates(["id"])
-    points = reps.select("id", "side", F.explode("points").alias("p"))
-    table = points.select("id", "side", F.struct(*[F.col(f"p.{c}").alias(c) for c in ("x", "y", "angle", "scale", "d0", "d1")]).alias("p"), F.explode(F.arrays_zip(F.col("p.keys").alias("key"), F.col("p.next").alias("next"))).alias("k")).select("id", "side", "p", "k.key", "k.next")
-    hot = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KEY).select("key", F.lit(True).alias("hot"))
-    index = table.join(hot, "key", "left").select("id", "side", "p", "key", F.when(F.col("hot"), F.col("next")).otherwise(-1).alias("more"))
-    asking = index.join(asked.select(F.col("class_id").alias("id")), "id", "left_semi").select(F.col("id").alias("q"), F.col("p").alias("qp"), "key", "more")
-    near = F.bit_count(F.col("qp.d0").bitwiseXOR(F.col("p.d0"))) + F.bit_count(F.col("qp.d1").bitwiseXOR(F.col("p.d1"))) <= MAX_DISTANCE
-    met = asking.join(index, ["key", "more"]).where((F.col("q") != F.col("id")) & near).select("q", "id", "side", F.struct("qp.x", "qp.y", "qp.angle", "qp.scale", F.col("p.x").alias("mx"), F.col("p.y").alias("my"), F.col("p.angle").alias("ma"), F.col("p.scale").alias("ms")).alias("m"))
-    pairs = met.groupBy("q", "id").agg(F.max("side").alias("side"), F.collect_set("m").alias("m")).where(F.size("m") >= min_inliers)
-    schema = T.StructType([T.StructField("query_class", pairs.schema["q"].dataType), T.StructField("id", pairs.schema["id"].dataType), T.StructField("n_matches", T.LongType()), T.StructField("inliers", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("scale", "angle", "dx", "dy")]])
+    points = reps.select("id", "side", F.size("points").alias("n"), F.posexplode("points").alias("_i", "p"), "points")
+    word = lambda p, t: (p["d1"] if t > 1 else p["d0"]) if t % 2 else F.shiftrightunsigned(p["d1"] if t > 1 else p["d0"], 32)
+    low = lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))
+    beside = F.get("points", F.col("p.next").cast("int"))
+    in_tables = F.explode(F.array(*[F.struct((F.lit(t << 32) + low(word(F.col("p"), t))).alias("key"), low(word(beside, t)).alias("next")) for t in range(4)]))
+    table = points.select("id", "side", "n", "p.d0", "p.d1", "p.geo", in_tables.alias("k")).select("id", "side", "n", "d0", "d1", "geo", "k.key", "k.next")
+    asking = table.join(asked.select(F.col("class_id").alias("id")), "id", "left_semi")
+    # only index rows whose key is asked for go on
+    index = table.join(asking.select("key").distinct(), "key", "left_semi")
+    hot = index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_KEY).select("key", F.lit(True).alias("hot"))
+    more = F.when(F.col("hot"), F.col("next")).otherwise(-1).alias("more")
+    left = asking.join(hot, "key", "left").select(F.col("id").alias("q"), F.col("n").alias("qn"), F.col("d0").alias("q0"), F.col("d1").alias("q1"), F.col("geo").alias("qgeo"), "key", more)
+    right = index.join(hot, "key", "left").select("id", "side", "n", "d0", "d1", "geo", "key", more)
+    near = F.bit_count(F.col("q0").bitwiseXOR(F.col("d0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("d1"))) <= MAX_DISTANCE
+    met = left.join(right, ["key", "more"]).where((F.col("q") != F.col("id")) & near)
+    pairs = met.groupBy("q", "id").agg(F.max("side").alias("side"), F.least(F.max("qn"), F.max("n")).alias("n"), F.collect_set(F.struct("qgeo", "geo")).alias("m"))
+    pairs = pairs.where((F.size("m") >= min_inliers) & (F.size("m") >= MIN_SHARE * F.col("n")))
+    schema = T.StructType([T.StructField("query_class", pairs.schema["q"].dataType), T.StructField("id", pairs.schema["id"].dataType), T.StructField("corners", T.IntegerType()), T.StructField("n_matches", T.LongType()), T.StructField("inliers", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("scale", "angle", "dx", "dy")]])
 
     def run(batches):
         for b in batches:
             got = []
             for side, m in zip(b.column("side").to_pylist(), b.column("m").to_pylist(), strict=True):
-                rows = np.array([[r[c] for c in ("x", "y", "angle", "scale", "mx", "my", "ma", "ms")] for r in m])
-                got.append((len(rows), *consensus(rows, side)))
+                rows = [unpack_point(np.array([r[c] for r in m], np.int64)) for c in ("qgeo", "geo")]
+                got.append((len(m), *consensus(np.column_stack(rows), side)))
             cols = list(zip(*got, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("id"), *[pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.float64()] * 4, strict=True)]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("id"), b.column("n"), *[pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.float64()] * 4, strict=True)]], names=schema.names)
 
-    found = pairs.mapInArrow(run, schema).where(F.col("inliers") >= min_inliers)
+    found = pairs.mapInArrow(run, schema).where((F.col("inliers") >= min_inliers) & (F.col("inliers") >= MIN_SHARE * F.col("corners")))
     return member.join(found, "id", "left").select(F.col("id").alias(id_col), "class_id", "query_class", "inliers", "n_matches", "scale", "angle", "dx", "dy")

@@ -176,7 +176,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"op4_toxicity": op4_toxicity}
 
 
-def mosaic(values, side: int = 64) -> bytes:
+def mosaic(values, side: int = 96) -> bytes:
     """A square picture of 64 grey cells from 64 numbers, as a binary PGM."""
     import numpy as np
 
