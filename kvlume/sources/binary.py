@@ -22,7 +22,7 @@ MAGIC = 0xDC5F00DA
 CHECKSUM_FACTOR = 0x01000193
 FNV_PRIME = 0x100000001B3
 SEED_STEP = 0x9E3779B97F4A7C15
-FOOTER = struct.Struct("<6Q")
+FOOTER, FOOTER_BYTES = "<6Q", 48
 
 WAL = "file string, seq long, op string, key binary, value binary"
 SST = "file string, key binary, value binary"
@@ -110,14 +110,14 @@ def encode_table(rows: dict[bytes, bytes]) -> bytes:
         out += record
     index_at, index_data, bloom_data = len(out), struct.pack("<I", len(index)) + b"".join(index), bloom.encode()
     out += index_data + bloom_data
-    return bytes(out + FOOTER.pack(index_at, len(index_data), index_at + len(index_data), len(bloom_data), len(index), MAGIC))
+    return bytes(out + struct.pack(FOOTER, index_at, len(index_data), index_at + len(index_data), len(bloom_data), len(index), MAGIC))
 
 
 def decode_footer(data: bytes) -> tuple[int, ...] | None:
     """Index and filter places and the entries; None if it is no table."""
-    if len(data) < FOOTER.size:
+    if len(data) < FOOTER_BYTES:
         return None
-    f = FOOTER.unpack_from(data, len(data) - FOOTER.size)
+    f = struct.unpack_from(FOOTER, data, len(data) - FOOTER_BYTES)
     return f[:5] if f[5] == MAGIC else None
 
 
