@@ -29,12 +29,12 @@ from kvlume.llm import simhash
 from kvlume.llm.arrow import chunks
 from kvlume.llm.store import cut
 
-SCALES = (1.0, 0.8, 0.64)
-CORNERS = 16  # for each scale
-RADIUS = 13
+SCALES = (1.0, 0.8)
+CORNERS = 20  # for each scale
+RADIUS = 15
 ANGLES = 36
 BITS = 128
-MAX_DISTANCE = 24
+MAX_DISTANCE = 18
 MIN_INLIERS = 5
 #: Inliers against the corners of the image with fewer of them.
 MIN_SHARE = 0.17
@@ -42,8 +42,10 @@ MIN_SHARE = 0.17
 MAX_SIDE = 512
 #: Share of the smallest image side by which a point may miss its place.
 TOLERANCE = 0.06
-#: Index rows from which a key must also agree on the neighbouring corner's key.
-HOT_KEY = 200
+#: Index rows from which a key must also agree on the nearest corner's key, and
+#: such a pair also on the next nearest's: patches that many images share then
+#: bring no more partners than rare ones.
+HOT_KEY = 12
 
 _rng = np.random.default_rng(20240101)
 _disc = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if x * x + y * y <= RADIUS * RADIUS])
@@ -156,7 +158,7 @@ def signature(a: np.ndarray) -> np.ndarray:
 
 def features(stack: np.ndarray) -> list[np.ndarray]:
     """For each image of a stack of one size: rows of x, y, angle, scale, the two
-    descriptor words and the number of the nearest corner of its scale."""
+    descriptor words and the numbers of the two nearest corners of its scale."""
     n, h, w = stack.shape
     out: list[list] = [[] for _ in range(n)]
     turn = 2 * np.pi / ANGLES
@@ -198,8 +200,8 @@ def features(stack: np.ndarray) -> list[np.ndarray]:
             if len(mine):
                 gap = (y[mine][:, None] - y[mine]) ** 2 + (x[mine][:, None] - x[mine]) ** 2 + np.eye(len(mine)) * 1e9
                 base = sum(len(z) for z in out[i])
-                out[i].append(np.column_stack([x[mine] / scale, y[mine] / scale, angle[mine], np.full(len(mine), scale), words[mine, 0].view(np.float64), words[mine, 1].view(np.float64), gap.argmin(axis=1) + base]))
-    return [np.concatenate(z) if z else np.zeros((0, 7)) for z in out]
+                out[i].append(np.column_stack([x[mine] / scale, y[mine] / scale, angle[mine], np.full(len(mine), scale), words[mine, 0].view(np.float64), words[mine, 1].view(np.float64), *(np.argsort(gap, axis=1, kind="stable")[:, [0, min(1, len(mine) - 1)]].T + base)]))
+    return [np.concatenate(z) if z else np.zeros((0, 8)) for z in out]
 
 
 def _top(flat: np.ndarray, k: int) -> np.ndarray:
@@ -222,7 +224,7 @@ def unpack_point(geo: np.ndarray) -> np.ndarray:
 
 def described(media: DataFrame, id_col: str, image_col: str, batch: int = 32) -> DataFrame:
     """id, sig (null if the image can't be decoded), side and points: descriptor
-    words, packed place, and the number of the nearest corner."""
+    words, packed place, and the packed numbers of the two nearest corners."""
     rows = media.select(F.col(id_col).alias("id"), F.col(image_col).cast("binary").alias("image"))
     names = ("d0", "d1", "geo", "next")
     point = pa.struct([(c, pa.int64()) for c in names])
@@ -250,7 +252,7 @@ def described(media: DataFrame, id_col: str, image_col: str, batch: int = 32) ->
                             if len(f):
                                 words = np.ascontiguousarray(f[:, 4:6]).view(np.int64)
                                 geo = pack_point(f[:, 0], f[:, 1], f[:, 2], f[:, 3].tolist())
-                                points[i] = [dict(zip(names, r, strict=True)) for r in np.column_stack([words, geo, f[:, 6].astype(np.int64)]).tolist()]
+                                points[i] = [dict(zip(names, r, strict=True)) for r in np.column_stack([words, geo, f[:, 6].astype(np.int64) << 16 | f[:, 7].astype(np.int64)]).tolist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sig, pa.int64()), pa.array(side, pa.int64()), pa.array(points, pa.list_(point))], names=["id", "sig", "side", "points"])
 
     return rows.mapInArrow(run, schema)
@@ -310,23 +312,26 @@ def search(media: DataFrame, queries: Column, id_col: str = "id", image_col: str
     member = cut(classes(own))
     asked = marked.select(F.col(id_col).alias("id"), "_q").where("_q").join(member, "id").select("class_id").distinct()
     reps = own.join(member.where(F.col("id") == F.col("class_id")).select("id").distinct(), "id").dropDuplicates(["id"])
-    points = reps.select("id", "side", F.size("points").alias("n"), F.posexplode("points").alias("_i", "p"), "points")
+    points = reps.select("id", F.posexplode("points").alias("_i", "p"), "points")
     word = lambda p, t: (p["d1"] if t > 1 else p["d0"]) if t % 2 else F.shiftrightunsigned(p["d1"] if t > 1 else p["d0"], 32)
     low = lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))
-    beside = F.get("points", F.col("p.next").cast("int"))
-    in_tables = F.explode(F.array(*[F.struct((F.lit(t << 32) + low(word(F.col("p"), t))).alias("key"), low(word(beside, t)).alias("next")) for t in range(4)]))
-    table = points.select("id", "side", "n", "p.d0", "p.d1", "p.geo", in_tables.alias("k")).select("id", "side", "n", "d0", "d1", "geo", "k.key", "k.next")
+    beside = [F.get("points", F.shiftright("p.next", 16).cast("int")), F.get("points", F.col("p.next").bitwiseAND(F.lit(65535)).cast("int"))]
+    in_tables = F.explode(F.array(*[F.struct((F.lit(t << 32) + low(word(F.col("p"), t))).alias("key"), F.shiftleft(low(word(beside[0], t)), 32).bitwiseOR(low(word(beside[1], t))).alias("next")) for t in range(4)]))
+    table = points.select("id", "p.d0", "p.d1", "p.geo", in_tables.alias("k")).select("id", "d0", "d1", "geo", "k.key", "k.next")
     asking = table.join(asked.select(F.col("class_id").alias("id")), "id", "left_semi")
     # only index rows whose key is asked for go on
-    index = table.join(asking.select("key").distinct(), "key", "left_semi")
+    index = cut(table.join(asking.select("key").distinct(), "key", "left_semi"))
+    one = F.shiftrightunsigned("next", 32)
     hot = index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_KEY).select("key", F.lit(True).alias("hot"))
-    more = F.when(F.col("hot"), F.col("next")).otherwise(-1).alias("more")
-    left = asking.join(hot, "key", "left").select(F.col("id").alias("q"), F.col("n").alias("qn"), F.col("d0").alias("q0"), F.col("d1").alias("q1"), F.col("geo").alias("qgeo"), "key", more)
-    right = index.join(hot, "key", "left").select("id", "side", "n", "d0", "d1", "geo", "key", more)
+    hotter = index.groupBy("key", one.alias("one")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_KEY).select("key", "one", F.lit(True).alias("hotter"))
+    marked_ = index.join(hot, "key", "left").withColumn("one", one).join(hotter, ["key", "one"], "left")
+    right = marked_.select("id", "d0", "d1", "geo", "key", F.when(F.col("hotter"), F.col("next")).when(F.col("hot"), F.col("one")).otherwise(-1).alias("more"))
+    left = right.join(asked.select(F.col("class_id").alias("id")), "id", "left_semi").select(F.col("id").alias("q"), F.col("d0").alias("q0"), F.col("d1").alias("q1"), F.col("geo").alias("qgeo"), "key", "more")
     near = F.bit_count(F.col("q0").bitwiseXOR(F.col("d0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("d1"))) <= MAX_DISTANCE
     met = left.join(right, ["key", "more"]).where((F.col("q") != F.col("id")) & near)
-    pairs = met.groupBy("q", "id").agg(F.max("side").alias("side"), F.least(F.max("qn"), F.max("n")).alias("n"), F.collect_set(F.struct("qgeo", "geo")).alias("m"))
-    pairs = pairs.where((F.size("m") >= min_inliers) & (F.size("m") >= MIN_SHARE * F.col("n")))
+    pairs = met.groupBy("q", "id").agg(F.collect_set(F.struct("qgeo", "geo")).alias("m")).where(F.size("m") >= min_inliers)
+    size = reps.select("id", "side", F.size("points").alias("n"))
+    pairs = pairs.join(size, "id").join(size.select(F.col("id").alias("q"), F.col("n").alias("qn")), "q").select("q", "id", "side", F.least("n", "qn").alias("n"), "m").where(F.size("m") >= MIN_SHARE * F.col("n"))
     schema = T.StructType([T.StructField("query_class", pairs.schema["q"].dataType), T.StructField("id", pairs.schema["id"].dataType), T.StructField("corners", T.IntegerType()), T.StructField("n_matches", T.LongType()), T.StructField("inliers", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("scale", "angle", "dx", "dy")]])
 
     def run(batches):
