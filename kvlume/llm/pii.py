@@ -215,5 +215,5 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     new = {text_col: text}
     if length_col in docs.columns:
         kind = dict(docs.dtypes)[length_col]
-        new[length_col] = F.when(text == F.col(text_col), F.col(length_col)).otherwise(F.length(text).cast(kind))
+        new[length_col] = F.when(text.eqNullSafe(F.col(text_col)), F.col(length_col)).otherwise(F.length(text).cast(kind))
     return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
