@@ -67,6 +67,8 @@ def decode(data: bytes | None) -> np.ndarray | None:
                     continue
                 end = at
                 while not data[end : end + 1].isspace():
+                    if end >= len(data):
+                        return None
                     end += 1
                 fields.append(int(data[at:end]))
                 at = end
