@@ -21,7 +21,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -324,10 +324,11 @@ def search(media: DataFrame, queries: Column, id_col: str = "id", image_col: str
     # only index rows whose key is asked for go on
     index = cut(table.join(asking.select("key").distinct(), "key", "left_semi"))
     one = F.shiftrightunsigned("next", 32)
-    hot = index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_KEY).select("key", F.lit(True).alias("hot"))
-    hotter = index.groupBy("key", one.alias("one")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_KEY).select("key", "one", F.lit(True).alias("hotter"))
-    marked_ = index.join(hot, "key", "left").withColumn("one", one).join(hotter, ["key", "one"], "left")
-    right = marked_.select("id", "d0", "d1", "geo", "key", F.when(F.col("hotter"), F.col("next")).when(F.col("hot"), F.col("one")).otherwise(-1).alias("more"))
+    # counts by key and neighbour in one pass, from which those by key follow
+    counts = index.groupBy("key", one.alias("one")).agg(F.count(F.lit(1)).alias("c2"))
+    sizes = counts.withColumn("c1", F.sum("c2").over(Window.partitionBy("key"))).where(F.col("c1") > HOT_KEY).select("key", "one", "c2")
+    more = F.when(F.col("c2") > HOT_KEY, F.col("next")).when(F.col("c2").isNotNull(), F.col("one")).otherwise(-1).alias("more")
+    right = index.withColumn("one", one).join(sizes, ["key", "one"], "left").select("id", "d0", "d1", "geo", "key", more)
     left = right.join(asked.select(F.col("class_id").alias("id")), "id", "left_semi").select(F.col("id").alias("q"), F.col("d0").alias("q0"), F.col("d1").alias("q1"), F.col("geo").alias("qgeo"), "key", "more")
     near = F.bit_count(F.col("q0").bitwiseXOR(F.col("d0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("d1"))) <= MAX_DISTANCE
     met = left.join(right, ["key", "more"]).where((F.col("q") != F.col("id")) & near)
