@@ -9,6 +9,8 @@ reports the span and the number of errors.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,7 +86,7 @@ class Searcher:
     def spans(self, text: str):
         """Places of a text of words that each end in one space: ``(phrase,
         start)`` of the exact ones, ``(notice, start, end, errors)`` of the others."""
-        base, windows = [], {}
+        base, windows = [], set()
         for last, (size, where) in self.seeds.iter(text):
             at = last + 1 - size
             for i, off in where:
@@ -93,24 +95,36 @@ class Searcher:
                         base.append((off, at))
                     continue
                 notice, _, k = self.notices[i]
-                lo, hi = max(0, at - off - k), at - off + len(notice) + k
-                kept = windows.setdefault(i, [])
-                if kept and lo <= kept[-1][1]:  # overlapping windows are searched once
-                    kept[-1][0], kept[-1][1] = min(lo, kept[-1][0]), max(hi, kept[-1][1])
-                else:
-                    kept.append([lo, hi])
-        found = []
-        for i, kept in windows.items():
-            notice = self.notices[i][0]
-            for lo, hi in kept:
-                for m in self.check[i].finditer(text, lo, min(hi, len(text))):
-                    s, e = m.span()
-                    if (s and text[s - 1] != " ") or text[e : e + 1] not in (" ", ""):
-                        continue
-                    got = m[0]
-                    # another notice's own words, or other version digits, are no misspelling
-                    if (got == notice or got not in self.exact) and [c for c in got if c.isdigit()] == [c for c in notice if c.isdigit()]:
-                        found.append((i, s, e, sum(m.fuzzy_counts)))
+                # whole words; a window of its own for each piece, so work is linear in repeated notices
+                hi = text.find(" ", min(at - off + len(notice) + k, len(text)))
+                windows.add((i, text.rfind(" ", 0, max(0, at - off - k)) + 1, len(text) if hi < 0 else hi))
+        places = set()
+        todo, seen = list(windows), windows
+        while todo:
+            i, lo, hi = todo.pop()
+            m = self.check[i].search(text, lo, hi)
+            if m is None:
+                continue
+            (s, e), got, notice = m.span(), m[0], self.notices[i][0]
+            # another notice's own words, or other version digits, are no misspelling
+            good = (s == 0 or text[s - 1] == " ") and text[e : e + 1] in (" ", "") and (got == notice or got not in self.exact) and [c for c in got if c.isdigit()] == [c for c in notice if c.isdigit()]
+            if good:
+                places.add((i, sum(m.fuzzy_counts), s, e))
+                rest = ((i, lo, s - 1), (i, e + 1, hi))
+            else:  # a worse match may overlap the one rejected
+                after = text.find(" ", s + 1, hi)
+                rest = ((i, lo, text.rfind(" ", lo, e - 1)), (i, after + 1 if after >= 0 else hi, hi))
+            for w in rest:
+                if w[1] < w[2] and w not in seen:
+                    seen.add(w)
+                    todo.append(w)
+        found, taken = [], {}
+        for i, errors, s, e in sorted(places):  # fewest errors first; those that overlap one kept go
+            own = taken.setdefault(i, [])
+            k = bisect.bisect(own, (s, e))
+            if not ((k and own[k - 1][1] > s) or (k < len(own) and own[k][0] < e)):
+                own.insert(k, (s, e))
+                found.append((i, s, e, errors))
         return base, found
 
 

@@ -169,6 +169,17 @@ def test_every_edited_notice_is_found():
             assert notice in found or "".join(s) in search.exact, (notice, text)
 
 
+def test_worse_notices_beside_better_ones():
+    search = license_scan.Searcher()
+    found = search.spans("under the mit licence " * 5 + "under the mit license ")[1]
+    assert sorted((s, errors) for _, s, _, errors in found) == [(22 * k, 1) for k in range(5)] + [(110, 0)]
+    found = search.spans("apache licens vrsion 2 apache license version 3 ")[1]
+    assert [(license_scan.NOTICES[i][1], s, errors) for i, s, _, errors in found] == [("apache-2", 0, 2)]
+    found = search.spans("ccby nc cc by nc ccby nc ")[1]
+    assert sorted((s, errors) for _, s, _, errors in found) == [(0, 1), (8, 0), (17, 1)]
+    assert len(search.spans("undr the mit license apache license version 3 " * 3_000)[1]) == 3_000
+
+
 def test_op2_counts(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op2_license_scan(spark, sf).collect():
