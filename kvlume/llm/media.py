@@ -8,8 +8,11 @@ images with enough near descriptors are kept if one similarity transform
 explains several of them and a fair share of the smaller image's corners.
 
 Plain copies never meet in pairs.  Images whose 8 x 8 brightness signatures
-differ in two bits or less, directly or by way of others, form a class; only
-class representatives enter the tables, and the result names each image's class.
+differ in two bits or less, directly or by way of others, form a class if the
+descriptors of each agree with those of its smallest id; images that fail this,
+and those whose signature has few set bits (pictures on white), form classes of
+equal pixels only.  Class representatives enter the tables, and the result names
+each image's class.
 Images themselves are read once and never shuffled.
 """
 
@@ -47,6 +50,9 @@ TOLERANCE = 0.06
 #: bring no more partners than rare ones.
 HOT_KEY = 12
 
+#: Set bits from which a signature tells pictures apart.
+LEAST_SET = 8
+
 _rng = np.random.default_rng(20240101)
 _disc = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if x * x + y * y <= RADIUS * RADIUS])
 _tests = np.clip(_rng.normal(0, RADIUS / 2, (4 * BITS, 2, 2)), -RADIUS, RADIUS)
@@ -158,6 +164,17 @@ def signature(a: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(">i8")[:, 0].astype(np.int64)
 
 
+def digest(a: np.ndarray) -> int:
+    """Of an image's pixels, as a signed 64-bit number; 0 for all blank ones."""
+    from xxhash import xxh64
+
+    if a.min() == a.max():
+        return 0
+    h = xxh64(np.array(a.shape, np.int64).tobytes())
+    h.update(np.ascontiguousarray(a).tobytes())
+    return int(np.uint64(h.intdigest()).view(np.int64))
+
+
 def features(stack: np.ndarray) -> list[np.ndarray]:
     """For each image of a stack of one size: rows of x, y, angle, scale, the two
     descriptor words and the numbers of the two nearest corners of its scale."""
@@ -225,13 +242,13 @@ def unpack_point(geo: np.ndarray) -> np.ndarray:
 
 
 def described(media: DataFrame, id_col: str, image_col: str, batch: int = 32) -> DataFrame:
-    """id, sig (null if the image can't be decoded), side and points: descriptor
+    """id, sig (null if the image can't be decoded), digest, side and points: descriptor
     words, packed place, and the packed numbers of the two nearest corners."""
     rows = media.select(F.col(id_col).alias("id"), F.col(image_col).cast("binary").alias("image"))
     names = ("d0", "d1", "geo", "next")
     point = pa.struct([(c, pa.int64()) for c in names])
     points_type = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in names]))
-    schema = T.StructType([rows.schema["id"], T.StructField("sig", T.LongType()), T.StructField("side", T.LongType()), T.StructField("points", points_type)])
+    schema = T.StructType([rows.schema["id"], T.StructField("sig", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("side", T.LongType()), T.StructField("points", points_type)])
 
     def run(batches):
         for whole in batches:
@@ -255,7 +272,7 @@ def described(media: DataFrame, id_col: str, image_col: str, batch: int = 32) ->
                                 words = np.ascontiguousarray(f[:, 4:6]).view(np.int64)
                                 geo = pack_point(f[:, 0], f[:, 1], f[:, 2], f[:, 3].tolist())
                                 points[i] = [dict(zip(names, r, strict=True)) for r in np.column_stack([words, geo, f[:, 6].astype(np.int64) << 16 | f[:, 7].astype(np.int64)]).tolist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sig, pa.int64()), pa.array(side, pa.int64()), pa.array(points, pa.list_(point))], names=["id", "sig", "side", "points"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sig, pa.int64()), pa.array([None if a is None else digest(a) for a in images], pa.int64()), pa.array(side, pa.int64()), pa.array(points, pa.list_(point))], names=["id", "sig", "digest", "side", "points"])
 
     return rows.mapInArrow(run, schema)
 
@@ -288,14 +305,40 @@ def consensus(matches: np.ndarray, side: float) -> tuple[int, float, float, floa
     return count[k], float(grow[k]), float((turn[k] + np.pi) % (2 * np.pi) - np.pi), float(shift[k, 0]), float(shift[k, 1])
 
 
+def alike(points: list[dict], others: list[dict], side: int) -> bool:
+    """Whether one similarity transform explains enough near descriptors."""
+    p, o = (np.array([(r["d0"], r["d1"], r["geo"]) for r in x], np.int64).reshape(-1, 3) for x in (points, others))
+    gap = sum(np.bitwise_count((p[:, None, k] ^ o[:, k]).view(np.uint64)).astype(int) for k in (0, 1))
+    i, j = np.nonzero(gap <= MAX_DISTANCE)
+    if len(i) < MIN_INLIERS:
+        return False
+    n = consensus(np.column_stack([unpack_point(p[i, 2]), unpack_point(o[j, 2])]), side)[0]
+    return n >= max(MIN_INLIERS, MIN_SHARE * min(len(p), len(o)))
+
+
 def classes(own: DataFrame) -> DataFrame:
     """id and class_id: the smallest id of the images that chains of signatures
-    at distance 2 or less reach. Images that can't be decoded have class null."""
-    known = own.where(F.col("sig").isNotNull()).select("id", F.col("sig").alias("fp"))
+    at distance 2 or less reach, where the descriptors agree with that image's or
+    are too few to be searched; the smallest id of equal pixels for others.
+    Images that can't be decoded have class null."""
+    rich = F.bit_count("sig") >= LEAST_SET
+    known = own.where(rich).select("id", F.col("sig").alias("fp"))
     grouped = simhash._classes(known)
-    least = grouped.groupBy("root").agg(F.min("least").alias("class_id"))
-    of = grouped.join(least, "root").select(F.col("fp").alias("sig"), "class_id")
-    return own.select("id", "sig").join(of, "sig", "left").select("id", "class_id")
+    least = grouped.groupBy("root").agg(F.min("least").alias("near_id"))
+    of = cut(grouped.join(least, "root").select(F.col("fp").alias("sig"), "near_id"))
+    first = own.join(of.select(F.col("near_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("near_id"), F.col("digest").alias("first"), F.col("points").alias("others"), "side")
+    doubtful = own.where(F.size("points") >= MIN_INLIERS).select("sig", "digest", "points").join(of, "sig").dropDuplicates(["near_id", "digest"]).join(first, "near_id").where(F.col("digest") != F.col("first")).select("near_id", "digest", "points", "others", "side")
+
+    def run(batches):
+        for b in batches:
+            ok = [alike(*x) for x in zip(*(b.column(c).to_pylist() for c in ("points", "others", "side")), strict=True)]
+            yield b.select(["near_id", "digest"]).filter(pa.array([not x for x in ok], pa.bool_()))
+
+    unlike = doubtful.mapInArrow(run, T.StructType([doubtful.schema["near_id"], doubtful.schema["digest"]])).withColumn("unlike", F.lit(True))
+    placed = cut(own.select("id", "sig", "digest").join(of, "sig", "left").join(unlike, ["near_id", "digest"], "left"))
+    apart = F.col("sig").isNotNull() & (F.col("near_id").isNull() | F.col("unlike").isNotNull())
+    equal = placed.where(apart).groupBy("digest").agg(F.min("id").alias("equal_id")).withColumn("apart", F.lit(True))
+    return placed.withColumn("apart", apart).join(equal, ["digest", "apart"], "left").select("id", F.when(F.col("apart"), F.col("equal_id")).otherwise(F.col("near_id")).alias("class_id"))
 
 
 def search(media: DataFrame, queries: Column, id_col: str = "id", image_col: str = "image", min_inliers: int = MIN_INLIERS) -> DataFrame:

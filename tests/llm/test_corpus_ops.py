@@ -487,6 +487,20 @@ def test_media_odd_rows(spark):
     assert media.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_pictures_on_white_are_searched(spark):
+    r = np.random.default_rng(11)
+    rows = []
+    for i in range(6):  # a drawing in the middle of a white page, its copy and its crop
+        a = np.full((192, 192), 255.0)
+        a[56:136, 56:136] = np.kron(r.integers(0, 200, (8, 8)), np.ones((10, 10)))
+        rows += [(i, pgm(a)), (100 + i, pgm(a)), (200 + i, pgm(np.ascontiguousarray(a[8:184, 8:184])))]
+    got = media.search(spark.createDataFrame(rows, "id long, image binary"), F.col("id") >= 200).collect()
+    cls = {g["id"]: g["class_id"] for g in got}
+    pairs = {frozenset((g["query_class"], g["id"])) for g in got}
+    assert all(frozenset((200 + i, i)) in pairs for i in range(6))
+    assert all(cls[i] == cls[100 + i] == i and cls[200 + i] == 200 + i for i in range(6))
+
+
 def test_op9_classes(spark, sf):
     got = queries.op9_media(spark, sf).collect()
     assert {g["vec_id"] for g in got} == {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
