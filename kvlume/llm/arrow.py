@@ -7,6 +7,7 @@ can filter on the struct and keep the original columns without a join.
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -37,6 +38,13 @@ def process_cache(key, make: Callable):
     return store[key]
 
 
+def share(spark, value) -> Callable[[], object]:
+    """Broadcasts ``value``; the result gives it in a task. It travels as bytes
+    with its classes, as a plain broadcast would need an installed copy."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(data.value)
+
+
 def column_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or it with underscores added until no column has that name."""
     taken = {c.lower() for c in df.columns}

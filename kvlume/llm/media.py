@@ -7,13 +7,12 @@ by 32 of the bits, so near descriptors share a key in some table.  Pairs of
 images with enough near descriptors are kept if one similarity transform
 explains several of them and a fair share of the smaller image's corners.
 
-Plain copies never meet in pairs.  Images whose 8 x 8 brightness signatures
-differ in two bits or less, directly or by way of others, form a class if the
-descriptors of each agree with those of its smallest id; images that fail this,
-and those whose signature has few set bits (pictures on white), form classes of
-equal pixels only.  Class representatives enter the tables, and the result names
-each image's class.
-Images themselves are read once and never shuffled.
+Images of equal pixels form a class; class representatives enter the search,
+and the result names each image's class.  The stated queries go in blocks of at
+most ``BLOCK_POINTS`` corners: a block's four tables are broadcast, and every
+task looks its own images' corners up in them.  So neither images nor corners
+are shuffled, a key that many images share costs no more than its candidates,
+and no candidate is left out, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -24,16 +23,16 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvlume.llm import simhash
-from kvlume.llm.arrow import chunks
+from kvlume.llm.arrow import chunks, share
 from kvlume.llm.store import cut
 
-SCALES = (1.0, 0.8)
-CORNERS = 20  # for each scale
+#: Each scale against the one before it; there are as many as an image has room for.
+STEP = 0.8
+CORNERS = 20  # for each scale and each 96 x 96 pixels, and at least
 RADIUS = 15
 ANGLES = 36
 BITS = 128
@@ -45,13 +44,10 @@ MIN_SHARE = 0.17
 MAX_SIDE = 512
 #: Share of the smallest image side by which a point may miss its place.
 TOLERANCE = 0.06
-#: Index rows from which a key must also agree on the nearest corner's key, and
-#: such a pair also on the next nearest's: patches that many images share then
-#: bring no more partners than rare ones.
-HOT_KEY = 12
-
-#: Set bits from which a signature tells pictures apart.
-LEAST_SET = 8
+#: Corners of the queries that are broadcast at a time.
+BLOCK_POINTS = 400_000
+#: Candidates, or matches against hypotheses, in hand at a time.
+IN_HAND = 1_000_000
 
 _rng = np.random.default_rng(20240101)
 _disc = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if x * x + y * y <= RADIUS * RADIUS])
@@ -156,28 +152,20 @@ def _resize(a: np.ndarray, h: int, w: int) -> np.ndarray:
     return weights(a.shape[1], h) @ a @ weights(a.shape[2], w).T
 
 
-def signature(a: np.ndarray) -> np.ndarray:
-    """Which of 8 x 8 cells are brighter than the image's median cell, as a
-    signed 64-bit number for each image of a stack."""
-    cells = _resize(_box(a, max(1, min(a.shape[1:]) // 16)), 8, 8).reshape(len(a), 64)
-    bits = cells > np.median(cells, axis=1, keepdims=True) + 1e-3
-    return np.packbits(bits, axis=1).view(">i8")[:, 0].astype(np.int64)
-
-
-def digest(a: np.ndarray) -> int:
-    """Of an image's pixels, as a signed 64-bit number; 0 for all blank ones."""
-    from xxhash import xxh64
+def digest(a: np.ndarray) -> bytes:
+    """Of an image's pixels, 16 bytes; all blank images have one."""
+    from xxhash import xxh3_128
 
     if a.min() == a.max():
-        return 0
-    h = xxh64(np.array(a.shape, np.int64).tobytes())
+        return bytes(16)
+    h = xxh3_128(np.array(a.shape, np.int64).tobytes())
     h.update(np.ascontiguousarray(a).tobytes())
-    return int(np.uint64(h.intdigest()).view(np.int64))
+    return h.digest()
 
 
 def features(stack: np.ndarray) -> list[np.ndarray]:
-    """For each image of a stack of one size: rows of x, y, angle, scale, the two
-    descriptor words and the numbers of the two nearest corners of its scale."""
+    """For each image of a stack of one size: rows of the two descriptor words and
+    the packed place of a corner."""
     n, h, w = stack.shape
     out: list[list] = [[] for _ in range(n)]
     turn = 2 * np.pi / ANGLES
@@ -185,12 +173,13 @@ def features(stack: np.ndarray) -> list[np.ndarray]:
     for k in range(ANGLES):
         c, s = np.cos(k * turn), np.sin(k * turn)
         rotated[k] = np.round(_tests @ np.array([[c, -s], [s, c]]).T)
-    for scale in SCALES:
+    margin = RADIUS + 1
+    for level in range(256):
+        scale = STEP**level
         sh, sw = round(h * scale), round(w * scale)
-        margin = RADIUS + 1
         if min(sh, sw) < 2 * margin + 3:
-            continue
-        a = _box(stack if scale == 1.0 else _resize(stack, sh, sw), 1)
+            break
+        a = _box(stack if level == 0 else _resize(stack, sh, sw), 1)
         gx, gy = np.zeros_like(a), np.zeros_like(a)
         gx[:, :, 1:-1], gy[:, 1:-1] = a[:, :, 2:] - a[:, :, :-2], a[:, 2:] - a[:, :-2]
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
@@ -203,7 +192,8 @@ def features(stack: np.ndarray) -> list[np.ndarray]:
         cut_ = np.s_[:, margin:-margin, margin:-margin]
         inner[cut_] = own[cut_]
         flat = inner.reshape(n, -1)
-        best = np.argsort(-flat, axis=1, kind="stable")[:, :CORNERS] if flat.shape[1] <= 4096 else _top(flat, CORNERS)
+        most = max(CORNERS, round(CORNERS * sh * sw / 96**2))
+        best = np.argsort(-flat, axis=1, kind="stable")[:, :most] if flat.shape[1] <= 4096 else _top(flat, most)
         img, col = np.nonzero(np.take_along_axis(flat, best, axis=1) > 0)
         at = best[img, col]
         y, x = at // sw, at % sw
@@ -214,13 +204,10 @@ def features(stack: np.ndarray) -> list[np.ndarray]:
         first = a[img[:, None], y[:, None] + t[:, :, 0, 1], x[:, None] + t[:, :, 0, 0]]
         second = a[img[:, None], y[:, None] + t[:, :, 1, 1], x[:, None] + t[:, :, 1, 0]]
         words = np.packbits(first < second, axis=1).view(">i8").astype(np.int64)
-        for i in range(n):
-            mine = np.flatnonzero(img == i) if n == 1 else np.arange(*np.searchsorted(img, [i, i + 1]))
-            if len(mine):
-                gap = (y[mine][:, None] - y[mine]) ** 2 + (x[mine][:, None] - x[mine]) ** 2 + np.eye(len(mine)) * 1e9
-                base = sum(len(z) for z in out[i])
-                out[i].append(np.column_stack([x[mine] / scale, y[mine] / scale, angle[mine], np.full(len(mine), scale), words[mine, 0].view(np.float64), words[mine, 1].view(np.float64), *(np.argsort(gap, axis=1, kind="stable")[:, [0, min(1, len(mine) - 1)]].T + base)]))
-    return [np.concatenate(z) if z else np.zeros((0, 8)) for z in out]
+        rows = np.column_stack([words, pack_point(x / scale, y / scale, angle, level)])
+        for i, (lo, hi) in enumerate(zip(*(np.searchsorted(img, np.arange(n) + k) for k in (0, 1)), strict=True)):
+            out[i].append(rows[lo:hi])
+    return [np.concatenate(z) if z else np.zeros((0, 3), np.int64) for z in out]
 
 
 def _top(flat: np.ndarray, k: int) -> np.ndarray:
@@ -229,34 +216,30 @@ def _top(flat: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(part, order, axis=1)
 
 
-def pack_point(x, y, angle, scale) -> np.ndarray:
-    """Place (1/64 of a pixel), angle and scale number in one long."""
+def pack_point(x, y, angle, level: int) -> np.ndarray:
+    """Place (1/64 of a pixel), angle and number of the scale in one long."""
     turn = np.round((angle % (2 * np.pi)) / (2 * np.pi) * 4096).astype(np.int64) % 4096
-    number = np.array([SCALES.index(v) for v in scale], np.int64)
-    return np.round(x * 64).astype(np.int64) << 36 | np.round(y * 64).astype(np.int64) << 20 | turn << 8 | number
+    return np.round(x * 64).astype(np.int64) << 36 | np.round(y * 64).astype(np.int64) << 20 | turn << 8 | level
 
 
 def unpack_point(geo: np.ndarray) -> np.ndarray:
     """Columns x, y, angle, scale."""
-    return np.column_stack([(geo >> 36) / 64, (geo >> 20 & 0xFFFF) / 64, (geo >> 8 & 4095) * (2 * np.pi / 4096), np.array(SCALES)[geo & 255]])
+    return np.column_stack([(geo >> 36) / 64, (geo >> 20 & 0xFFFF) / 64, (geo >> 8 & 4095) * (2 * np.pi / 4096), STEP ** (geo & 255)])
 
 
-def described(media: DataFrame, id_col: str, image_col: str, batch: int = 32) -> DataFrame:
-    """id, sig (null if the image can't be decoded), digest, side and points: descriptor
-    words, packed place, and the packed numbers of the two nearest corners."""
-    rows = media.select(F.col(id_col).alias("id"), F.col(image_col).cast("binary").alias("image"))
-    names = ("d0", "d1", "geo", "next")
-    point = pa.struct([(c, pa.int64()) for c in names])
-    points_type = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in names]))
-    schema = T.StructType([rows.schema["id"], T.StructField("sig", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("side", T.LongType()), T.StructField("points", points_type)])
+def described(media: DataFrame, id_col: str, image_col: str, asked: Column, batch: int = 32) -> DataFrame:
+    """id, asked, digest (null if the image can't be decoded), side and points:
+    three little-endian longs for each corner, as ``features`` gives them."""
+    rows = media.select(F.col(id_col).alias("id"), F.coalesce(asked, F.lit(False)).alias("asked"), F.col(image_col).cast("binary").alias("image"))
+    schema = T.StructType([rows.schema["id"], rows.schema["asked"], T.StructField("digest", T.BinaryType()), T.StructField("side", T.LongType()), T.StructField("points", T.BinaryType())])
 
     def run(batches):
         for whole in batches:
-            sizes = pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = pc.fill_null(pc.binary_length(whole.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             for part in chunks(whole, sizes, 400_000):
-                images = [_bounded(decode(x)) for x in part.column(1).to_pylist()]
+                images = [_bounded(decode(x)) for x in part.column(2).to_pylist()]
                 n = len(images)
-                sig, side, points = [None] * n, [None] * n, [[] for _ in range(n)]
+                side, points = [None] * n, [b""] * n
                 by: dict[tuple, list[int]] = {}
                 for i, a in enumerate(images):
                     if a is not None:
@@ -266,13 +249,9 @@ def described(media: DataFrame, id_col: str, image_col: str, batch: int = 32) ->
                     for k in range(0, len(own), step):
                         some = own[k : k + step]
                         stack = np.stack([images[i] for i in some])
-                        for i, s, f in zip(some, signature(stack).tolist(), features(stack), strict=True):
-                            sig[i], side[i] = s, min(stack.shape[1:])
-                            if len(f):
-                                words = np.ascontiguousarray(f[:, 4:6]).view(np.int64)
-                                geo = pack_point(f[:, 0], f[:, 1], f[:, 2], f[:, 3].tolist())
-                                points[i] = [dict(zip(names, r, strict=True)) for r in np.column_stack([words, geo, f[:, 6].astype(np.int64) << 16 | f[:, 7].astype(np.int64)]).tolist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sig, pa.int64()), pa.array([None if a is None else digest(a) for a in images], pa.int64()), pa.array(side, pa.int64()), pa.array(points, pa.list_(point))], names=["id", "sig", "digest", "side", "points"])
+                        for i, f in zip(some, features(stack), strict=True):
+                            side[i], points[i] = min(stack.shape[1:]), f.astype("<i8").tobytes()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([None if a is None else digest(a) for a in images], pa.binary()), pa.array(side, pa.int64()), pa.array(points, pa.binary())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -284,110 +263,182 @@ def _bounded(a: np.ndarray | None) -> np.ndarray | None:
     return _resize(_box(a[None], max(1, int(0.5 / k))), max(1, round(a.shape[0] * k)), max(1, round(a.shape[1] * k)))[0]
 
 
-def consensus(matches: np.ndarray, side: float) -> tuple[int, float, float, float, float]:
-    """The similarity transform that most matches agree on, from each match's own
-    scales and angles: inliers (different corners on both sides), scale, angle
-    and shift. Columns: qx, qy, qangle, qscale, mx, my, mangle, mscale."""
-    q, m = matches[:, 0:2], matches[:, 4:6]
+def consensus(pair: np.ndarray, query: np.ndarray, match: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each pair of images the similarity transform that most of its matches
+    agree on, each match's own scales and angles giving a hypothesis: inliers
+    (different corners on both sides), scale, angle and shift.
+
+    ``pair``: each match's pair, from 0 and ascending; ``query`` and ``match``:
+    packed places; ``side``: the searched image's side, by pair. Ties go to the
+    first match. Work is done in slices of about ``IN_HAND`` judgements.
+    """
+    n = len(side)
+    q, m = unpack_point(query), unpack_point(match)
     # a corner found at a smaller scale of its image covers a larger patch there
-    grow = matches[:, 3] / matches[:, 7]
-    turn = matches[:, 6] - matches[:, 2]
+    grow, turn = q[:, 3] / m[:, 3], m[:, 2] - q[:, 2]
     c, s = grow * np.cos(turn), grow * np.sin(turn)
-    shift = m - np.column_stack([c * q[:, 0] - s * q[:, 1], s * q[:, 0] + c * q[:, 1]])
-    at = np.stack([c[:, None] * q[:, 0] - s[:, None] * q[:, 1] + shift[:, :1], s[:, None] * q[:, 0] + c[:, None] * q[:, 1] + shift[:, 1:]], axis=2)
-    off = np.hypot(at[..., 0] - m[:, 0], at[..., 1] - m[:, 1])
-    bend = np.abs((turn[:, None] - turn + np.pi) % (2 * np.pi) - np.pi)
-    good = (off <= TOLERANCE * side * np.maximum(1, grow)[:, None]) & (bend <= 0.5) & (np.abs(np.log(grow[:, None] / grow)) <= 0.5)
-    corner_q = np.unique(np.round(q), axis=0, return_inverse=True)[1].ravel()
-    corner_m = np.unique(np.round(m), axis=0, return_inverse=True)[1].ravel()
-    count = [min(len(set(corner_q[g])), len(set(corner_m[g]))) for g in good]
-    k = int(np.argmax(count))
-    return count[k], float(grow[k]), float((turn[k] + np.pi) % (2 * np.pi) - np.pi), float(shift[k, 0]), float(shift[k, 1])
-
-
-def alike(points: list[dict], others: list[dict], side: int) -> bool:
-    """Whether one similarity transform explains enough near descriptors."""
-    p, o = (np.array([(r["d0"], r["d1"], r["geo"]) for r in x], np.int64).reshape(-1, 3) for x in (points, others))
-    gap = sum(np.bitwise_count((p[:, None, k] ^ o[:, k]).view(np.uint64)).astype(int) for k in (0, 1))
-    i, j = np.nonzero(gap <= MAX_DISTANCE)
-    if len(i) < MIN_INLIERS:
-        return False
-    n = consensus(np.column_stack([unpack_point(p[i, 2]), unpack_point(o[j, 2])]), side)[0]
-    return n >= max(MIN_INLIERS, MIN_SHARE * min(len(p), len(o)))
-
-
-def classes(own: DataFrame) -> DataFrame:
-    """id and class_id: the smallest id of the images that chains of signatures
-    at distance 2 or less reach, where the descriptors agree with that image's or
-    are too few to be searched; the smallest id of equal pixels for others.
-    Images that can't be decoded have class null."""
-    rich = F.bit_count("sig") >= LEAST_SET
-    known = own.where(rich).select("id", F.col("sig").alias("fp"))
-    grouped = simhash._classes(known)
-    least = grouped.groupBy("root").agg(F.min("least").alias("near_id"))
-    of = cut(grouped.join(least, "root").select(F.col("fp").alias("sig"), "near_id"))
-    first = own.join(of.select(F.col("near_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("near_id"), F.col("digest").alias("first"), F.col("points").alias("others"), "side")
-    doubtful = own.where(F.size("points") >= MIN_INLIERS).select("sig", "digest", "points").join(of, "sig").dropDuplicates(["near_id", "digest"]).join(first, "near_id").where(F.col("digest") != F.col("first")).select("near_id", "digest", "points", "others", "side")
-
-    def run(batches):
-        for b in batches:
-            ok = [alike(*x) for x in zip(*(b.column(c).to_pylist() for c in ("points", "others", "side")), strict=True)]
-            yield b.select(["near_id", "digest"]).filter(pa.array([not x for x in ok], pa.bool_()))
-
-    unlike = doubtful.mapInArrow(run, T.StructType([doubtful.schema["near_id"], doubtful.schema["digest"]])).withColumn("unlike", F.lit(True))
-    placed = cut(own.select("id", "sig", "digest").join(of, "sig", "left").join(unlike, ["near_id", "digest"], "left"))
-    apart = F.col("sig").isNotNull() & (F.col("near_id").isNull() | F.col("unlike").isNotNull())
-    equal = placed.where(apart).groupBy("digest").agg(F.min("id").alias("equal_id")).withColumn("apart", F.lit(True))
-    return placed.withColumn("apart", apart).join(equal, ["digest", "apart"], "left").select("id", F.when(F.col("apart"), F.col("equal_id")).otherwise(F.col("near_id")).alias("class_id"))
-
+    dx, dy = m[:, 0] - (c * q[:, 0] - s * q[:, 1]), m[:, 1] - (s * q[:, 0] + c * q[:, 1])
+    place = lambda z: np.round(z[:, 0]).astype(np.int64) << 20 | np.round(z[:, 1]).astype(np.int64)
+    corners = [np.unique(place(z), return_inverse=True)[1].ravel() for z in (q, m)]
+    size = np.bincount(pair, minlength=n)
+    first = np.concatenate(([0], np.cumsum(size)))
+    load = np.cumsum(size[pair])
+    count = np.zeros(len(pair), np.int64)
+    at = 0
+    while at < len(pair):
+        to = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + IN_HAND, side="right")))
+        k = size[pair[at:to]]
+        i = np.repeat(np.arange(at, to), k)
+        j = np.repeat(first[pair[at:to]] - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(len(i))
+        off = np.hypot(c[i] * q[j, 0] - s[i] * q[j, 1] + dx[i] - m[j, 0], s[i] * q[j, 0] + c[i] * q[j, 1] + dy[i] - m[j, 1])
+        good = off <= TOLERANCE * side[pair[i]] * np.maximum(1, grow[i])
+        i, j = i[good], j[good]
+        bend = np.abs((turn[i] - turn[j] + np.pi) % (2 * np.pi) - np.pi)
+        good = (bend <= 0.5) & (np.abs(np.log(grow[i] / grow[j])) <= 0.5)
+        i, j = i[good], j[good]
+        different = [np.bincount(np.unique((i - at) * len(pair) + z[j]) // len(pair), minlength=to - at) for z in corners]
+        count[at:to] = np.minimum(*different)
+        at = to
+    best = np.lexsort((np.arange(len(pair)), -count, pair))[first[:-1]] if n else np.zeros(0, np.int64)
+    return count[best], grow[best], (turn[best] + np.pi) % (2 * np.pi) - np.pi, dx[best], dy[best]
+
+
+class Block:
+    """Hamming tables over the corners of a block of query images."""
+
+    def __init__(self, rows: np.ndarray, points: list[bytes]):
+        self.rows = rows
+        self.size = np.array([len(p) // 24 for p in points], np.int64)
+        self.image = np.repeat(np.arange(len(rows)), self.size)
+        own = np.frombuffer(b"".join(points), "<i8").reshape(-1, 3)
+        self.words, self.geo = [np.ascontiguousarray(own[:, k]).view(np.uint64) for k in (0, 1)], np.ascontiguousarray(own[:, 2])
+        self.tables = []
+        for t in range(4):
+            key = _key(self.words, t)
+            order = np.argsort(key, kind="stable")
+            self.tables.append((key[order], order))
+
+    def ranges(self, words: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By table: where each corner's key begins in it and how often it occurs."""
+        out = []
+        for t, (key, _) in enumerate(self.tables):
+            own = _key(words, t)
+            lo = np.searchsorted(key, own)
+            out.append((lo, np.searchsorted(key, own, side="right") - lo))
+        return out
 
-def search(media: DataFrame, queries: Column, id_col: str = "id", image_col: str = "image", min_inliers: int = MIN_INLIERS) -> DataFrame:
+    def near(self, words: list[np.ndarray], ranges: list, begin: int, end: int):
+        """(corner, query corner) pairs of the corners from ``begin`` to ``end``
+        that share a key and are near, each once; about ``IN_HAND`` candidates at
+        a time."""
+        load = np.cumsum(sum(n[begin:end] for _, n in ranges))
+        at = 0
+        while at < len(load):
+            to = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + IN_HAND, side="right")))
+            some = slice(begin + at, begin + to)
+            for t, ((_, order), (lo, n)) in enumerate(zip(self.tables, ranges, strict=True)):
+                k = n[some]
+                i = np.repeat(np.arange(some.start, some.stop), k)
+                j = order[np.repeat(lo[some] - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(len(i))]
+                x = [np.repeat(w[some], k) ^ v[j] for w, v in zip(words, self.words, strict=True)]
+                good = np.bitwise_count(x[0]).astype(np.int64) + np.bitwise_count(x[1]) <= MAX_DISTANCE
+                for before in range(t):  # met in an earlier table already
+                    good &= _key(x, before) != 0
+                yield i[good], j[good]
+            at = to
+
+
+def _key(words: list[np.ndarray], table: int) -> np.ndarray:
+    w = words[table // 2]
+    return ((w >> np.uint64(32)) if table % 2 == 0 else w).astype(np.uint32)
+
+
+def matches(rows: np.ndarray, side: np.ndarray, points: list[bytes], block: Block, min_inliers: int = MIN_INLIERS):
+    """Of some images against a block of queries: columns row, query row, matches
+    and the consensus of each pair that stands; a few images at a time."""
+    size = np.array([len(p) // 24 for p in points], np.int64)
+    first = np.concatenate(([0], np.cumsum(size)))
+    own = np.frombuffer(b"".join(points), "<i8").reshape(-1, 3)
+    words, geo = [np.ascontiguousarray(own[:, k]).view(np.uint64) for k in (0, 1)], own[:, 2]
+    ranges = block.ranges(words)
+    load = np.concatenate(([0], np.cumsum(sum(n for _, n in ranges))))[first]
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(load, load[at] + IN_HAND, side="right")) - 1)
+        image = np.repeat(np.arange(to - at), size[at:to])
+        n_q = len(block.rows)
+
+        def met(at=at, to=to, image=image, n_q=n_q):
+            for i, j in block.near(words, ranges, first[at], first[to]):
+                yield i, j, image[i - first[at]] * n_q + block.image[j]
+
+        # an image with more candidates than fit in hand is searched twice
+        again = load[to] - load[at] > 4 * IN_HAND
+        n, held = np.zeros((to - at) * n_q, np.int64), []
+        for found in met():
+            n += np.bincount(found[2], minlength=len(n))
+            if not again:
+                held.append(found)
+        least = np.maximum(min_inliers, MIN_SHARE * np.minimum.outer(size[at:to], block.size)).ravel()
+        stand = (n >= least) & (rows[at:to, None] != block.rows).ravel()
+        kept = [[z[stand[pair]] for z in (i, j, pair)] for i, j, pair in (met() if again else held)]
+        if kept and stand.any():
+            i, j, pair = (np.concatenate(z) for z in zip(*kept, strict=True))
+            order = np.lexsort((j, i, pair))
+            i, j, pair = i[order], j[order], pair[order]
+            which, number = np.unique(pair, return_inverse=True)
+            got = consensus(number.ravel(), block.geo[j], geo[i], side[at + which // n_q])
+            good = got[0] >= least[which]
+            which = which[good]
+            yield rows[at + which // n_q], which % n_q, n[which], *[g[good] for g in got]
+        at = to
+
+
+def _placed(own: DataFrame) -> DataFrame:
+    """``own`` with the class each image belongs to: class_id, class_row (the row
+    that represents it) and class_asked (whether any of its images is)."""
+    one = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    same = own.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(one).alias("first"), F.max("asked").alias("any"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("digest", "first", "any")
+    alone = F.when(F.col("digest").isNotNull(), F.struct(F.col("id").alias("id"), F.col("row").alias("row")))
+    first = F.when(F.col("first").isNotNull(), F.struct(F.col("first.id").alias("id"), F.col("first.row").alias("row"))).otherwise(alone)
+    return own.join(same, "digest", "left").select("id", "row", "side", "points", first["id"].alias("class_id"), first["row"].alias("class_row"), F.coalesce("any", "asked").alias("class_asked"))
+
+
+def search(media: DataFrame, queries: Column, id_col: str = "id", image_col: str = "image", min_inliers: int = MIN_INLIERS, block_points: int = BLOCK_POINTS) -> DataFrame:
     """A row per image and match: id, class_id, query_class, inliers, n_matches,
     scale, angle, dx, dy.
 
     Queries are the classes with a row for which ``queries`` holds, against all
-    others. Each image has a row that names its class; matches stand at class
-    representatives (id = class_id), one row each; query_class is null where
-    there is none. Null, empty and unreadable images have class null and no
-    matches; repeated rows share a class; ids should be unique. An empty table
-    gives an empty result.
+    others. Each image has a row that names its class, the smallest id of the
+    images with equal pixels; matches stand at the row that represents a class,
+    one row each; query_class is null where there is none. Null, empty and
+    unreadable images (anything but binary PGM or PPM and 8-bit PNG without
+    interlacing) have class null and no matches; repeated rows share a class; a
+    null id is nobody's class name as long as the class has another id. Columns
+    other than the two named ones are not looked at, whatever their names. An
+    empty table gives an empty result.
     """
-    marked = media.select(F.col(id_col), F.col(image_col), F.coalesce(queries, F.lit(False)).alias("_q"))
-    own = cut(described(marked, id_col, image_col))
-    member = cut(classes(own))
-    asked = marked.select(F.col(id_col).alias("id"), "_q").where("_q").join(member, "id").select("class_id").distinct()
-    reps = own.join(member.where(F.col("id") == F.col("class_id")).select("id").distinct(), "id").dropDuplicates(["id"])
-    points = reps.select("id", F.posexplode("points").alias("_i", "p"), "points")
-    word = lambda p, t: (p["d1"] if t > 1 else p["d0"]) if t % 2 else F.shiftrightunsigned(p["d1"] if t > 1 else p["d0"], 32)
-    low = lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))
-    beside = [F.get("points", F.shiftright("p.next", 16).cast("int")), F.get("points", F.col("p.next").bitwiseAND(F.lit(65535)).cast("int"))]
-    in_tables = F.explode(F.array(*[F.struct((F.lit(t << 32) + low(word(F.col("p"), t))).alias("key"), F.shiftleft(low(word(beside[0], t)), 32).bitwiseOR(low(word(beside[1], t))).alias("next")) for t in range(4)]))
-    table = points.select("id", "p.d0", "p.d1", "p.geo", in_tables.alias("k")).select("id", "d0", "d1", "geo", "k.key", "k.next")
-    asking = table.join(asked.select(F.col("class_id").alias("id")), "id", "left_semi")
-    # only index rows whose key is asked for go on
-    index = cut(table.join(asking.select("key").distinct(), "key", "left_semi"))
-    one = F.shiftrightunsigned("next", 32)
-    # counts by key and neighbour in one pass, from which those by key follow
-    counts = index.groupBy("key", one.alias("one")).agg(F.count(F.lit(1)).alias("c2"))
-    sizes = counts.withColumn("c1", F.sum("c2").over(Window.partitionBy("key"))).where(F.col("c1") > HOT_KEY).select("key", "one", "c2")
-    more = F.when(F.col("c2") > HOT_KEY, F.col("next")).when(F.col("c2").isNotNull(), F.col("one")).otherwise(-1).alias("more")
-    right = index.withColumn("one", one).join(sizes, ["key", "one"], "left").select("id", "d0", "d1", "geo", "key", more)
-    left = right.join(asked.select(F.col("class_id").alias("id")), "id", "left_semi").select(F.col("id").alias("q"), F.col("d0").alias("q0"), F.col("d1").alias("q1"), F.col("geo").alias("qgeo"), "key", "more")
-    near = F.bit_count(F.col("q0").bitwiseXOR(F.col("d0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("d1"))) <= MAX_DISTANCE
-    met = left.join(right, ["key", "more"]).where((F.col("q") != F.col("id")) & near)
-    pairs = met.groupBy("q", "id").agg(F.collect_set(F.struct("qgeo", "geo")).alias("m")).where(F.size("m") >= min_inliers)
-    size = reps.select("id", "side", F.size("points").alias("n"))
-    pairs = pairs.join(size, "id").join(size.select(F.col("id").alias("q"), F.col("n").alias("qn")), "q").select("q", "id", "side", F.least("n", "qn").alias("n"), "m").where(F.size("m") >= MIN_SHARE * F.col("n"))
-    schema = T.StructType([T.StructField("query_class", pairs.schema["q"].dataType), T.StructField("id", pairs.schema["id"].dataType), T.StructField("corners", T.IntegerType()), T.StructField("n_matches", T.LongType()), T.StructField("inliers", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("scale", "angle", "dx", "dy")]])
-
-    def run(batches):
-        for b in batches:
-            got = []
-            for side, m in zip(b.column("side").to_pylist(), b.column("m").to_pylist(), strict=True):
-                rows = [unpack_point(np.array([r[c] for r in m], np.int64)) for c in ("qgeo", "geo")]
-                got.append((len(m), *consensus(np.column_stack(rows), side)))
-            cols = list(zip(*got, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("id"), b.column("n"), *[pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.float64()] * 4, strict=True)]], names=schema.names)
-
-    found = pairs.mapInArrow(run, schema).where((F.col("inliers") >= min_inliers) & (F.col("inliers") >= MIN_SHARE * F.col("corners")))
-    return member.join(found, "id", "left").select(F.col("id").alias(id_col), "class_id", "query_class", "inliers", "n_matches", "scale", "angle", "dx", "dy")
+    spark = media.sparkSession
+    own = cut(described(media, id_col, image_col, queries).withColumn("row", F.monotonically_increasing_id()))
+    placed = _placed(own)
+    reps = placed.where(F.col("row") == F.col("class_row")).select("id", "row", "side", "points", "class_asked")
+    asked = reps.where(F.col("class_asked") & (F.octet_length("points") >= 24 * min_inliers))
+    total = asked.agg(F.coalesce(F.sum(F.octet_length("points")), F.lit(0)).alias("b")).first()["b"] // 24
+    n_blocks = max(1, -(-total // block_points))
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("query_class", own.schema["id"].dataType), *[T.StructField(c, T.LongType()) for c in ("inliers", "n_matches")], *[T.StructField(c, T.DoubleType()) for c in ("scale", "angle", "dx", "dy")]])
+    found = None
+    for k in range(n_blocks):
+        part = asked.where(F.pmod(F.xxhash64("row"), F.lit(n_blocks)) == k).select("id", "row", "points").toArrow()
+        shared = share(spark, (part["id"].combine_chunks(), Block(part["row"].to_numpy(), part["points"].to_pylist())))
+
+        def run(batches, shared=shared):
+            names, block = shared()
+            for whole in batches:
+                for b in chunks(whole, pc.binary_length(whole.column(2)).to_numpy(zero_copy_only=False).astype(np.int64), 256_000):
+                    for row, query, n, inliers, *rest in matches(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist(), block, min_inliers):
+                        yield pa.RecordBatch.from_arrays([pa.array(row), names.take(pa.array(query)), pa.array(inliers), pa.array(n), *[pa.array(r) for r in rest]], names=schema.names)
+
+        got = reps.where(F.octet_length("points") >= 24 * min_inliers).select("row", "side", "points").mapInArrow(run, schema)
+        got = cut(got) if n_blocks > 1 else got
+        found = got if found is None else found.unionByName(got)
+    return placed.select("id", "row", "class_id").join(found, "row", "left").select(F.col("id").alias(id_col), "class_id", "query_class", "inliers", "n_matches", "scale", "angle", "dx", "dy")

@@ -456,32 +456,93 @@ def test_decode():
         assert media.decode(bad) is None
 
 
-def test_edited_copies_are_found(spark):
+def edited(n, step=4):
+    """``n`` mosaics, edits of every ``step``-th of the first 120, and whose they are."""
     r = np.random.default_rng(7)
-    base = [queries.mosaic(r.normal(size=64)) for _ in range(120)]
+    base = [queries.mosaic(r.normal(size=64)) for _ in range(n)]
     rows, truth = list(enumerate(base)), {}
-    for i in range(0, 120, 4):
+    for i in range(0, 120, step):
         a = media.decode(base[i])
         edits = [a + r.normal(0, 10, a.shape), a * 0.6 + 50, a[12:84, 12:84], np.rot90(a), media._resize(a[None], 144, 144)[0]]
         for k, e in enumerate(edits):
-            truth[1000 + i * 10 + k] = i
-            rows.append((1000 + i * 10 + k, pgm(np.ascontiguousarray(e))))
-    df = spark.createDataFrame(rows, "id long, image binary")
-    got = media.search(df, F.col("id") >= 1000).collect()
-    cls = {g["id"]: g["class_id"] for g in got}
+            truth[10**6 + i * 10 + k] = i
+            rows.append((10**6 + i * 10 + k, pgm(np.ascontiguousarray(e))))
+    return rows, truth
+
+
+@pytest.mark.parametrize("n", [120, 3_000])
+def test_edited_copies_are_found(spark, n):
+    """Each kind of edit, whatever the size of the table."""
+    rows, truth = edited(n)
+    df = spark.createDataFrame(rows, "id long, image binary").repartition(8)
+    got = media.search(df, F.col("id") >= 10**6).collect()
     pairs = {(g["query_class"], g["id"]) for g in got if g["query_class"] is not None}
     pairs |= {(b, a) for a, b in pairs}
-    found = sum(cls[e] == cls[i] or (cls[e], cls[i]) in pairs for e, i in truth.items())
-    assert found >= 0.9 * len(truth)
+    for k in range(5):
+        of = [(e, i) for e, i in truth.items() if e % 10 == k]
+        assert sum(p in pairs for p in of) >= 0.9 * len(of), k
     origin = lambda x: truth.get(x, x)
     assert sum(origin(a) != origin(b) for a, b in pairs) <= 0.02 * len(pairs)
 
 
+def brute_consensus(q, m, side):
+    """Most different corners, on both sides, that one match's transform explains."""
+    best = 0
+    for k in range(len(q)):
+        grow, turn = q[k, 3] / m[k, 3], m[k, 2] - q[k, 2]
+        turned = grow * np.array([[math.cos(turn), -math.sin(turn)], [math.sin(turn), math.cos(turn)]])
+        shift = m[k, :2] - turned @ q[k, :2]
+        good = []
+        for j in range(len(q)):
+            off = np.hypot(*(turned @ q[j, :2] + shift - m[j, :2]))
+            bend = abs((turn - (m[j, 2] - q[j, 2]) + math.pi) % (2 * math.pi) - math.pi)
+            if off <= media.TOLERANCE * side * max(1, grow) and bend <= 0.5 and abs(math.log(grow / (q[j, 3] / m[j, 3]))) <= 0.5:
+                good.append(j)
+        best = max(best, min(len({tuple(np.round(z[j, :2])) for j in good}) for z in (q, m)))
+    return best
+
+
+def test_search_equals_brute_force(spark, monkeypatch):
+    """All pairs of corners of all pairs of images, with one block, with several
+    and with little in hand."""
+    rows, _ = edited(120, 12)
+    rows = rows[:30] + rows[120:]
+    points = [np.concatenate(media.features(media.decode(x)[None])) for _, x in rows]
+    asked = lambda i: i >= 10**6 and i % 2 == 0
+    want = set()
+    for (i, _), p in zip(rows, points, strict=True):
+        for (j, x), o in zip(rows, points, strict=True):
+            if not asked(i) or i == j:
+                continue
+            gap = sum(np.bitwise_count((p[:, None, k] ^ o[:, k]).view(np.uint64)).astype(int) for k in (0, 1))
+            key = np.zeros(gap.shape, bool)
+            for k in (0, 1):
+                both = (p[:, None, k] ^ o[:, k]).view(np.uint64)
+                key |= (both >> np.uint64(32) == 0) | (both & np.uint64(0xFFFFFFFF) == 0)
+            a, b = np.nonzero((gap <= media.MAX_DISTANCE) & key)
+            least = max(media.MIN_INLIERS, media.MIN_SHARE * min(len(p), len(o)))
+            if len(a) >= least:
+                n = brute_consensus(media.unpack_point(p[a, 2]), media.unpack_point(o[b, 2]), min(media.decode(x).shape))
+                if n >= least:
+                    want.add((i, j, n, len(a)))
+    assert len(want) > 60
+    df = spark.createDataFrame(rows, "id long, image binary").repartition(4)
+    for blocks in (media.BLOCK_POINTS, 400):
+        got = media.search(df, (F.col("id") >= 10**6) & (F.col("id") % 2 == 0), block_points=blocks).where("query_class IS NOT NULL").collect()
+        assert sorted((g["query_class"], g["id"], g["inliers"], g["n_matches"]) for g in got) == sorted(want)
+    monkeypatch.setattr(media, "IN_HAND", 50)
+    of = [k for k, (i, _) in enumerate(rows) if asked(i)]
+    data = [p.astype("<i8").tobytes() for p in points]
+    block = media.Block(np.array(of), [data[k] for k in of])
+    found = media.matches(np.arange(len(rows)), np.array([min(media.decode(x).shape) for _, x in rows]), data, block)
+    assert sorted((rows[of[q]][0], rows[k][0], i, n) for r in found for k, q, n, i in zip(*(x.tolist() for x in r[:4]), strict=True)) == sorted(want)
+
+
 def test_media_odd_rows(spark):
     r = np.random.default_rng(1)
     one = queries.mosaic(r.normal(size=64))
     rows = [(1, one), (2, one), (2, one), (3, None), (4, b""), (5, b"junk"), (6, pgm(np.zeros((3, 3)))), (7, pgm(np.full((96, 96), 9.0))), (None, one)]
-    df = spark.createDataFrame(rows, "id long, image binary").withColumn("sig", F.lit("clash"))
+    df = spark.createDataFrame(rows, "id long, image binary").withColumn("digest", F.lit("clash")).withColumn("row", F.lit("clash"))
     got = collections.Counter((g["id"], g["class_id"], g["query_class"]) for g in media.search(df, F.lit(True)).collect())
     assert got[1, 1, None] == 1 and got[2, 1, None] >= 2 and got[3, None, None] == got[4, None, None] == got[5, None, None] == 1 and got[7, 6, None] == 1
     assert media.search(df.limit(0), F.lit(True)).count() == 0
