@@ -1,9 +1,13 @@
 """Near copies by the Jaccard similarity of word shingles.
 
 Texts whose sets of 5-word shingles have a Jaccard similarity of ``SIMILARITY``
-or more are linked.  Candidates come from ``BANDS`` MinHash bands of ``ROWS``
-values (a pair at 0.8 shares none with a chance of 7e-5); every candidate is
-then judged by the exact similarity of the two sets, so no link is wrong.
+or more are linked.  Candidates share a key of the covering tables of their
+SimHash fingerprints over the same shingles, which no pair within the radius
+escapes, or one of ``BANDS`` MinHash bands of ``ROWS`` values: at a similarity
+of 0.8 fingerprints differ in 10 bits of 64 on average, and covering 19 bits,
+as nearly all such pairs would need, takes a million tables.  A pair at exactly
+0.8 shares no band with a chance of 7e-5.  Every candidate is then judged by
+the exact similarity of the two sets, so no link is wrong.
 
 Only different sets enter.  In a bucket all are first compared with its least
 member; what this has joined needs no more comparing, so a bucket of near copies
@@ -19,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvlume.llm.arrow import SPACED, Words, add_result, as_string, column_name
+from kvlume.llm.arrow import SPACED, Words, add_result, as_string, column_name, share
 from kvlume.llm.components import components
-from kvlume.llm.simhash import keep_first, shingle_hashes
+from kvlume.llm.simhash import majority_bits, masks, shingle_hashes
 from kvlume.llm.store import cut
 
 SHINGLE = 5
@@ -32,18 +36,27 @@ SEED = 42
 #: Bits of the filter that tells which sets may be asked for.
 FILTER_BITS = 1 << 23
 
-_FOUND = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+_FOUND = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 _SET = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("members", T.ArrayType(T.LongType()))])
 _odd = np.random.default_rng(20240102).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Of each text the sorted set of its shingles' hashes, and a hash of the set."""
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of each text the sorted set of its shingles' hashes, a hash of the set, and
+    the SimHash fingerprint of the shingles."""
     from xxhash import xxh64_intdigest
 
     h, off = shingle_hashes(Words(texts, SPACED), size, SEED)
     sets = [np.unique(h[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-    return sets, np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+    once = np.concatenate(sets) if sets else h
+    print_ = majority_bits(once, np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64))
+    return sets, np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64), print_
+
+
+def covering_keys(prints: np.ndarray) -> np.ndarray:
+    """The keys of fingerprints in the covering tables, a column for each table."""
+    cols = [((prints & np.uint64(m)) * _odd[t] ^ _odd[-1 - t]) * np.uint64(0x9E3779B97F4A7C15) for t, m in enumerate(masks())]
+    return np.stack(cols, axis=1).view(np.int64)
 
 
 def bands(sets: list[np.ndarray]) -> list:
@@ -63,12 +76,13 @@ def bands(sets: list[np.ndarray]) -> list:
 
 def described(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     """``docs`` with a struct column ``name``: ``fp`` (hash of the shingle set),
-    ``n`` (its size) and ``bands``."""
+    ``n`` (its size) and ``keys`` (those of its buckets; an empty set has none)."""
 
     def start():
         def one(texts):
-            sets, fp = shingle_sets(texts)
-            return [pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands(sets), pa.list_(pa.int64()))]
+            sets, fp, prints = shingle_sets(texts)
+            keys = [[*b, *c] if b else [] for b, c in zip(bands(sets), covering_keys(prints).tolist(), strict=True)]
+            return [pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
 
         return one
 
@@ -84,13 +98,13 @@ def _sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     # eight bytes of bits a row, so what reaches the driver is bounded too
     for r in wanted.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(fp & 63 as int))")).alias("b")).toLocalIterator():
         bits[r["at"] * 64 : r["at"] * 64 + 64] = np.unpackbits(np.array([r["b"]], "<i8").view(np.uint8), bitorder="little").astype(bool)
-    asked = spark.sparkContext.broadcast(np.packbits(bits))
+    asked = share(spark, np.packbits(bits))
 
     def start():
-        may = np.unpackbits(asked.value).astype(bool)
+        may = np.unpackbits(asked()).astype(bool)
 
         def one(texts):
-            sets, fp = shingle_sets(texts)
+            sets, fp, _ = shingle_sets(texts)
             take = may[fp & (FILTER_BITS - 1)]
             return [pa.array(fp), pa.array([len(s) if t else -1 for s, t in zip(sets, take, strict=True)], pa.int64()), pa.array([s.view(np.int64) if t else None for s, t in zip(sets, take, strict=True)], pa.list_(pa.int64()))]
 
@@ -113,12 +127,12 @@ def _verified(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
-    """Links (a, b) between sets of ``classes`` (fp, n, bands) whose components
+    """Links (a, b) between sets of ``classes`` (fp, n, keys) whose components
     are those of all candidates that are similar enough."""
     p, q = SIMILARITY
     fits = lambda x, y: (q * F.least(x, y) >= p * F.greatest(x, y))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    keys = classes.select("fp", "n", F.explode("bands").alias("key"))
+    keys = classes.select("fp", "n", F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("fp", "n")).alias("l")).where(F.col("c") > 1)
     shared = cut(keys.join(sizes, "key").select("key", "fp", "n", F.col("l.fp").alias("lead"), F.col("l.n").alias("lead_n")))
     tried = cut(shared.where((F.col("fp") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"))).select(*pair(F.col("fp"), F.col("lead"))).distinct())
@@ -138,12 +152,26 @@ def links(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
 
 def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One document of each component of similar texts: the one with the smallest
-    id (null ids come last). Texts without words are copies of one another."""
+    id (null ids come last; of texts that share that id the one whose hash is
+    smallest; of repeated rows one). Texts without words, null ones too, are
+    copies of one another. Other columns stay as they are, whatever their names;
+    an empty table gives an empty result."""
     docs = as_string(docs, text_col)
-    name = column_name(docs, "copies")
-    marked = described(docs, text_col, name)
-    own = cut(marked.select(F.col(id_col).alias("id"), F.col(name)["fp"].alias("fp"), F.col(name)["n"].alias("n"), F.col(name)["bands"].alias("bands")))
-    one = own.groupBy("fp").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    found = components(links(docs, one, text_col))
-    classes = one.join(found, one["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return keep_first(docs, own.select("id", "fp"), classes, marked, name, text_col, id_col)
+    narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    found = described(narrow, "text", "found")
+    own = cut(found.select("id", "mark", "found.fp", "found.n", "found.keys"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    one = cut(own.groupBy("fp").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    root = components(links(docs, one, text_col))
+    stay = one.join(root, one["fp"] == root["node"], "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("s")).select("s.id", "s.mark")
+    copies = own.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    i, mark, more = (column_name(docs, c) for c in ("_id", "_mark", "_more"))
+    stay = cut(stay.join(copies, stay["id"].eqNullSafe(copies["id"]) & (stay["mark"] == copies["mark"]), "left").select(stay["id"].alias(i), stay["mark"].alias(mark), F.col("c").isNotNull().alias(more)))
+    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(mark)))
+    columns = [F.col(c) for c in docs.columns]
+    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
+    single = kept.where(~F.col(more)).select(*columns)
+    if stay.where(more).isEmpty():
+        return single
+    repeated = kept.where(more).groupBy(i, mark).agg(F.min_by(F.struct(*columns), F.xxhash64(*hashed)).alias("row"))
+    return single.unionByName(repeated.select("row.*"))

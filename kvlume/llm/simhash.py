@@ -152,29 +152,12 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return own.join(class_of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **kw) -> DataFrame:
-    """One document of each component: the one with the smallest id (null ids
-    come last). Of rows that repeat that id with one fingerprint, one stays."""
-    docs = as_string(docs, text_col)
-    own = cut(_own(docs, text_col, id_col, **kw))
-    name = column_name(docs, "simhash")
-    return keep_first(docs, own, _classes(own), fingerprints(docs, text_col, name, **kw), name, text_col, id_col)
-
-
-def keep_first(docs: DataFrame, own: DataFrame, classes: DataFrame, marked: DataFrame, name: str, text_col: str, id_col: str) -> DataFrame:
-    """One document of each root of ``classes`` (fp, least, root). ``own`` holds
-    id and fp of ``docs``, ``marked`` is ``docs`` with the struct ``name`` of fp."""
-    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp"))
-    stay = classes.groupBy("root").agg(first.alias("s")).select(F.col("s.least").alias("_id"), F.col("s.fp").alias("_fp"))
-    copies = own.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    stay = cut(stay.join(copies, stay["_id"].eqNullSafe(copies["id"]) & (stay["_fp"] == copies["fp"]), "left").select("_id", "_fp", F.coalesce("n", F.lit(1)).alias("_n")))
-    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(name)["fp"] == F.col("_fp")))
-    single = kept.where(F.col("_n") == 1).select(*[F.col(c) for c in docs.columns])
-    if stay.where(F.col("_n") > 1).isEmpty():
-        return single
-    repeated = kept.where(F.col("_n") > 1)
-    one = repeated.groupBy("_id", "_fp").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(text_col)).alias("row"))
-    return single.unionByName(one.select("row.*"))
+def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One document of each group of near copies: texts whose 5-word shingles are
+    similar by 0.8 or more, directly or by way of others (see ``near_copies``)."""
+    from kvlume.llm import near_copies
+
+    return near_copies.deduplicate(docs, text_col, id_col)
 
 
 def hex16(fp):

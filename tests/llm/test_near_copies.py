@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from kvlume.llm import near_copies
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from kvlume.llm import near_copies, simhash
 
 
 def brute_kept(rows):
@@ -34,7 +37,7 @@ def test_similar_texts_of_the_table(spark, sf):
     import corpus_pipeline as c
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    stage = dict(c.STAGES)["near copies"]
+    stage = dict(c.STAGES)["SimHash near-dedup"]
     got = {r["doc_id"] for r in stage(spark, docs, sf).collect()}
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert got == brute_kept(rows)
@@ -56,3 +59,25 @@ def test_groups_of_edited_copies(spark):
     assert kept.schema == docs.schema
     assert {x["doc_id"] for x in kept.collect()} == brute_kept(rows)
     assert near_copies.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_ids(spark):
+    """Of repeated rows one stays, null ids come last, names may clash."""
+    rows = [(1, "a b c d e f", 1), (1, "a b c d e f", 2), (None, "a b c d e f", 3), (None, "only null", 4), (None, "only null", 5), (7, None, 6), (8, "", 7), (9, "x", 8), (9, "y", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark int").withColumn("fp", F.lit(1)).withColumn("found", F.lit("z")).withColumn("_id", F.lit(0))
+    kept = simhash.deduplicate(docs)
+    assert kept.dtypes == docs.dtypes
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["text"]) for r in kept.collect()) == [((False, 1), "a b c d e f"), ((False, 7), None), ((False, 9), "x"), ((False, 9), "y"), ((True, 0), "only null")]
+
+
+def test_covering_keys_guarantee():
+    """Fingerprints within two bits share a key in some covering table."""
+    import numpy as np
+
+    r = random.Random(1)
+    a = [r.getrandbits(64) for _ in range(300)]
+    b = [x ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for x in a]
+    one, two = (near_copies.covering_keys(np.array(z, np.uint64)) for z in (a, b))
+    assert (one == two).any(axis=1).all() and one.shape == (300, 7)
+    sets, _, prints = near_copies.shingle_sets(pa.array(["a b c d e f", "A  b c d e f", "", None]))
+    assert prints[0] == prints[1] and [len(s) for s in sets] == [2, 2, 0, 0] and prints[2] == prints[3] == 0
