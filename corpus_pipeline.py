@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvlume.llm import decontam, lang_id, near_copies, packing, pii, simhash, store
+from kvlume.llm import decontam, lang_id, packing, pii, simhash, store
 from kvlume.llm.queries import byte_bpe, language_model_of
 
 
@@ -19,7 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies."""
+    """One document of each group of copies and near copies: texts whose 5-word
+    shingles are similar by 0.8 or more."""
     return simhash.deduplicate(docs)
 
 
@@ -33,13 +34,6 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pii.redact(docs)
 
 
-def similar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose 5-word shingles are similar by
-    0.8 or more; the SimHash stage's two bits reach few of those. It comes after
-    redaction, as texts that differ in personal data alone are copies too."""
-    return near_copies.deduplicate(docs)
-
-
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece with its place in a sequence of 2048 tokens."""
     return packing.pack(docs, **byte_bpe())
@@ -50,7 +44,6 @@ STAGES = [
     ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontaminate),
     ("PII", personal_data),
-    ("near copies", similar_texts),
     ("best-fit packing", pack),
 ]
 #: SQL can't express language models, XXH64 or byte-pair encoding; the tests
