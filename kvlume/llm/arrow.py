@@ -1,8 +1,9 @@
 """Shared plumbing: row-preserving Arrow operators and byte-level tokenising.
 
 Row-local operators append one struct column to whatever columns the input
-has, so a clash with an input column's name cannot occur, and a pipeline stage
-can filter on the struct and keep the original columns without a join.
+has; where a column has its name already, underscores are added to it.  A
+pipeline stage can filter on the struct and keep the original columns without a
+join.
 """
 
 from __future__ import annotations
@@ -66,10 +67,11 @@ def chunks(batch: pa.RecordBatch, lengths: np.ndarray, limit: int = CHUNK_BYTES)
 
 
 def add_result(df: DataFrame, text_col: str, start: Callable[[], Callable], fields: T.StructType, name: str) -> DataFrame:
-    """Appends struct column ``name``; ``start()`` gives, once a task, a function
-    from a chunk's text array to one Arrow array per field."""
+    """Appends struct column ``name`` (see ``column_name``); ``start()`` gives, once
+    a task, a function from a chunk's text array to one Arrow array per field."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    name = column_name(df, name)
     at = df.columns.index(text_col)
     kinds = list(to_arrow_schema(fields))
 
