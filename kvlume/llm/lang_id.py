@@ -14,18 +14,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvlume.llm.arrow import Words, add_result, as_string, byte_table, column_name
+from kvlume.llm.arrow import Words, add_result, as_string, byte_table, chunks, column_name, share
 from kvlume.llm.ngrams import Scores, grams, sums
 
 ORDER = 4
 SPACE = 32
-#: Labelled rows a language is learned from, at most, and bytes of such a row.
+#: Labelled rows a language is learned from, at most; whole texts, however long.
 SAMPLE_ROWS = 300
-SAMPLE_ROW_BYTES = 60_000
 UNKNOWN = "und"
 
 #: Letters stay; all else counts as white space.
@@ -39,13 +39,17 @@ RESULT = T.StructType([
 ])
 
 
+def counted(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams of some texts, ascending, and their counts."""
+    return np.unique(grams(Words(texts, LETTERS), order, SPACE)[0], return_counts=True)
+
+
 class Contexts:
     """Frozen statistics of one language."""
 
-    def __init__(self, texts: list[str], order: int = ORDER):
+    def __init__(self, key: np.ndarray, n: np.ndarray, order: int = ORDER):
+        """From different grams of ``order`` + 1 bytes, ascending, and their counts."""
         self.order = order
-        code, _ = grams(Words(pa.array(texts, pa.string()), LETTERS), order, SPACE)
-        key, n = np.unique(code, return_counts=True)
         self.levels: list[tuple[np.ndarray, ...]] = [()] * (order + 1)
         longer = None
         for k in range(order, -1, -1):
@@ -64,6 +68,10 @@ class Contexts:
             self.levels[k] = (key_k, n_k.astype(float), ctx, total, distinct.astype(float), longer[4])
             key, n = key_k, n_k
 
+    @classmethod
+    def of(cls, texts: list[str], order: int = ORDER) -> Contexts:
+        return cls(*counted(pa.array(texts, pa.string()), order), order)
+
     def bits(self, code: np.ndarray) -> np.ndarray:
         """Code lengths of the grams' newest bytes after their older ones."""
         out = np.zeros(len(code))
@@ -94,23 +102,23 @@ class Contexts:
 
 
 class Model:
-    def __init__(self, texts_by_lang: dict[str, list[str]], order: int = ORDER):
+    def __init__(self, trees: dict[str, Contexts], order: int = ORDER):
         self.order = order
-        self.langs = sorted(texts_by_lang)
-        self.trees = [Contexts(texts_by_lang[x], order) for x in self.langs]
+        self.langs = sorted(trees)
+        self.trees = [trees[x] for x in self.langs]
 
     def scorer(self) -> Scores:
         return Scores(lambda code: np.stack([t.bits(code) for t in self.trees], axis=1), len(self.langs))
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", order_by=None, rows: int = SAMPLE_ROWS, row_bytes: int = SAMPLE_ROW_BYTES, order: int = ORDER) -> Model:
-    """Learns from at most ``rows`` labelled texts a language, none longer than
-    ``row_bytes``: those with the smallest hash of ``order_by`` (the text itself
-    by default). Null texts and labels are left out; a language all of whose
-    texts are too long is not learned."""
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", order_by=None, rows: int = SAMPLE_ROWS, order: int = ORDER) -> Model:
+    """Learns from at most ``rows`` labelled texts a language, those with the
+    smallest hash of ``order_by`` (the text itself by default; ties go by text).
+    Texts are counted whole on the executors; only the counts of different grams
+    reach the driver. Null texts and labels are left out."""
     labelled = as_string(labelled, text_col)
     key = F.xxhash64(F.col(text_col) if order_by is None else order_by).bitwiseAND(F.lit((1 << 40) - 1))
-    some = labelled.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).alias("text"), key.alias("key")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= row_bytes))
+    some = labelled.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).alias("text"), key.alias("key")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model({}, order)
@@ -118,24 +126,38 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
     limit = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1 << 40, int(2 * rows / n * (1 << 40)))))])
     few = some.where(F.col("key") < limit[F.col("lang")])
     first = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("r") <= rows)
-    texts: dict[str, list[str]] = {}
-    for r in first.select("lang", "text").collect():
-        texts.setdefault(r["lang"], []).append(r["text"])
-    return Model(texts, order)
+
+    def run(batches):
+        for whole in batches:
+            sizes = pc.binary_length(whole.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            for part in chunks(whole, sizes):
+                for lang in part.column(0).unique().to_pylist():
+                    key, n = counted(part.column(1).filter(pc.equal(part.column(0), lang)), order)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
+    found = first.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    order_of = found.sort_by([("lang", "ascending"), ("gram", "ascending")])
+    trees = {}
+    for lang in counts:
+        own = order_of.filter(pc.equal(order_of["lang"], lang))
+        if own.num_rows:
+            trees[lang] = Contexts(own["gram"].to_numpy().astype(np.uint64), own["n"].to_numpy(), order)
+    return Model(trees, order)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", name: str = "language") -> DataFrame:
-    """``docs`` with a struct column ``name`` (see RESULT), from the text alone.
+    """``docs`` with a struct column ``name`` (see RESULT), from the text alone;
+    underscores are added to a name that a column has already.
 
     A null text, one without letters, and any text where no language was learned
     are ``und`` with score 0. Ties go to the language first in order. Rows are
     judged one by one; an empty table gives an empty result.
     """
     docs = as_string(docs, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def start():
-        m = shared.value
+        m = shared()
         scores = m.scorer() if m.langs else None
 
         def one(texts):
