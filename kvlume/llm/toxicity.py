@@ -20,12 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvlume.llm.arrow import Words, add_result, as_string, chunks
+from kvlume.llm.arrow import Words, add_result, as_string, chunks, column_name, share
 from kvlume.llm.lang_id import LETTERS
 
-#: Labelled rows to learn from, at most, and bytes of such a row's text.
+#: Labelled documents to learn from, at most; whole texts, however long.
 SAMPLE_ROWS = 8_000
-SAMPLE_ROW_BYTES = 40_000
 HASH_BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)
 FOLDS = 3
@@ -96,15 +95,20 @@ class Rows:
         self.n, self.row, self.feature, self.value = n, row, feature, value
 
     @classmethod
-    def of(cls, texts: pa.Table, column: str) -> Rows:
-        """Of many texts, chunk by chunk and in narrow types."""
-        parts, n = [], 0
-        for batch in texts.select([column]).to_batches():
-            for part in chunks(batch, pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)):
-                row, feature, tokens = text_features(Words(part.column(0), LETTERS))
-                parts.append(((row + n).astype(np.int32), feature.astype(np.int32), np.log1p(tokens).astype(np.float32)))
-                n += part.num_rows
-        return cls(n, *[np.concatenate(c) for c in zip(*parts, strict=True)])
+    def of(cls, lists: pa.ChunkedArray) -> Rows:
+        """Of packed rows (see ``packed``), one for each row."""
+        size = np.array([len(x) // 8 for x in lists.to_pylist()], np.int64)
+        own = np.frombuffer(b"".join(lists.to_pylist()), np.dtype([("feature", "<i4"), ("value", "<f4")]))
+        return cls(len(size), np.repeat(np.arange(len(size), dtype=np.int32), size), own["feature"].copy(), own["value"].copy())
+
+
+def packed(texts: pa.Array) -> list[bytes]:
+    """The features of each text with their values, four bytes each."""
+    row, feature, tokens = text_features(Words(texts, LETTERS))
+    own = np.zeros(len(row), np.dtype([("feature", "<i4"), ("value", "<f4")]))
+    own["feature"], own["value"] = feature, np.log1p(tokens)
+    off = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+    return [own[a:b].tobytes() for a, b in zip(off, off[1:], strict=False)]
 
 
 class Linear:
@@ -196,29 +200,43 @@ class Chain:
         return 1 / (1 + np.exp(-earlier))
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, row_bytes: int = SAMPLE_ROW_BYTES) -> Chain | None:
+def train(docs: DataFrame, labels: DataFrame, categories: dict, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Chain | None:
     """Learns ``categories`` (name: condition on the columns of ``labels``, in
-    chain order) from about ``rows`` labelled documents, those with the smallest
-    hash of their id, with texts of at most ``row_bytes``. Null conditions count
-    as false; unlabelled documents are left out. None if there are no rows."""
+    chain order) from at most ``rows`` labelled documents, those with the smallest
+    hash of their id (ties go by id). Null conditions count as false; of several
+    rows of ``labels`` with one id a category holds if it holds in one of them; of
+    several texts with one id the first in order is taken; unlabelled documents
+    and null texts are left out. Texts become features on the executors. None if
+    there are no rows."""
     docs = as_string(docs, text_col)
-    named = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), *[F.coalesce(c, F.lit(False)).alias(f"_c{i}") for i, c in enumerate(categories.values())], F.xxhash64(id_col).bitwiseAND(F.lit((1 << 40) - 1)).alias("_h"))
+    names = [f"_c{i}" for i in range(len(categories))]
+    named = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), *[F.coalesce(c, F.lit(False)).alias(n) for n, c in zip(names, categories.values(), strict=True)], F.xxhash64(id_col).bitwiseAND(F.lit((1 << 40) - 1)).alias("_h"))
     n = named.count()
     if not n:
         return None
-    # at most about twice the bound by hash: small enough to be broadcast
-    some = named.where(F.col("_h") < F.lit(min(1 << 40, int(rows / n * (1 << 40))))).dropDuplicates(["_id"]).limit(2 * rows)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull() & (F.octet_length("_text") <= row_bytes))
-    sample = texts.join(F.broadcast(some), "_id").drop("_id").limit(3 * rows).toArrow()
-    if not sample.num_rows:
+    # twice the wanted rows by hash, then exactly the first ones: small enough to be broadcast
+    few = named.where(F.col("_h") < F.lit(min(1 << 40, int(2 * rows / n * (1 << 40)) + 1)))
+    some = few.groupBy("_id", "_h").agg(*[F.max(c).alias(c) for c in names]).orderBy("_h", "_id").limit(rows)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+    sample = texts.join(F.broadcast(some), "_id").groupBy("_id", "_h", *names).agg(F.min("_text").alias("_text")).drop("_id")
+
+    def run(batches):
+        for whole in batches:
+            at = whole.schema.names.index("_text")
+            sizes = pc.binary_length(whole.column(at)).to_numpy(zero_copy_only=False).astype(np.int64)
+            for part in chunks(whole, sizes):
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("_h", *names)], pa.array(packed(part.column(at)), pa.binary())], names=["_h", *names, "_x"])
+
+    rows_ = sample.mapInArrow(run, T.StructType([T.StructField("_h", T.LongType()), *[T.StructField(c, T.BooleanType()) for c in names], T.StructField("_x", T.BinaryType())])).toArrow().sort_by([("_h", "ascending")])
+    if not rows_.num_rows:
         return None
-    x = Rows.of(sample, "_text")
-    y = {name: np.array(sample[f"_c{i}"].to_pylist(), bool) for i, name in enumerate(categories)}
-    return Chain(x, y, np.array(sample["_h"].to_numpy()) % FOLDS)
+    y = {name: np.array(rows_[c].to_pylist(), bool) for c, name in zip(names, categories, strict=True)}
+    return Chain(Rows.of(rows_["_x"]), y, rows_["_h"].to_numpy() % FOLDS)
 
 
 def predict(docs: DataFrame, chain: Chain | None, text_col: str = "text", name: str = "toxicity", categories: tuple[str, ...] = ("toxic",)) -> DataFrame:
-    """``docs`` with a struct column ``name``: a probability for each category.
+    """``docs`` with a struct column ``name`` (underscores are added where a column
+    has it already): a probability for each category.
 
     Null and empty texts have probability 0 everywhere, and so have all texts in
     ``categories`` where nothing was learned (no chain). Rows are judged one by one, so copies get equal results; an
@@ -226,10 +244,10 @@ def predict(docs: DataFrame, chain: Chain | None, text_col: str = "text", name:
     """
     docs = as_string(docs, text_col)
     names = chain.names if chain else []
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    shared = share(docs.sparkSession, chain)
 
     def start():
-        c = shared.value
+        c = shared()
         slot = np.full(1 << HASH_BITS, -1)
         slot[c.features] = c.features
 
@@ -243,5 +261,5 @@ def predict(docs: DataFrame, chain: Chain | None, text_col: str = "text", name:
         return one
 
     if not names:
-        return docs.withColumn(name, F.struct(*[F.lit(0.0).alias(c) for c in categories]))
+        return docs.withColumn(column_name(docs, name), F.struct(*[F.lit(0.0).alias(c) for c in categories]))
     return add_result(docs, text_col, start, T.StructType([T.StructField(n, T.DoubleType()) for n in names]), name)
