@@ -22,6 +22,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(leak["items"]).cast("long").alias("n_items"),
         F.sha2(F.array_join(leak["items"], ","), 256).alias("items_sha256"),
         (F.size(leak["items"]) >= 2).alias("contaminated"),
+        *[leak[c].alias(c) for c in ("longest_match", "longest_item", "longest_item_start", "longest_doc_start")],
     )
 
 
@@ -31,24 +32,31 @@ SQL["op7_decontamination"] = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), b AS (
-  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+  SELECT row_number() OVER () AS rid, CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), bw AS (
-  SELECT DISTINCT item, least(8, len(w)) AS n, array_to_string(w[i : i + least(8, len(w)) - 1], ' ') AS win
+  SELECT rid, item, i AS k, least(8, len(w)) AS n, array_to_string(w[i : i + least(8, len(w)) - 1], ' ') AS win
   FROM b, unnest(generate_series(1, greatest(len(w) - 7, 1))) AS t(i) WHERE len(w) > 0
 ), sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (
   SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS win
   FROM d, sizes, unnest(generate_series(1, len(w) - n + 1)) AS t(i) WHERE len(w) >= n
 ), hit AS (
-  SELECT doc_id, i, bw.n AS n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win
+  SELECT doc_id, i, k, bw.n AS n, rid, item FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win
 ), words AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(generate_series(i, i + n - 1)) AS t(p) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id
+), steps AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, rid, i - k ORDER BY i) AS run FROM hit
+), runs AS (
+  SELECT doc_id, item, count(*) + min(n) - 1 AS size, min(k) - 1 AS k, min(i) - 1 AS i FROM steps GROUP BY doc_id, rid, item, i - k, run
+), longest AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, item, k, i) = 1
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
-  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated,
+  CAST(size AS BIGINT) AS longest_match, item AS longest_item, CAST(k AS BIGINT) AS longest_item_start, CAST(i AS BIGINT) AS longest_doc_start
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 
