@@ -406,16 +406,46 @@ def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)] + [(None, "a")], "doc_id long, text string").withColumn("toxicity", F.lit(1))
     labels = spark.createDataFrame([(3, 1), (4, 0), (5, None), (None, 1), (4, 0)], "doc_id long, toxic int")
     chain = toxicity.train(docs, labels, {"toxic": F.col("toxic") == 1})
-    out = toxicity.predict(docs, chain, name="t").collect()
-    assert len(out) == len(ODD) + 1 and all(0 <= r["t"]["toxic"] <= 1 for r in out) and out[0]["t"]["toxic"] == 0
+    out = toxicity.predict(docs, chain).collect()
+    assert len(out) == len(ODD) + 1 and all(0 <= r["toxicity_"]["toxic"] <= 1 for r in out) and out[0]["toxicity_"]["toxic"] == 0
     assert toxicity.train(docs, labels.limit(0), {"toxic": F.lit(True)}) is None
-    assert {r["t"]["toxic"] for r in toxicity.predict(docs, None, name="t").collect()} == {0.0}
-    assert toxicity.predict(docs.limit(0), chain, name="t").count() == 0
+    assert {r["toxicity_"]["toxic"] for r in toxicity.predict(docs, None).collect()} == {0.0}
+    assert toxicity.predict(docs.limit(0), chain).count() == 0
+
+
+def test_sample_is_exact(spark):
+    """The labelled rows learned from: the first by hash, each id once, whole
+    texts however long; the same whatever the partitions."""
+    rows = [(i, f"w{i % 7} " * (1 + i % 3) + ("x" * 50_000 if i == 9 else ""), i % 4 == 0) for i in range(300)]
+    docs = spark.createDataFrame([*rows, rows[3], (3, "zz", False)], "doc_id long, text string, toxic boolean")
+    labels = docs.select("doc_id", "toxic")
+    one, two = (toxicity.train(d.select("doc_id", "text"), x, {"toxic": F.col("toxic")}, rows=n) for d, x, n in ((docs, labels, 300), (docs.repartition(5), labels.repartition(3), 300)))
+    assert one.thresholds == two.thresholds and (one.models[0].w == two.models[0].w).all() and one.models[0].b == two.models[0].b
+    few = toxicity.train(docs.select("doc_id", "text"), labels, {"toxic": F.col("toxic")}, rows=40)
+    assert few is not None
 
 
 def test_op4(spark, sf):
-    got = queries.op4_toxicity(spark, sf)
-    assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    """The query against the same chain applied text by text."""
+    got = {r["doc_id"]: r for r in queries.op4_toxicity(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert set(got) == {r["doc_id"] for r in docs}
+    chain = queries.toxicity_chain(spark, sf)
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    right = wrong = 0
+    for r in docs:
+        token, ids = toxicity.word_features(Words(pa.array([r["text"]]), toxicity.LETTERS))
+        tokens = collections.Counter(f for t in token.tolist() for f in set(ids[t].tolist()) if f >= 0)
+        logits = []
+        for m in chain.models:
+            s = m.b + sum(w * math.log1p(tokens[f]) for f, w in zip(m.features.tolist(), m.w.tolist(), strict=True)) + sum(v * x for v, x in zip(m.v.tolist(), logits, strict=True))
+            logits.append(max(-15, min(15, s)))
+        want = 1 / (1 + math.exp(-logits[1])) if len(token) else 0.0
+        assert got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-5)
+        if r["doc_id"] in labels:
+            ok = (labels[r["doc_id"]] == 1) == got[r["doc_id"]]["toxic"]
+            right, wrong = right + ok, wrong + (not ok)
+    assert wrong < sum(x == 1 for x in labels.values())  # better than calling none toxic
 
 
 # --- media ---
