@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests), a local folder."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` or the checkpoint folder that the session has set;
+    where there is neither, a temporary folder if all runs in this process (tests).
+    On a cluster that would scatter the files, so it is an error there."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = getattr(spark.sparkContext, "_kvlume_folder", None) or "file://" + tempfile.mkdtemp(prefix="kvlume-")
-        spark.sparkContext._kvlume_folder = folder
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = getattr(sc, "_kvlume_folder", None) or "file://" + tempfile.mkdtemp(prefix="kvlume-")
+        sc._kvlume_folder = folder
     return folder
 
 
