@@ -86,7 +86,7 @@ class Searcher:
     def spans(self, text: str):
         """Places of a text of words that each end in one space: ``(phrase,
         start)`` of the exact ones, ``(notice, start, end, errors)`` of the others."""
-        base, windows = [], set()
+        base, windows, places = [], set(), set()
         for last, (size, where) in self.seeds.iter(text):
             at = last + 1 - size
             for i, off in where:
@@ -95,10 +95,14 @@ class Searcher:
                         base.append((off, at))
                     continue
                 notice, _, k = self.notices[i]
+                begin = at - off
+                if text.startswith(notice, max(begin, 0)) and begin >= 0 and (begin == 0 or text[begin - 1] == " ") and text[begin + len(notice) : begin + len(notice) + 1] in (" ", ""):
+                    # whatever else stands beside an exact notice has pieces of its own
+                    places.add((i, 0, begin, begin + len(notice)))
+                    continue
                 # whole words; a window of its own for each piece, so work is linear in repeated notices
                 hi = text.find(" ", min(at - off + len(notice) + k, len(text)))
                 windows.add((i, text.rfind(" ", 0, max(0, at - off - k)) + 1, len(text) if hi < 0 else hi))
-        places = set()
         todo, seen = list(windows), windows
         while todo:
             i, lo, hi = todo.pop()
@@ -129,7 +133,8 @@ class Searcher:
 
 
 def scan(docs: DataFrame, text_col: str = "text", name: str = "licence", base=None, notices=NOTICES) -> DataFrame:
-    """``docs`` with a struct column ``name`` (see RESULT).
+    """``docs`` with a struct column ``name`` (see RESULT); underscores are added
+    to a name that a column has already.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z is lower-cased.
     ``score`` is the best found notice's share of unchanged characters: 1 for an
@@ -156,14 +161,15 @@ def scan(docs: DataFrame, text_col: str = "text", name: str = "licence", base=No
                 if not exact and not found:
                     continue
                 # words before a place: spaces before it
+                spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)
+                before = lambda at, spaces=spaces: int(np.searchsorted(spaces, at))
                 for phrase, at in exact:
-                    starts[d].append(text.count(" ", 0, at))
+                    starts[d].append(before(at))
                     base_labels[d].add(search.base[phrase])
                     score[d] = 1.0
                 for i, s, e, errors in found:
                     notice, label, _ = notices[i]
-                    first = text.count(" ", 0, s)
-                    spans[d].append({"label": label, "first_word": first, "end_word": first + text.count(" ", s, e) + 1, "errors": errors, "found": text[s:e]})
+                    spans[d].append({"label": label, "first_word": before(s), "end_word": before(e) + 1, "errors": errors, "found": text[s:e]})
                     labels[d].add(label)
                     score[d] = max(score[d], 1 - errors / len(notice))
                 spans[d].sort(key=lambda x: (x["first_word"], x["end_word"], x["label"]))
