@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvlume.llm.arrow import SPACED, Words, add_result, as_string, column_name
-from kvlume.llm.components import components
+from kvlume.llm.components import components, join_keys
 from kvlume.llm.store import cut
 
 SHINGLE = 3
@@ -131,9 +131,9 @@ def _own(docs: DataFrame, text_col: str, id_col: str, **kw) -> DataFrame:
 
 def _classes(own: DataFrame) -> DataFrame:
     """Each fingerprint with its least id and the root of its component."""
-    classes = own.groupBy("fp").agg(F.min("id").alias("least"))
+    classes = own.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"))
     found = components(links(classes))
-    return classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", "size", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **kw) -> DataFrame:
@@ -148,8 +148,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     roots = grouped.where(F.col("root") != F.col("fp")).select("root").distinct()
     linked = grouped.join(roots, "root", "left_semi")
     smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"))
-    class_of = grouped.join(smallest, "root", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
-    return own.join(class_of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    class_of = grouped.join(smallest, "root", "left").select("fp", "size", F.coalesce("smallest", "least").alias("component_id"))
+    return join_keys(own, cut(class_of), "fp", "size", own.count()).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
