@@ -336,3 +336,54 @@ def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     r = queries.op1_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
     assert len(r) > 20 and sum(x["lang_pred"] == x["lang"] for x in r) >= 0.97 * len(r)
+
+
+def edit_distance_spans(text, notice, errors):
+    """Ends of all runs of whole words within so many edits of a notice."""
+    w = text.split()
+    starts = [sum(len(x) + 1 for x in w[:k]) for k in range(len(w) + 1)]
+    out = set()
+    for a in range(len(w)):
+        for b in range(a + 1, min(len(w), a + len(notice.split()) + errors) + 1):
+            s = " ".join(w[a:b])
+            if abs(len(s) - len(notice)) <= errors:
+                row = list(range(len(notice) + 1))
+                for i, c in enumerate(s, 1):
+                    row, up = [i], row
+                    for j, d in enumerate(notice, 1):
+                        row.append(min(up[j] + 1, row[-1] + 1, up[j - 1] + (c != d)))
+                if row[-1] <= errors:
+                    out.add((starts[a], starts[a] + len(s), row[-1]))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_neighbouring_notices_by_edit_distance(seed):
+    """Every run of words within the allowed edits overlaps a reported span with
+    no more errors than it, and every reported span is such a run."""
+    r = random.Random(seed)
+    notices = (("mozilla public license", "mpl", 2), ("eclipse public license", "epl", 2))
+    search = license_scan.Searcher(base={}, notices=notices)
+    for _ in range(25):
+        parts = []
+        for _ in range(r.randrange(1, 6)):
+            s = list(r.choice(notices)[0])
+            for _ in range(r.randrange(3)):
+                k = r.randrange(1, len(s) - 1)
+                s[k : k + 1] = r.choice([[], ["q"], [s[k], "z"]])
+            parts += ["".join(s), *r.choices(["x", "yy", ""], k=r.randrange(2))]
+        text = " ".join(" ".join(parts).split()) + " "
+        for i, (notice, _, errors) in enumerate(notices):
+            want = {x for x in edit_distance_spans(text, notice, errors) if text[x[0] : x[1]] not in search.exact - {notice}}
+            got = {(s, e, n) for k, s, e, n in search.spans(text)[1] if k == i}
+            assert got <= want
+            for s, e, n in want:
+                assert any(a < e and s < b for a, b, m in got if m <= n), (text, notice, (s, e, n), got)
+
+
+def test_many_notices_in_one_text():
+    import time
+
+    start = time.process_time()
+    base, found = license_scan.Searcher().spans("under the mit license " * 100_000)
+    assert len(base) == len(found) == 100_000 and time.process_time() - start < 60
