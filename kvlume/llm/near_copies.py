@@ -12,7 +12,9 @@ the exact similarity of the two sets, so no link is wrong.
 Only different sets enter.  In a bucket all are first compared with its least
 member; what this has joined needs no more comparing, so a bucket of near copies
 costs work in proportion to its size.  All other pairs of a bucket are compared
-in a second round.
+in a second round, where parity sketches of the sets come first: each member that
+only one of two sets has turns one bit, so sketches that differ in more bits than
+similar sets could have such members rule a pair out without error.
 """
 
 from __future__ import annotations
@@ -33,10 +35,12 @@ SHINGLE = 5
 SIMILARITY = (4, 5)
 BANDS, ROWS = 24, 5
 SEED = 42
+#: Words of 64 bits in a parity sketch, a power of two.
+SKETCH = 8
 #: Bits of the filter that tells which sets may be asked for.
 FILTER_BITS = 1 << 23
 
-_FOUND = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+_FOUND = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), *[T.StructField(f"s{k}", T.LongType()) for k in range(SKETCH)]])
 _SET = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("members", T.ArrayType(T.LongType()))])
 _odd = np.random.default_rng(20240102).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -74,15 +78,30 @@ def bands(sets: list[np.ndarray]) -> list:
     return [next(own) if len(s) else [] for s in sets]
 
 
+def sketches(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The parity sketches, word by word: each member turns one bit of its set's."""
+    out = np.zeros((SKETCH, len(sets)), np.uint64)
+    some = np.flatnonzero([len(s) for s in sets])
+    if len(some):
+        h = np.concatenate([sets[i] for i in some])
+        start = np.concatenate(([0], np.cumsum([len(sets[i]) for i in some])[:-1]))
+        bit = np.uint64(1) << (h & np.uint64(63))
+        word = (h >> np.uint64(6)) % np.uint64(SKETCH)
+        for k in range(SKETCH):
+            out[k, some] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), start)
+    return list(out.view(np.int64))
+
+
 def described(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     """``docs`` with a struct column ``name``: ``fp`` (hash of the shingle set),
-    ``n`` (its size) and ``keys`` (those of its buckets; an empty set has none)."""
+    ``n`` (its size), ``keys`` (those of its buckets; an empty set has none) and
+    the words of its parity sketch."""
 
     def start():
         def one(texts):
             sets, fp, prints = shingle_sets(texts)
             keys = [[*b, *c] if b else [] for b, c in zip(bands(sets), covering_keys(prints).tolist(), strict=True)]
-            return [pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            return [pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), *[pa.array(s) for s in sketches(sets)]]
 
         return one
 
@@ -127,7 +146,7 @@ def _verified(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
-    """Links (a, b) between sets of ``classes`` (fp, n, keys) whose components
+    """Links (a, b) between sets of ``classes`` (fp, n, keys, sketch) whose components
     are those of all candidates that are similar enough."""
     p, q = SIMILARITY
     fits = lambda x, y: (q * F.least(x, y) >= p * F.greatest(x, y))
@@ -141,9 +160,14 @@ def links(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
     of = lambda df, by, name: df.join(root.select(F.col("node").alias(by), F.col("root").alias("_r")), by, "left").withColumn(name, F.coalesce("_r", by)).drop("_r")
     placed = cut(of(of(shared, "fp", "root"), "lead", "lead_root"))
     # members apart from the bucket's least one, against all that are apart from them
-    apart = placed.where(F.col("root") != F.col("lead_root")).select("key", F.col("fp").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"))
-    other = placed.select("key", "fp", "n", "root").join(apart.select("key").distinct(), "key", "left_semi")
-    rest = apart.join(other, (apart["key"] == other["key"]) & (F.col("xr") != F.col("root")) & fits(F.col("xn"), F.col("n"))).select(*pair(F.col("x"), F.col("fp"))).distinct()
+    words = [f"s{k}" for k in range(SKETCH)]
+    far = placed.where(F.col("root") != F.col("lead_root")).select("key").distinct()
+    other = cut(placed.join(far, "key", "left_semi").select("key", "fp", "n", "root", (F.col("root") != F.col("lead_root")).alias("far")).join(classes.select("fp", *words), "fp"))
+    apart = other.where("far").select("key", F.col("fp").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), *[F.col(w).alias(f"x{w}") for w in words])
+    turned = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"x{w}"))) for w in words), F.lit(0))
+    # members that only one of two similar sets has: (q - p) / (q + p) of all at most
+    may = (q + p) * turned <= (q - p) * (F.col("n") + F.col("xn"))
+    rest = apart.join(other, (apart["key"] == other["key"]) & (F.col("xr") != F.col("root")) & fits(F.col("xn"), F.col("n")) & may).select(*pair(F.col("x"), F.col("fp"))).distinct()
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return found
@@ -159,9 +183,9 @@ def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     docs = as_string(docs, text_col)
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     found = described(narrow, "text", "found")
-    own = cut(found.select("id", "mark", "found.fp", "found.n", "found.keys"))
+    own = cut(found.select("id", "mark", "found.*"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
-    one = cut(own.groupBy("fp").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    one = cut(own.groupBy("fp").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(SKETCH)]))
     root = components(links(docs, one, text_col))
     stay = one.join(root, one["fp"] == root["node"], "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("s")).select("s.id", "s.mark")
     copies = own.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)

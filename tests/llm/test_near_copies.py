@@ -81,3 +81,17 @@ def test_covering_keys_guarantee():
     assert (one == two).any(axis=1).all() and one.shape == (300, 7)
     sets, _, prints = near_copies.shingle_sets(pa.array(["a b c d e f", "A  b c d e f", "", None]))
     assert prints[0] == prints[1] and [len(s) for s in sets] == [2, 2, 0, 0] and prints[2] == prints[3] == 0
+
+
+def test_sketches_rule_out_without_error():
+    """Sketches never differ in more bits than there are members of one set only."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n in (1, 30, 300, 5_000):
+        base = r.integers(0, 1 << 63, n, np.uint64)
+        for k in (0, 1, n // 9, n // 2):
+            other = np.concatenate([base[k:], r.integers(0, 1 << 63, k, np.uint64)])
+            words = near_copies.sketches([np.unique(base), np.unique(other), np.zeros(0, np.uint64)])
+            turned = sum(int(np.bitwise_count(np.uint64(w.view(np.uint64)[0] ^ w.view(np.uint64)[1]))) for w in words)
+            assert turned <= 2 * k and (n > 300 or k < 9 or turned > k) and all(w[2] == 0 for w in words)
