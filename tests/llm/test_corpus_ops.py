@@ -154,56 +154,103 @@ def test_op6_base(spark, sf):
         assert g["score"] < 0
 
 
-def naive_tree(texts, depth, p_min, least):
-    counts = collections.defaultdict(collections.Counter)
-    code = lambda t: b"\n" * depth + b"".join(w + b" " for w in low_words(t)) + b"\n"
+def naive_scores(texts, train, head, min_count, context_count, least):
+    """Scores of texts by the model's definition, in plain dictionaries."""
+    uni = collections.Counter(w for t, k in zip(texts, train, strict=True) if k for w in [*low_words(t), None])
+    total = sum(uni.values()) + 0.5 * (len(uni) + 1)
+    share = {w: (c + 0.5) / total for w, c in uni.items() if w in head or w is None}
+    share[0] = 1 - sum(share.values())
+    code = lambda t: [w if w in share else 0 for w in [*low_words(t), None]]
+    pair, triple = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for t, k in zip(texts, train, strict=True):
+        a, b = 0, "start"
+        for x in code(t) if k else ():
+            if b != 0:
+                pair[b][x] += 1
+            triple[a, b][x] += 1
+            a, b = b, x
+    few = lambda c: {x: n for x, n in c.items() if n >= min_count}
+    pair = {b: few(c) for b, c in pair.items()}
+    often = {(a, b) for a, c in pair.items() for b, n in c.items() if n >= context_count and b not in (0, None)}
+    triple = {k: few(c) for k, c in triple.items() if k in often}
+    k_ = lambda m: 2 * m**0.8
+    apart = lambda c, q: sum(n / sum(c.values()) * math.log2(n / sum(c.values()) / q(x)) for x, n in c.items()) >= least
+    one = {b: c for b, c in pair.items() if c and apart(c, share.get)}
+
+    def after(b, x):
+        c = one.get(b)
+        return share[x] if c is None else (c.get(x, 0) + k_(sum(c.values())) * share[x]) / (sum(c.values()) + k_(sum(c.values())))
+
+    two = {k: c for k, c in triple.items() if c and apart(c, lambda x, k=k: after(k[1], x))}
+    out = []
     for t in texts:
-        b = code(t)
-        for i in range(depth, len(b)):
-            for k in range(depth + 1):
-                counts[b[i - k : i]][b[i]] += 1
-    total = sum(counts[b""].values())
-    often = {s for s, c in counts.items() if sum(c.values()) >= max(1, math.ceil(p_min * total))}
-    keep = {b""}
-    for s in often - {b""}:
-        n, m = sum(counts[s].values()), sum(counts[s[1:]].values())
-        if sum(c / n * math.log2((c / n) / (counts[s[1:]][x] / m)) for x, c in counts[s].items()) >= least:
-            keep |= {s[i:] for i in range(len(s))}
-    return counts, keep, code
-
-
-@pytest.mark.parametrize("p_min", [0.0, 0.01, 0.05])
-def test_suffix_tree_equals_naive(spark, p_min):
+        a, b, s = 0, "start", 0.0
+        for w, x in zip([*low_words(t), None], code(t), strict=True):
+            p, c = after(b, x), two.get((a, b))
+            if c is not None:
+                m = sum(c.values())
+                p = (c.get(x, 0) + k_(m) * p) / (m + k_(m))
+            s += math.log10(p) + (math.log10((uni[w] + 0.5) / total / share[0]) if x == 0 else 0)
+            a, b = b, x
+        out.append(s)
+    return out, len(one), len(two)
+
+
+@pytest.mark.parametrize("head_words", [4, 1000])
+@pytest.mark.parametrize("grams", [2, 1000])
+def test_suffix_tree_equals_naive(spark, head_words, grams):
+    """Also where pairs and words have to be joined."""
     r = random.Random(1)
-    texts = [" ".join(r.choices(["the", "cat", "sat", "on", "a", "mat", "é"], k=r.randrange(1, 30))) for _ in range(40)] + [None, ""]
-    depth, least = 3, 0.05
-    docs = spark.createDataFrame([(t, i % 5 != 1) for i, t in enumerate(texts)], "text string, train boolean")
-    counts = lm_score.corpus_counts(docs, depth)
-    tree = lm_score.build_tree(counts.where("gram IS NOT NULL").select("gram", "train"), depth, p_min, least)
-    stats, keep, code = naive_tree([t for i, t in enumerate(texts) if i % 5 != 1], depth, p_min, least)
-    assert tree.states == len(keep)
-    from kvlume.llm.ngrams import Scores, grams, sums
-
-    g, off = grams(Words(pa.array(texts), SPACED), depth, lm_score.END, lm_score.END)
-    got = sums(Scores(tree.log10, 1).of(g)[:, 0], off)
-    for t, s in zip(texts, got.tolist(), strict=True):
-        b, want = code(t), 0.0
-        for i in range(depth, len(b)):
-            p, k = 1 / 256, 0
-            while k <= depth and b[i - k : i] in keep:
-                c = stats[b[i - k : i]]
-                p = (c[b[i]] + lm_score.SMOOTHING * p) / (sum(c.values()) + lm_score.SMOOTHING)
-                k += 1
-            want += math.log10(p)
-        assert s == pytest.approx(want, rel=1e-5)
+    vocab = ["the", "cat", "sat", "on", "a", "mat", "é", "dog"]
+    texts = [" ".join(w for k in range(r.randrange(1, 12)) for w in r.choice([["the", "cat"], ["on", "a", "mat"], [r.choice(vocab)], [f"rare{r.randrange(30)}"]])) for _ in range(60)] + [None, "", "unseen words of a text"]
+    train = [i % 5 != 1 and i < 60 for i in range(len(texts))]
+    rows = [(i, t, k) for i, (t, k) in enumerate(zip(texts, train, strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {x["doc_id"]: x["score"] for x in lm_score.score(docs, F.col("train"), head_words=head_words, min_count=2, context_count=3, grams=grams).collect()}
+    every = collections.Counter(w for t in texts for w in low_words(t))
+    bucket = lambda n: math.floor(math.log2(n) * 8)
+    sizes, taken, least = collections.Counter(bucket(n) for n in every.values()), 0, None
+    for b in sorted(sizes, reverse=True):
+        taken += sizes[b]
+        if taken > head_words:
+            break
+        least = b
+    learnt = {w for t, k in zip(texts, train, strict=True) if k for w in low_words(t)}
+    head = {w for w, n in every.items() if least is not None and bucket(n) >= least and w in learnt}
+    want, one, two = naive_scores(texts, train, head, 2, 3, lm_score.MIN_DIVERGENCE)
+    if grams == 1000:
+        assert one > 1 and (two > 1 or head_words == 4)
+        assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-6)
+    else:  # contexts of two words lack room, pairs are joined
+        assert all(got[i] < 0 for i in range(len(texts)))
+        symbols = [w for t, k in zip(texts, train, strict=True) if k for w in low_words(t)]
+        assert len(symbols) > 100
+        full = {x["doc_id"]: x["score"] for x in lm_score.score(docs, F.col("train"), head_words=head_words, min_count=2, context_count=10**6, grams=1000).collect()}
+        few = {x["doc_id"]: x["score"] for x in lm_score.score(docs, F.col("train"), head_words=head_words, min_count=2, context_count=10**6, grams=2).collect()}
+        assert few == pytest.approx(full, rel=1e-6)
 
 
 def test_tree_distributions_sum_to_one(spark):
-    docs = spark.createDataFrame([("abra cadabra abra", True)], "text string, train boolean")
-    tree = lm_score.build_tree(lm_score.corpus_counts(docs, 2).where("gram IS NOT NULL").select("gram", "train"), 2, 0.0, 0.0)
-    for ctx in (b"ab", b"zz", b"a "):
-        grams_ = np.arange(256, dtype=np.uint64) | np.uint64(int.from_bytes(ctx, "big") << 8)
-        assert tree.probability(grams_).sum() == pytest.approx(1)
+    words = ["abra", "cad", "bra", "x", "abra cad"]
+    docs = spark.createDataFrame([(" ".join(words * 3), True), ("abra cad bra", True), ("zz", False)], "text string, train boolean")
+    counts = collections.Counter(w for t in (" ".join(words * 3), "abra cad bra") for w in t.split())
+    names = sorted(counts)
+    symbols = lm_score.Symbols(pa.array([f"{w} " for w in names], pa.large_string()), np.array([counts[w] for w in names]), sum(counts.values()) + 2, len(names) + 1, 2)
+    tree, rest = lm_score.grow(docs, symbols, min_count=1, context_count=2, min_divergence=0.0)
+    assert rest is None and len(tree.contexts) > 2
+    k = len(symbols.share)
+    every = np.array([i for i in range(k) if i != symbols.start], np.uint64)
+    for before in range(1, k):
+        for context in range(-1, len(tree.contexts)):
+            if context < 0 or int(tree.contexts[context]) & 0xFFFFF == before:
+                p, _, _ = tree.probability(every, np.uint64(before) << lm_score.SYMBOL | every, np.full(len(every), context))
+                assert p.sum() == pytest.approx(1)
+
+
+def test_op6_beats_its_baseline_on_new_texts(spark, sf):
+    for folder in (sf, sf.replace("sf0.001", "sf0.01")):
+        r = queries.op6_lm_score(spark, folder).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        assert r[0] > r[1] + (0.03 * r[2] if folder != sf else 0)
 
 
 def test_scores_odd_rows(spark):
