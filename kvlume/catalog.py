@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvlume.functions import linalg, resp
+from kvlume.functions import hashing, linalg, resp
 from kvlume.operators import bloom, compaction, loadstats, model, policy, quorum, residency, versions
 from kvlume.plans import commands, metrics
-from kvlume.schemas import SEGMENTS, segment_capacity
-from kvlume.sources import tables
+from kvlume.sources import backend, binary, flatfile, tables
+from kvlume.sources.scratch import scratch
 from kvlume.sources.tables import kv_log, table
+from kvlume.streaming import flows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -61,7 +62,7 @@ def query(name: str, sql: str | None = None, *ctes: str):
     def add(f):
         QUERIES[name] = f
         if sql is not None:
-            SQL[name] = f"WITH {', '.join(ctes)}{'' if sql.startswith(',') else ' '}{sql}" if ctes else sql
+            SQL[name] = f"WITH RECURSIVE {', '.join(ctes)}{'' if sql.startswith(',') else ' '}{sql}" if ctes else sql
         return f
 
     return add
@@ -130,6 +131,125 @@ def _(spark, d):
     return versions.latest(kv_log(spark, d)).agg(F.count(F.lit(1)).alias("keys"))
 
 
+# --- files and backends ---------------------------------------------------------
+
+
+def _text_writes(spark, d):
+    """The writes with their seq as text for a value."""
+    return versions.writes(kv_log(spark, d)).select("seq", "op", "key", F.when(F.col("op") == "PUT", F.concat(F.lit("v"), F.col("seq"))).alias("value"))
+
+
+_text = lambda *names: [F.col(n).cast("string").alias(n) for n in names]
+
+
+@query("wal_files", "SELECT seq, op, key, CASE WHEN op = 'PUT' THEN 'v' || seq ELSE '' END AS value FROM w", KV)
+def _(spark, d):
+    """Log files written and read back."""
+    path = scratch(spark, "wal")
+    binary.write_wal(_text_writes(spark, d), path)
+    return binary.read_wal(spark, path, "*").select("seq", "op", *_text("key", "value"))
+
+
+@query("wal_replay", "SELECT key, max(seq) AS seq, arg_max('v' || seq, seq) AS value FROM w GROUP BY key HAVING arg_max(op, seq) = 'PUT'", KV)
+def _(spark, d):
+    """Two copies of a log replayed: the newest sequence number wins, once."""
+    path = scratch(spark, "wal")
+    for copy in ("a", "b"):
+        binary.write_wal(_text_writes(spark, d), f"{path}/{copy}")
+    replayed = binary.read_wal(spark, path, "*").select("seq", "op", *_text("key", "value")).dropDuplicates(["seq"])
+    return versions.latest(replayed).select("key", "seq", "value")
+
+
+def _text_runs(spark, d):
+    return compaction.flush(_epochs(spark, d)).where(F.col("op") == "PUT").select("level", "sst_id", "key", F.concat(F.lit("v"), F.col("seq")).alias("value"))
+
+
+@query("table_files", "SELECT sst_id, key, 'v' || seq AS value FROM runs WHERE op = 'PUT'", KV)
+def _(spark, d):
+    """Runs written as sorted tables and read back."""
+    path = scratch(spark, "tables")
+    binary.write_tables(_text_runs(spark, d), path)
+    run = F.regexp_extract("file", "sst_id=([0-9]+)", 1).cast("long")
+    return binary.read_tables(spark, path, "*").select(run.alias("sst_id"), *_text("key", "value"))
+
+
+@query("table_point_reads", "SELECT sst_id, key, 'v' || seq AS value FROM runs WHERE op = 'PUT' AND key IN (SELECT 'user:' || range * 3 FROM range(200))", KV)
+def _(spark, d):
+    """A list of keys looked up in every table, by filter and index."""
+    path = scratch(spark, "tables")
+    binary.write_tables(_text_runs(spark, d), path)
+    run = F.regexp_extract("file", "sst_id=([0-9]+)", 1).cast("long")
+    return binary.lookup(spark, path, [f"user:{3 * i}" for i in range(200)], "*").select(run.alias("sst_id"), *_text("key", "value"))
+
+
+@query("raft_files", "SELECT CAST(node_id AS INT) AS node_id, term, index, command FROM rl", RAFT)
+def _(spark, d):
+    """Replicated-log files written and read back."""
+    path = scratch(spark, "raft")
+    binary.write_raft(_raft(spark, d), path)
+    node = F.regexp_extract("file", "node_id=([0-9]+)", 1).cast("int")
+    return binary.read_raft(spark, path, "*").select(node.alias("node_id"), "term", "index", *_text("command"))
+
+
+@query("raft_state_files", "SELECT CAST(node_id AS INT) AS node_id, max(term) AS current_term, CASE WHEN node_id % 2 = 0 THEN CAST(node_id AS INT) END AS voted_for FROM rl GROUP BY node_id", RAFT)
+def _(spark, d):
+    """Terms and votes written as state files and read back."""
+    path = scratch(spark, "state")
+    node = F.col("node_id").cast("int")
+    binary.write_state(_raft(spark, d).groupBy("node_id").agg(F.max("term").alias("current_term")).withColumn("voted_for", F.when(node % 2 == 0, node)), path)
+    return binary.read_state(spark, path, "*").select(F.regexp_extract("file", "node_id=([0-9]+)", 1).cast("int").alias("node_id"), "current_term", "voted_for")
+
+
+@query("flat_file", "SELECT key, 'v' || seq || chr(9) || 'x' AS value FROM latest", KV)
+def _(spark, d):
+    """A flat file written and loaded again; values may hold tabs."""
+    path = scratch(spark, "flat")
+    live = versions.latest(kv_log(spark, d)).select("key", F.concat(F.lit("v"), F.col("seq"), F.lit("\tx")).alias("value"))
+    flatfile.store(live, path)
+    return flatfile.load(spark, path)
+
+
+@query("flat_file_merge", "SELECT 'c' || c_custkey AS key, coalesce(v, c_mktsegment) AS value FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS v FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey % 10 <> 0")
+def _(spark, d):
+    """A batch merged into a flat file, and keys removed from it."""
+    first, second, third = (scratch(spark, f"flat{i}") for i in range(3))
+    c = table(spark, d, "customer")
+    flatfile.store(c.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("key"), F.col("c_mktsegment").alias("value")), first)
+    batch = table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("key"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("seq"))
+    flatfile.merge(spark, first, batch.join(c.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("key")), "key", "left_semi"), second)
+    flatfile.remove(spark, second, c.where(F.col("c_custkey") % 10 == 0).select(F.concat(F.lit("c"), F.col("c_custkey")).alias("key")), third)
+    return flatfile.load(spark, third)
+
+
+@query("log_backend", "SELECT 'user:' || c_custkey AS key, CASE WHEN c_custkey % 3 <> 0 THEN 'v' || seq END AS value, seq IS NOT NULL AND c_custkey % 3 <> 0 AS found FROM customer LEFT JOIN latest ON key = 'user:' || c_custkey", KV)
+def _(spark, d):
+    """Stores, removals, a compaction and loads of an append-only backend."""
+    store = backend.LogBackend(spark, scratch(spark, "backend"))
+    live = versions.latest(kv_log(spark, d)).select("seq", "key", F.concat(F.lit("v"), F.col("seq")).alias("value"))
+    store.batch_store(live)
+    store.batch_store(live)  # again: nothing changes
+    keys = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("user:"), F.col("c_custkey")).alias("key"))
+    store.remove(keys.where(F.col("c_custkey") % 3 == 0).select("key", F.lit(1 << 40).alias("seq")))
+    store.compact()
+    return store.load(keys)
+
+
+@query("backend_size", "SELECT count(*) AS keys FROM latest", KV)
+def _(spark, d):
+    store = backend.LogBackend(spark, scratch(spark, "backend"))
+    store.batch_store(versions.latest(kv_log(spark, d)).select("seq", "key", F.col("value").cast("string").alias("value")))
+    return spark.createDataFrame([(store.size(),)], "keys long")
+
+
+@query("write_back_stream", "SELECT key, seq, 'v' || seq AS value FROM latest", KV)
+def _(spark, d):
+    """A stream of writes drained into a backend, a file at a time."""
+    source, store = scratch(spark, "log"), backend.LogBackend(spark, scratch(spark, "backend"))
+    _text_writes(spark, d).select("seq", "key", "op", "value").repartitionByRange(4, "seq").write.parquet(source)
+    flows.write_back(flows.read_log(spark, source, 1), store, scratch(spark, "offsets"), None).awaitTermination()
+    return store.latest().select("key", "seq", "value")
+
+
 # --- memtables, runs, compaction ----------------------------------------------
 
 
@@ -189,7 +309,17 @@ def _(spark, d):
 
 @query("wal_frame_bytes", "SELECT op, count(*) AS frames, CAST(sum(length(key) + CASE WHEN op = 'PUT' THEN 8 ELSE 0 END + 25) AS BIGINT) AS bytes FROM w GROUP BY op", KV)
 def _(spark, d):
-    return versions.writes(kv_log(spark, d)).groupBy("op").agg(F.count(F.lit(1)).alias("frames"), F.sum(compaction.frame_bytes()).alias("bytes"))
+    log = versions.writes(kv_log(spark, d))
+    return log.groupBy("op").agg(F.count(F.lit(1)).alias("frames"), F.sum(compaction.frame_bytes(log)).alias("bytes"))
+
+
+@query("text_log_bytes", "SELECT op, CAST(sum(strlen(key) + strlen(coalesce(v, '')) + 32) AS BIGINT) AS memtable_bytes, CAST(sum(strlen(key) + strlen(coalesce(v, '')) + 25) AS BIGINT) AS frame_bytes FROM (SELECT CASE WHEN event_type = 'error' THEN 'DEL' ELSE 'PUT' END AS op, 'user:' || user_id AS key, CASE WHEN event_type <> 'error' THEN props END AS v FROM events) GROUP BY op")
+def _(spark, d):
+    """Writes whose values are texts count them by length."""
+    e = table(spark, d, "events")
+    op = F.when(F.col("event_type") == "error", "DEL").otherwise("PUT")
+    log = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("user:"), F.col("user_id")).alias("key"), op.alias("op"), F.col("props").alias("value"))
+    return log.groupBy("op").agg(F.sum(compaction.entry_bytes(log)).alias("memtable_bytes"), F.sum(compaction.frame_bytes(log)).alias("frame_bytes"))
 
 
 # --- residency ----------------------------------------------------------------
@@ -207,8 +337,7 @@ def _(spark, d):
 
 @query("segment_capacity_split", "SELECT s_suppkey AS total, CAST(greatest(1, s_suppkey // 32) AS BIGINT) AS per_segment FROM supplier")
 def _(spark, d):
-    assert segment_capacity(100) == 3
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("total"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("s_suppkey") / SEGMENTS)).alias("per_segment"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("total"), hashing.capacity_of(F.col("s_suppkey")).alias("per_segment"))
 
 
 @query("lru_resident", "SELECT segment, key, last_access_seq, recency FROM rec WHERE recency <= 16", ACCESS)
@@ -241,7 +370,18 @@ def _(spark, d):
     return residency.hits(tables.access_log(spark, d), CAPACITY)
 
 
-@query("lru_fold_with_deletes")
+@query(
+    "lru_fold_with_deletes",
+    """, o AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY seq) AS n FROM kv),
+f AS (SELECT DISTINCT segment, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(k VARCHAR, v DOUBLE)[]) AS st, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS op, false AS hit, CAST(NULL AS STRUCT(k VARCHAR, v DOUBLE)) AS gone FROM o
+  UNION ALL
+  SELECT o.segment, o.n,
+    CASE WHEN o.op = 'PUT' THEN list_append(CASE WHEN len(same) = 0 AND len(st) >= 2 THEN st[2:] ELSE others END, struct_pack(k := o.key, v := o.value)) WHEN o.op = 'GET' THEN list_concat(others, same) ELSE others END,
+    o.seq, o.key, o.op, len(same) > 0, CASE WHEN o.op = 'DEL' THEN same[1] WHEN o.op = 'PUT' AND len(same) = 0 AND len(st) >= 2 THEN st[1] END
+  FROM (SELECT g.segment, g.n, g.st, o.key AS wanted, list_filter(g.st, lambda x: x.k <> o.key) AS others, list_filter(g.st, lambda x: x.k = o.key) AS same FROM f g JOIN o ON o.segment = g.segment AND o.n = g.n + 1) h JOIN o ON o.segment = h.segment AND o.n = h.n + 1)
+SELECT seq, segment, key, op, hit, gone.k AS evicted, gone.v AS evicted_value, CASE WHEN gone IS NOT NULL THEN true END AS evicted_dirty FROM f WHERE n > 0""",
+    KV,
+)
 def _(spark, d):
     return residency.fold(kv_log(spark, d), 2)
 
@@ -346,9 +486,7 @@ def _(spark, d):
 
 @query("bloom_sizing", "SELECT s_suppkey AS keys, CAST((greatest(64, s_suppkey * 10) + 7) // 8 * 8 AS BIGINT) AS bits FROM supplier")
 def _(spark, d):
-    assert bloom.sizing(100) == (1000, 6)
-    bits = F.greatest(F.lit(64).cast("long"), F.col("s_suppkey") * 10)
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("keys"), (F.floor((bits + 7) / 8) * 8).alias("bits"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("keys"), bloom.bits_of(F.col("s_suppkey")).alias("bits"))
 
 
 # --- load -----------------------------------------------------------------------
@@ -384,7 +522,15 @@ def _(spark, d):
     return loadstats.bursts(kv_log(spark, d).withColumnRenamed("segment", "shard"), "seq", 500)
 
 
-@query("burst_reports")
+@query(
+    "burst_reports",
+    """, x AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // 500 AS win FROM kv), c AS (SELECT win, segment, count(*) AS n, sum(count(*)) OVER (PARTITION BY win) AS total FROM x GROUP BY win, segment),
+b AS (SELECT win, CAST(total AS BIGINT) AS total, count(*) FILTER (n > total / 32 * 2.5) AS hot FROM c GROUP BY win, total),
+f AS (SELECT win, total, hot, total > 50 AND hot >= 2 AS reported, CASE WHEN total > 50 AND hot >= 2 THEN 10 ELSE 0 END AS mute FROM b WHERE win = 0
+  UNION ALL SELECT b.win, b.total, b.hot, b.total > 50 AND b.hot >= 2 AND f.mute = 0, CASE WHEN b.total > 50 AND b.hot >= 2 AND f.mute = 0 THEN 10 WHEN b.total > 50 THEN greatest(0, f.mute - 1) ELSE f.mute END FROM f JOIN b ON b.win = f.win + 1)
+SELECT win AS "window", total, hot, total > 50 AND hot >= 2 AS burst, total > 50 AND hot >= 4 AS heat_stroke, reported FROM f""",
+    KV,
+)
 def _(spark, d):
     return loadstats.with_cooldown(loadstats.bursts(kv_log(spark, d).withColumnRenamed("segment", "shard"), "seq", 500))
 
@@ -412,10 +558,10 @@ def _telemetry(spark, d):
 
 
 TEL = """o AS (SELECT seq // 1000 AS tick, segment AS shard, key, op FROM kv),
-per AS (SELECT tick, shard, count(*) AS n FROM o GROUP BY 1, 2), fk AS (SELECT tick, shard, count(*) AS k FROM (SELECT shard, key, min(tick) AS tick FROM o GROUP BY 1, 2) GROUP BY 1, 2),
+per AS (SELECT tick, shard, count(*) AS n FROM o GROUP BY 1, 2), pg AS (SELECT t.tick, CAST(s.range AS INT) AS shard, coalesce(n, 0) AS n FROM (SELECT DISTINCT tick FROM o) t CROSS JOIN range(32) s LEFT JOIN per ON per.tick = t.tick AND per.shard = s.range), fk AS (SELECT tick, shard, count(*) AS k FROM (SELECT shard, key, min(tick) AS tick FROM o GROUP BY 1, 2) GROUP BY 1, 2),
 hr AS (SELECT tick, avg(CASE WHEN op = 'GET' THEN 1.0 ELSE 0.0 END) AS hit_rate FROM o GROUP BY tick),
-tel AS (SELECT tick, shard, least(1.0, 0.7 * n / max(n) OVER (PARTITION BY tick) + 0.3 * sum(coalesce(k, 0)) OVER (PARTITION BY shard ORDER BY tick) / 20) AS load, hit_rate, 0.2 + 0.8 * n / max(n) OVER (PARTITION BY tick) AS latency_ms
-  FROM per LEFT JOIN fk USING (tick, shard) JOIN hr USING (tick))"""
+tel AS (SELECT tick, shard, least(1.0, 0.7 * n / max(n) OVER (PARTITION BY tick) + 0.3 * sum(coalesce(k, 0)) OVER (PARTITION BY shard ORDER BY tick) / 20) AS load, hit_rate, CASE WHEN n > 0 THEN 0.2 + 0.8 * n / max(n) OVER (PARTITION BY tick) ELSE 0.1 END AS latency_ms
+  FROM pg LEFT JOIN fk USING (tick, shard) JOIN hr USING (tick))"""
 
 
 @query("telemetry_load", "SELECT tick, shard, round(load, 6) AS load, round(hit_rate, 6) AS hit_rate, round(latency_ms, 6) AS latency_ms FROM tel", KV, TEL)
@@ -522,7 +668,7 @@ def _(spark, d):
     return quorum.entry_range(_raft(spark, d), 300).select("node_id", "index", "term")
 
 
-@query("raft_matches_at", ", p AS (SELECT o_orderkey AS index, CAST(3 + o_orderkey % 2 AS INT) AS node_id, o_orderkey // 1000 + 1 AS term FROM orders) SELECT p.node_id, p.index, p.term, p.index = 0 OR coalesce(rl.term = p.term, false) AS matches FROM p LEFT JOIN rl ON rl.node_id = p.node_id AND rl.index = p.index", RAFT)
+@query("raft_matches_at", ", p AS (SELECT o_orderkey AS index, CAST(3 + o_orderkey % 2 AS INT) AS node_id, o_orderkey // 1000 + 1 AS term FROM orders) SELECT p.node_id, p.index, p.term, p.index = 0 OR rl.term IS NULL OR rl.term = p.term AS matches FROM p LEFT JOIN rl ON rl.node_id = p.node_id AND rl.index = p.index", RAFT)
 def _(spark, d):
     k = F.col("o_orderkey")
     probes = table(spark, d, "orders").select((3 + k % 2).cast("int").alias("node_id"), k.alias("index"), (F.floor(k / 1000) + 1).alias("term"))
@@ -591,29 +737,85 @@ def _commit(spark, d):
     return log, quorum.commit_index(log, match, 0, 5)
 
 
-@query("commit_index", "SELECT max(index) AS commit_index FROM rl WHERE node_id = 0", RAFT)
+MATCH = """lead AS (SELECT index, term FROM rl WHERE node_id = 0),
+fc AS (SELECT o.node_id, min(o.index) AS fc FROM rl o JOIN lead l ON l.index = o.index AND l.term <> o.term GROUP BY 1),
+mi AS (SELECT node_id, least(coalesce(fc - 1, li), (SELECT max(index) FROM lead)) AS match_index FROM (SELECT node_id, max(index) AS li FROM rl GROUP BY 1) LEFT JOIN fc USING (node_id)),
+ci AS (SELECT coalesce(max(index), 0) AS commit_index FROM lead WHERE index <= (SELECT match_index FROM mi ORDER BY match_index DESC LIMIT 1 OFFSET 2) AND term = (SELECT max(term) FROM lead))"""
+
+
+@query("commit_index", "SELECT commit_index FROM ci", RAFT, MATCH)
 def _(spark, d):
     """Nodes 0, 1 and 2 hold the whole log: a majority of five."""
     return _commit(spark, d)[1]
 
 
-@query("raft_node_states", "SELECT CAST(node_id AS INT) AS node_id, CASE WHEN node_id = 0 THEN 'Leader' ELSE 'Follower' END AS role, arg_max(term, index) AS term, least(max(index), (SELECT max(index) FROM rl WHERE node_id = 0)) AS commit_index, least(max(index), (SELECT max(index) FROM rl WHERE node_id = 0)) AS last_applied, count(*) AS log_size, 0 AS leader_id FROM rl GROUP BY node_id", RAFT)
+@query(
+    "commit_index_lagging",
+    "SELECT lag.range AS lag, coalesce(max(index) FILTER (index <= held AND term = top), 0) AS commit_index FROM lead, (SELECT max(term) AS top FROM lead), (SELECT range * 120 AS range FROM range(10)) lag, LATERAL (SELECT match_index - lag.range * node_id AS held FROM mi ORDER BY held DESC LIMIT 1 OFFSET 2) GROUP BY lag.range",
+    RAFT,
+    MATCH,
+)
+def _(spark, d):
+    """Followers behind by more and more: the majority's place moves back, and is
+    no commit once it leaves the newest term."""
+    log = _raft(spark, d)
+    match = quorum.conflicts(log, 0).select("node_id", "match_index").unionByName(quorum.last_entries(log).where(F.col("node_id") == 0).select("node_id", F.col("last_index").alias("match_index")))
+    out = None
+    for lag in range(0, 1200, 120):
+        behind = match.select("node_id", (F.col("match_index") - lag * F.col("node_id")).alias("match_index"))
+        one = quorum.commit_index(log, behind, 0, 5).select(F.lit(lag).cast("long").alias("lag"), "commit_index")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+APPEND = """lead AS (SELECT index, term FROM rl WHERE node_id = 0), top AS (SELECT max(index) AS m FROM lead),
+req AS (SELECT n.range AS node_id, CASE WHEN n.range = 2 THEN 1 ELSE 1000 END AS term, 500 AS current_term, CASE n.range WHEN 1 THEN m WHEN 2 THEN 10 WHEN 3 THEN m * 9 // 10 - 5 ELSE m * 6 // 10 END AS prev_index, 50 AS commit_index FROM range(1, 5) n, top),
+jud AS (SELECT req.*, coalesce(l.term, 0) AS prev_term, req.prev_index + 100 AS leader_commit, req.term >= current_term AND (prev_index = 0 OR f.term IS NULL OR f.term = coalesce(l.term, 0)) AS success FROM req LEFT JOIN lead l ON l.index = prev_index LEFT JOIN rl f ON f.node_id = req.node_id AND f.index = prev_index),
+sent AS (SELECT jud.node_id, lead.index, lead.term FROM jud JOIN lead ON lead.index > prev_index AND lead.index <= prev_index + 200 WHERE success),
+bad AS (SELECT s.node_id, min(s.index) AS f FROM sent s JOIN rl ON rl.node_id = s.node_id AND rl.index = s.index AND rl.term <> s.term GROUP BY 1),
+kept AS (SELECT rl.node_id, rl.index, rl.term FROM rl LEFT JOIN bad USING (node_id) WHERE rl.node_id <> 0 AND (f IS NULL OR rl.index < f)),
+aft AS (SELECT * FROM kept UNION ALL SELECT s.* FROM sent s LEFT JOIN (SELECT node_id, max(index) AS l FROM kept GROUP BY 1) USING (node_id) WHERE s.index > coalesce(l, 0))"""
+
+
+def _append(spark, d):
+    log = _raft(spark, d)
+    lead = log.where(F.col("node_id") == 0).select("term", "index", "command")
+    top = lead.agg(F.max("index").alias("m"))
+    node, m = F.col("node_id"), F.col("m")
+    prev = F.when(node == 1, m).when(node == 2, 10).when(node == 3, F.floor(m * 9 / 10) - 5).otherwise(F.floor(m * 6 / 10))
+    asked = spark.range(1, 5).select(F.col("id").cast("int").alias("node_id")).join(F.broadcast(top)).select("node_id", F.when(node == 2, 1).otherwise(1000).alias("term"), F.lit(500).alias("current_term"), prev.alias("prev_index"), (prev + 100).alias("leader_commit"), F.lit(50).cast("long").alias("commit_index"))
+    requests = asked.join(lead.select(F.col("index").alias("prev_index"), F.col("term").alias("prev_term")), "prev_index", "left").withColumn("prev_term", F.coalesce("prev_term", F.lit(0).cast("long")))
+    ranges = F.broadcast(asked.select("node_id", "prev_index"))
+    entries = lead.join(ranges, (F.col("index") > F.col("prev_index")) & (F.col("index") <= F.col("prev_index") + 200)).select("node_id", "index", "term", "command")
+    return quorum.append_entries(log.where(node != 0), requests, entries)
+
+
+@query("append_entries", "SELECT CAST(jud.node_id AS INT) AS node_id, success, CASE WHEN success THEN li ELSE 0 END AS match_index, CASE WHEN success AND leader_commit > commit_index THEN least(leader_commit, li) ELSE commit_index END AS commit_index, n AS log_size FROM jud JOIN (SELECT node_id, max(index) AS li, count(*) AS n FROM aft GROUP BY 1) USING (node_id)", RAFT, APPEND)
+def _(spark, d):
+    return _append(spark, d)[1]
+
+
+@query("appended_log", "SELECT CAST(node_id AS INT) AS node_id, index, term FROM aft", RAFT, APPEND)
+def _(spark, d):
+    return _append(spark, d)[0].select("node_id", "index", "term")
+
+
+@query("raft_node_states", "SELECT CAST(node_id AS INT) AS node_id, CASE WHEN node_id = 0 THEN 'Leader' ELSE 'Follower' END AS role, arg_max(term, index) AS term, least(max(index), (SELECT commit_index FROM ci)) AS commit_index, least(max(index), (SELECT commit_index FROM ci)) AS last_applied, count(*) AS log_size, 0 AS leader_id FROM rl GROUP BY node_id", RAFT, MATCH)
 def _(spark, d):
     log, commit = _commit(spark, d)
     return quorum.node_states(log, 0, commit)
 
 
-@query("apply_committed", ", a AS (SELECT index AS seq, split_part(command, ' ', 1) AS op, split_part(command, ' ', 2) AS key, split_part(command, ' ', 3) AS value FROM rl WHERE node_id = 0 AND index > 100) SELECT key, max(seq) AS seq, arg_max(value, seq) AS value FROM a GROUP BY key HAVING arg_max(op, seq) = 'PUT'", RAFT)
+@query("apply_committed", ", a AS (SELECT index AS seq, split_part(command, ' ', 1) AS op, split_part(command, ' ', 2) AS key, substr(command, length(split_part(command, ' ', 1)) + length(split_part(command, ' ', 2)) + 3) AS value FROM rl WHERE node_id = 0 AND index > 100 AND index <= (SELECT commit_index FROM ci)) SELECT key, max(seq) AS seq, arg_max(value, seq) AS value FROM a GROUP BY key HAVING arg_max(op, seq) = 'PUT'", RAFT, MATCH)
 def _(spark, d):
     log, commit = _commit(spark, d)
-    top = commit.first()["commit_index"]
-    return quorum.apply_committed(log, 0, 100, top).select("key", "seq", F.split("value", " ")[0].alias("value"))
+    return quorum.apply_committed(log, 0, 100, commit).select("key", "seq", "value")
 
 
-@query("raft_retained", "SELECT CAST(node_id AS INT) AS node_id, index, term FROM rl WHERE index >= (SELECT max(index) FROM rl) - 999", RAFT)
+@query("raft_retained", "SELECT CAST(node_id AS INT) AS node_id, index, term FROM rl WHERE index > (SELECT commit_index FROM ci) - 1000", RAFT, MATCH)
 def _(spark, d):
     log, commit = _commit(spark, d)
-    return quorum.retain(log, commit.first()["commit_index"]).select("node_id", "index", "term")
+    return quorum.retain(log, commit).select("node_id", "index", "term")
 
 
 # --- matrices -------------------------------------------------------------------
@@ -718,12 +920,28 @@ def _(spark, d):
     return asked.join(stored, F.get("tokens", F.lit(1)) == F.col("key"), "left").select("seq", commands.stateless_reply(F.col("tokens"), F.col("found")).alias("reply"))
 
 
-@query("command_sessions")
+@query(
+    "command_sessions",
+    """, s AS (SELECT 's' || (seq % 64) AS session, seq, verb, key, props, len(string_split(props, ' ')) + 1 AS args FROM ln),
+ev AS (SELECT session, seq, key, props AS v FROM s WHERE verb = 'set' UNION ALL SELECT session, seq, key, NULL FROM s WHERE verb = 'del' UNION ALL SELECT session, seq, unnest(string_split(props, ' ')), NULL FROM s WHERE verb = 'del'),
+last AS (SELECT s.session, s.seq, arg_max(struct_pack(v := ev.v), ev.seq) AS l FROM s JOIN ev ON ev.session = s.session AND ev.key = s.key AND ev.seq < s.seq WHERE s.verb = 'GET' GROUP BY ALL)
+SELECT s.session, s.seq, CASE verb WHEN 'set' THEN '+OK' || chr(13) || chr(10) WHEN 'GET' THEN coalesce('$' || strlen(l.v) || chr(13) || chr(10) || l.v || chr(13) || chr(10), '$-1' || chr(13) || chr(10))
+  WHEN 'del' THEN ':' || args || chr(13) || chr(10) WHEN 'ping' THEN '$' || strlen(key) || chr(13) || chr(10) || key || chr(13) || chr(10) ELSE '-ERR unknown command ''xyzzy''' || chr(13) || chr(10) END AS reply, false AS close
+FROM s LEFT JOIN last USING (session, seq)""",
+    LINES,
+)
 def _(spark, d):
     asked = _lines(spark, d).select(F.concat(F.lit("s"), F.col("seq") % 64).alias("session"), "seq", resp.inline_tokens(F.col("line")).alias("tokens"))
     return commands.replies(asked)
 
 
+@query("command_arity", "SELECT c_custkey, '-ERR wrong number of arguments for ''' || ['GET', 'SET', 'DEL'][c_custkey % 3 + 1] || '''' || chr(13) || chr(10) AS reply FROM customer")
+def _(spark, d):
+    """Requests with too few arguments."""
+    short = F.get(F.array(F.array(F.lit("get")), F.array(F.lit("set"), F.lit("k")), F.array(F.lit("del"))), (F.col("c_custkey") % 3).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", commands.stateless_reply(short, F.lit(None).cast("string")).alias("reply"))
+
+
 @query("resp_encode", "SELECT c_custkey, '$' || strlen(c_name) || chr(13) || chr(10) || c_name || chr(13) || chr(10) AS bulk, ':' || c_custkey || chr(13) || chr(10) AS number, '*2' || chr(13) || chr(10) || '$' || strlen(c_name) || chr(13) || chr(10) || c_name || chr(13) || chr(10) || '$' || strlen(c_mktsegment) || chr(13) || chr(10) || c_mktsegment || chr(13) || chr(10) AS list FROM customer")
 def _(spark, d):
     c = table(spark, d, "customer")

@@ -16,6 +16,11 @@ def sizing(keys: int, rate: float = 0.01) -> tuple[int, int]:
     return (bits + 7) // 8 * 8, max(1, int(-math.log(rate) / math.log(2)))
 
 
+def bits_of(keys: Column) -> Column:
+    """The bits of filters of so many keys, as ``sizing`` gives them."""
+    return F.floor((F.greatest(F.lit(64).cast("long"), keys * 10) + 7) / 8) * 8
+
+
 def positions(key: Column, bits: int, hashes: int) -> Column:
     """A key's bit positions by double hashing."""
     a, b = md5_word(key, 1), md5_word(key, 9)

@@ -13,33 +13,36 @@ from kvlume.functions.prefix import running_sum
 from kvlume.operators.versions import newest, writes
 from kvlume.schemas import ENTRY_OVERHEAD, FLUSH_BYTES, FRAME_OVERHEAD
 
-#: A double value counts as its eight bytes.
-VALUE_BYTES = 8
+#: What a number counts as, whatever its digits.
+NUMBER_BYTES = 8
 
 
-def value_bytes() -> Column:
-    return F.when(F.col("op") == "PUT", VALUE_BYTES).otherwise(0)
+def value_bytes(log: DataFrame) -> Column:
+    """Bytes of a write's value: text and binary by length, a number as eight, a
+    null or a delete as none."""
+    size = F.octet_length("value") if dict(log.dtypes)["value"] in ("string", "binary") else F.when(F.col("value").isNotNull(), NUMBER_BYTES)
+    return F.when(F.col("op") == "PUT", F.coalesce(size, F.lit(0))).otherwise(0)
 
 
-def entry_bytes() -> Column:
+def entry_bytes(log: DataFrame) -> Column:
     """What a write costs in a memtable."""
-    return (F.octet_length("key") + value_bytes() + ENTRY_OVERHEAD).cast("long")
+    return (F.octet_length("key") + value_bytes(log) + ENTRY_OVERHEAD).cast("long")
 
 
-def frame_bytes() -> Column:
+def frame_bytes(log: DataFrame) -> Column:
     """What a write costs in the log file."""
-    return (F.octet_length("key") + value_bytes() + FRAME_OVERHEAD).cast("long")
+    return (F.octet_length("key") + value_bytes(log) + FRAME_OVERHEAD).cast("long")
 
 
 def epochs(log: DataFrame, threshold: int = FLUSH_BYTES) -> DataFrame:
     """Writes with ``epoch``: the memtable they fall in, counting from 0."""
-    summed = running_sum(writes(log), "seq", entry_bytes(), "bytes")
-    return summed.withColumn("epoch", F.floor((F.col("bytes") - entry_bytes()) / threshold).cast("long"))
+    summed = running_sum(writes(log), "seq", entry_bytes(log), "bytes")
+    return summed.withColumn("epoch", F.floor((F.col("bytes") - entry_bytes(log)) / threshold).cast("long"))
 
 
 def memtables(log: DataFrame, threshold: int = FLUSH_BYTES) -> DataFrame:
     """Size and versions of each memtable, and whether it is due for a flush."""
-    return epochs(log, threshold).groupBy("epoch").agg(F.sum(entry_bytes()).alias("approximate_size"), F.count(F.lit(1)).alias("entry_count")).withColumn("should_flush", F.col("approximate_size") >= threshold)
+    return epochs(log, threshold).groupBy("epoch").agg(F.sum(entry_bytes(log)).alias("approximate_size"), F.count(F.lit(1)).alias("entry_count")).withColumn("should_flush", F.col("approximate_size") >= threshold)
 
 
 def flush(epoched: DataFrame) -> DataFrame:

@@ -69,12 +69,13 @@ def peak_shard(loads: DataFrame) -> DataFrame:
 
 
 def telemetry(ops: DataFrame, tick: Column, capacity: int, hit_rate: Column) -> DataFrame:
-    """Load, hit rate and latency of each shard and tick from its operations.
-
-    ``ops`` has shard, key and hit. A shard's size is the keys it has seen so far.
+    """Load, hit rate and latency of each shard and tick, idle shards included,
+    from operations (shard, key and hit). A shard's size is the keys it has seen
+    so far; the hit rate is that of all shards.
     """
     ticked = ops.withColumn("tick", tick)
-    per = ticked.groupBy("tick", "shard").agg(F.count(F.lit(1)).alias("n"))
+    every = ticked.select("tick").distinct().select("tick", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("shard"))
+    per = every.join(ticked.groupBy("tick", "shard").agg(F.count(F.lit(1)).alias("n")), ["tick", "shard"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     first = ticked.groupBy("shard", "key").agg(F.min("tick").alias("tick")).groupBy("tick", "shard").agg(F.count(F.lit(1)).alias("new_keys"))
     running = Window.partitionBy("shard").orderBy("tick")
     size = F.sum(F.coalesce("new_keys", F.lit(0))).over(running)

@@ -32,11 +32,11 @@ def entry_range(log: DataFrame, start: int, limit: int = 500) -> DataFrame:
     return log.where(F.col("index") >= start).withColumn("_r", F.row_number().over(in_order)).where(F.col("_r") <= limit).drop("_r")
 
 
-def matches_at(log: DataFrame, probes: DataFrame, compacted: int = 0) -> DataFrame:
+def matches_at(log: DataFrame, probes: DataFrame) -> DataFrame:
     """Whether each probe (node_id, index, term) agrees with the log. Index 0
-    and entries at or below the compaction point agree."""
+    and entries that the log doesn't hold agree."""
     mine = log.select("node_id", "index", F.col("term").alias("_t"))
-    ok = (F.col("index") == 0) | ((F.col("index") <= compacted) & F.col("_t").isNull()) | F.coalesce(F.col("_t") == F.col("term"), F.lit(False))
+    ok = (F.col("index") == 0) | F.col("_t").isNull() | F.coalesce(F.col("_t") == F.col("term"), F.lit(False))
     return probes.join(mine, ["node_id", "index"], "left").select("node_id", "index", "term", ok.alias("matches"))
 
 
@@ -113,15 +113,44 @@ def apply(entries: DataFrame) -> DataFrame:
     return out.where(F.col("op").isin("PUT", "DEL")).withColumn("value", F.when(F.col("op") == "PUT", F.col("value")))
 
 
-def apply_committed(log: DataFrame, node: int, applied: int, commit: int) -> DataFrame:
-    """Live keys after the entries in (applied, commit]."""
+def append_entries(log: DataFrame, requests: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The logs after one request to each follower, and the replies.
+
+    ``requests``: node_id, term, prev_index, prev_term, leader_commit, and what the
+    follower has: current_term and commit_index. ``entries``: node_id, index, term,
+    command. A request of an older term, or whose previous entry differs, changes
+    nothing. Else the log ends before the first entry that differs, and entries
+    past its end are added. Requests are one a node, so they are broadcast.
+    """
+    previous = log.select("node_id", F.col("index").alias("prev_index"), F.col("term").alias("_t"))
+    fits = (F.col("prev_index") == 0) | F.col("_t").isNull() | (F.col("_t") == F.col("prev_term"))
+    judged = requests.join(previous, ["node_id", "prev_index"], "left").withColumn("success", (F.col("term") >= F.col("current_term")) & fits)
+    asked = F.broadcast(judged.where("success").select("node_id"))
+    sent = entries.join(asked, "node_id", "left_semi")
+    first = sent.join(log.select("node_id", "index", F.col("term").alias("_t")), ["node_id", "index"]).where(F.col("term") != F.col("_t")).groupBy("node_id").agg(F.min("index").alias("_first"))
+    kept = log.join(F.broadcast(first), "node_id", "left").where(F.col("_first").isNull() | (F.col("index") < F.col("_first"))).drop("_first")
+    last = kept.groupBy("node_id").agg(F.max("index").alias("_last"))
+    added = sent.join(F.broadcast(last), "node_id", "left").where(F.col("index") > F.coalesce("_last", F.lit(0))).select(*log.columns)
+    after = kept.unionByName(added)
+    ends = after.groupBy("node_id").agg(F.max("index").alias("_end"), F.count(F.lit(1)).alias("log_size"))
+    end = F.coalesce("_end", F.lit(0).cast("long"))
+    commit = F.when(F.col("success") & (F.col("leader_commit") > F.col("commit_index")), F.least("leader_commit", end)).otherwise(F.col("commit_index"))
+    replies = judged.join(ends, "node_id", "left").select("node_id", "success", F.when(F.col("success"), end).otherwise(0).alias("match_index"), commit.alias("commit_index"), F.coalesce("log_size", F.lit(0).cast("long")).alias("log_size"))
+    return after, replies
+
+
+def apply_committed(log: DataFrame, node: int, applied: int, commit: DataFrame) -> DataFrame:
+    """Live keys after the entries in (applied, commit_index]; ``commit`` has one row."""
     from kvlume.operators.versions import latest
 
-    return latest(apply(log.where((F.col("node_id") == node) & (F.col("index") > applied) & (F.col("index") <= commit))))
+    own = log.where((F.col("node_id") == node) & (F.col("index") > applied)).join(F.broadcast(commit.select("commit_index")))
+    return latest(apply(own.where(F.col("index") <= F.col("commit_index")).drop("commit_index")))
 
 
-def retain(log: DataFrame, applied: int, keep: int = RETAINED_ENTRIES) -> DataFrame:
-    return compact_before(log, applied - keep + 1)
+def retain(log: DataFrame, applied: DataFrame, keep: int = RETAINED_ENTRIES) -> DataFrame:
+    """The newest ``keep`` applied entries and all later ones; ``applied`` has one
+    row, commit_index."""
+    return log.join(F.broadcast(applied.select("commit_index"))).where(F.col("index") > F.col("commit_index") - keep).drop("commit_index")
 
 
 def node_states(log: DataFrame, leader: int, commit: DataFrame) -> DataFrame:

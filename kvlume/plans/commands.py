@@ -40,7 +40,7 @@ def to_log(commands: DataFrame) -> DataFrame:
 def stateless_reply(tokens: Column, lookup: Column) -> Column:
     """Replies that need no state but the value ``lookup`` that GET finds."""
     v, n = verb(tokens), F.size(tokens)
-    wrong = lambda name: resp.error(F.lit(f"wrong number of arguments for '{name}' command"))
+    wrong = lambda name: resp.error(F.lit(f"wrong number of arguments for '{name}'"))
     ok = resp.simple_string(F.lit("OK"))
     arg = F.get(tokens, F.lit(1))
     return (
@@ -90,7 +90,7 @@ class Session:
         v = tokens[0].upper()
         need = {"GET": 2, "SET": 3, "DEL": 2, "EXISTS": 2}
         if n < need.get(v, 0):
-            return err(f"wrong number of arguments for '{v}' command"), False
+            return err(f"wrong number of arguments for '{v}'"), False
         if v == "GET":
             row = self.cache.get(tokens[1])
             if row is not None:

@@ -8,11 +8,13 @@ readers can be fed and tests can go round.
 
 from __future__ import annotations
 
+import bisect
 import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kvlume.schemas import MAX_FRAME
 
@@ -27,6 +29,10 @@ FOOTER, FOOTER_BYTES = "<6Q", 48
 WAL = "file string, seq long, op string, key binary, value binary"
 SST = "file string, key binary, value binary"
 RAFT = "file string, term long, index long, command binary"
+STATE = "file string, current_term long, voted_for int"
+#: Bytes from which a new sorted table begins, and frames or entries of a file.
+TABLE_BYTES = 32 * 1024 * 1024
+FILE_ROWS = 50_000
 
 
 def checksum(data: bytes) -> int:
@@ -150,10 +156,114 @@ def decode_entries(data: bytes):
         at += 20 + n
 
 
+def encode_state(term: int, voted_for: int | None) -> bytes:
+    """A node's term and vote; -1 is no vote."""
+    return struct.pack("<Qi4x", term, -1 if voted_for is None else voted_for)
+
+
+def decode_state(data: bytes):
+    if len(data) >= 16:
+        term, vote = struct.unpack_from("<Qi", data)
+        yield term, None if vote < 0 else vote
+
+
+def point_reads(data: bytes, keys: list[bytes]):
+    """(key, value) of those of ``keys`` that a sorted table holds: the filter is
+    asked first, then the index by bisection."""
+    footer = decode_footer(data)
+    if footer is None:
+        return
+    bloom = Bloom.decode(data[footer[2] : footer[2] + footer[3]])
+    asked = [k for k in keys if bloom.may_contain(k)]
+    if not asked:
+        return
+    at, index = footer[0] + 4, []
+    for _ in range(footer[4]):
+        (k,) = struct.unpack_from("<I", data, at)
+        index.append((data[at + 4 : at + 4 + k], struct.unpack_from("<Q", data, at + 4 + k)[0]))
+        at += 20 + k
+    for key in asked:
+        i = bisect.bisect_left(index, (key,))
+        if i < len(index) and index[i][0] == key:
+            offset = index[i][1] + 4 + len(key)
+            (v,) = struct.unpack_from("<I", data, offset)
+            yield key, data[offset + 4 : offset + 4 + v]
+
+
+def _write(files: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """A file for each row of ``content``. Spark's text writer commits them, so
+    they can lie in any store; it ends each file with a zero byte, which is the
+    last one of a table's footer and which readers of the other formats skip."""
+    text = files.select(*by, F.col("content").cast("string").alias("value"))
+    text.write.mode("errorifexists").option("lineSep", "\0").option("maxRecordsPerFile", 1).partitionBy(*by).text(path)
+
+
+def _packed(rows: DataFrame, by: str | None, encode) -> DataFrame:
+    """Rows in order as files of ``FILE_ROWS`` records; ``by`` names the column
+    that starts a new file where it changes, and comes first in ``rows``."""
+
+    def run(batches):
+        held, owner = [], None
+        out = lambda: pa.RecordBatch.from_arrays([*([pa.array([owner], pa.int64())] if by else []), pa.array([b"".join(held)], pa.binary())], names=[*([by] if by else []), "content"])
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (len(held) == FILE_ROWS or (by and row[0] != owner)):
+                    yield out()
+                    held = []
+                owner = row[0]
+                held.append(encode(*row))
+        if held:
+            yield out()
+
+    return rows.mapInArrow(run, f"{f'{by} long, ' if by else ''}content binary")
+
+
+def write_wal(log: DataFrame, path: str) -> None:
+    """seq, op, key, value as log files, each in ascending seq."""
+    rows = log.select(F.col("seq").cast("long"), "op", F.col("key").cast("binary"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")))
+    _write(_packed(rows.repartitionByRange("seq").sortWithinPartitions("seq"), None, lambda seq, op, key, value: encode_frame(op, seq, key, value)), path)
+
+
+def write_raft(log: DataFrame, path: str) -> None:
+    """node_id, term, index, command as replicated-log files, by node."""
+    rows = log.select(F.col("node_id").cast("long"), F.col("term").cast("long"), F.col("index").cast("long"), F.col("command").cast("binary"))
+    in_order = rows.repartitionByRange("node_id", "index").sortWithinPartitions("node_id", "index")
+    _write(_packed(in_order, "node_id", lambda _node, term, index, command: encode_entries([(term, index, command)])), path, ("node_id",))
+
+
+def write_state(states: DataFrame, path: str) -> None:
+    """node_id, current_term, voted_for as state files, by node."""
+    rows = states.select(F.col("node_id").cast("long"), F.col("current_term").cast("long"), F.col("voted_for").cast("int"))
+    _write(_packed(rows, "node_id", lambda _node, term, vote: encode_state(term, vote)), path, ("node_id",))
+
+
+def write_tables(runs: DataFrame, path: str) -> None:
+    """level, sst_id, key, value as sorted tables, by level and run. A long run
+    becomes several tables of ascending keys."""
+
+    def run(batches):
+        rows, size, owner = {}, 0, None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([owner[0]], pa.int32()), pa.array([owner[1]], pa.int64()), pa.array([encode_table(rows)[:-1]], pa.binary())], names=["level", "sst_id", "content"])
+        for batch in batches:
+            for level, sst, key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and (size > TABLE_BYTES or (level, sst) != owner):
+                    yield out()
+                    rows, size = {}, 0
+                owner = (level, sst)
+                rows[key] = value
+                size += len(key) + len(value)
+        if rows:
+            yield out()
+
+    rows = runs.select(F.col("level").cast("int"), F.col("sst_id").cast("long"), F.col("key").cast("binary"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")))
+    in_order = rows.repartitionByRange("level", "sst_id", "key").sortWithinPartitions("level", "sst_id", "key")
+    _write(in_order.mapInArrow(run, "level int, sst_id long, content binary"), path, ("level", "sst_id"))
+
+
 def _read(spark: SparkSession, path: str, glob: str, schema: str, decode) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
     names = [f.split()[0] for f in schema.split(", ")]
-    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     types = [kinds[f.split()[1]] for f in schema.split(", ")]
 
     def run(batches):
@@ -186,5 +296,16 @@ def read_raft(spark: SparkSession, path: str, glob: str = "raft_log.dat") -> Dat
     return _read(spark, path, glob, RAFT, decode_entries)
 
 
+def read_state(spark: SparkSession, path: str, glob: str = "raft_state.dat") -> DataFrame:
+    """file, current_term, voted_for (null: none) of state files."""
+    return _read(spark, path, glob, STATE, decode_state)
+
+
+def lookup(spark: SparkSession, path: str, keys: list[str], glob: str = "*.sst") -> DataFrame:
+    """file, key, value of a short list of keys in sorted tables."""
+    wanted = [k.encode() for k in keys]
+    return _read(spark, path, glob, SST, lambda data: point_reads(data, wanted))
+
+
 def checksums(frames: list[bytes]) -> np.ndarray:
     return np.array([checksum(f) for f in frames], np.int64)

@@ -48,7 +48,7 @@ SESSION = [
     ("PING", "+PONG"), ("PING hello", "$5|hello"), ("SET name Alice", "+OK"), ("GET name", "$5|Alice"), ("SET city NewYork", "+OK"), ("GET city", "$7|NewYork"), ("GET nonexistent", "$-1"),
     ("set name Bob", "+OK"), ("get name", "$3|Bob"), ("EXISTS name", ":1"), ("EXISTS ghost", ":0"), ("DEL city", ":1"), ("GET city", "$-1"), ("DEL ghost", ":1"), ("DEL a b c", ":3"),
     ("SET k a  b", "+OK"), ("GET k", "$3|a b"), ("DBSIZE", ":2"), ("KEYS x*", "*2|$4|name|$1|k"), ("FLUSHALL", "+OK"), ("DBSIZE", ":0"), ("GET name", "$3|Bob"), ("DBSIZE", ":1"),
-    ("BADCMD", "-ERR unknown command 'BADCMD'"), ("GET", "-ERR wrong number of arguments for 'GET' command"), ("CONFIG GET save", "*2|$4|save|$0|"), ("COMMAND", "+OK"), ("", "-ERR empty command"), ("QUIT", "+OK"),
+    ("BADCMD", "-ERR unknown command 'BADCMD'"), ("GET", "-ERR wrong number of arguments for 'GET'"), ("CONFIG GET save", "*2|$4|save|$0|"), ("COMMAND", "+OK"), ("", "-ERR empty command"), ("QUIT", "+OK"),
 ]
 
 

@@ -82,6 +82,41 @@ def test_backend(spark, tmp_path):
     assert {r["key"]: (r["value"], r["found"]) for r in b.load(keys).collect()} == want and b.size() == 1
 
 
+def test_columns_equal_the_python_rules(spark):
+    from kvlume.functions import hashing
+    from kvlume.schemas import segment_capacity
+
+    rows = spark.range(1, 3000, 7).select("id", bloom.bits_of(F.col("id")).alias("bits"), hashing.capacity_of(F.col("id")).alias("share")).collect()
+    assert all(r["bits"] == bloom.sizing(r["id"])[0] and r["share"] == segment_capacity(r["id"]) for r in rows)
+
+
+def test_running_sums_keep_null_orders(spark):
+    from kvlume.functions.prefix import rank, running_sum
+
+    df = spark.createDataFrame([(None, 5, None), (3, 1, "a"), (200_000, 2, None), (1, 4, "a")], "seq long, v long, k string")
+    got = {(r["seq"], r["s"]) for r in running_sum(df, "seq", F.col("v"), "s").collect()}
+    assert got == {(None, 5), (1, 9), (3, 10), (200_000, 12)}
+    assert {(r["k"], r["seq"], r["n"]) for r in rank(df, "seq", "n", keys=("k",)).collect()} == {(None, None, 1), (None, 200_000, 2), ("a", 1, 1), ("a", 3, 2)}
+
+
+def test_files_of_odd_rows(spark, tmp_path):
+    """Empty keys and values, zero bytes, several files a run."""
+    rows = [(1, "PUT", "", ""), (2, "DEL", "k", None), (3, "PUT", "k\0", "v\0\0"), (1 << 40, "PUT", "é\n", "\r\n")]
+    binary.write_wal(spark.createDataFrame(rows, "seq long, op string, key string, value string"), str(tmp_path / "w"))
+    got = sorted((r["seq"], r["op"], bytes(r["key"]).decode(), bytes(r["value"]).decode()) for r in binary.read_wal(spark, str(tmp_path / "w"), "*.txt").collect())
+    assert got == [(a, b, c, d or "") for a, b, c, d in rows]
+    runs = spark.range(500).selectExpr("int(id % 2) level", "id % 3 sst_id", "concat('k', id, char(0)) key", "concat(id, char(0)) value")
+    binary.write_tables(runs, str(tmp_path / "t"))
+    back = binary.read_tables(spark, str(tmp_path / "t"), "*.txt").selectExpr("cast(key as string) key", "cast(value as string) value")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, runs.select("key", "value").collect()))
+    found = binary.lookup(spark, str(tmp_path / "t"), ["k7\0", "k499\0", "nope", ""], "*.txt").collect()
+    assert sorted(bytes(r["value"]) for r in found) == [b"499\0", b"7\0"]
+    binary.write_state(spark.createDataFrame([(0, 7, None), (1, 9, 3)], "node_id int, current_term long, voted_for int"), str(tmp_path / "s"))
+    assert sorted((r["current_term"], r["voted_for"]) for r in binary.read_state(spark, str(tmp_path / "s"), "*.txt").collect()) == [(7, None), (9, 3)]
+    with pytest.raises(Exception, match="exists"):
+        binary.write_wal(spark.createDataFrame(rows, "seq long, op string, key string, value string"), str(tmp_path / "w"))
+
+
 def test_bloom_sizing():
     assert bloom.sizing(1) == (64, 6) and bloom.sizing(1001) == (10016, 6) and bloom.sizing(10, 0.5)[1] == 1
 
