@@ -6,8 +6,7 @@ a page whose payload another one has too becomes a revisit.  Blocks longer than
 archives are gzip files that Spark's text writer commits: its line separator is
 the blank lines that end a record, so they can lie in any store.
 
-Reading: records are parsed file by file (files are bounded by records, records
-by the segment size), then brought together by origin identifier, ordered by
+Reading: records are parsed file by file, one in hand at a time, then brought together by origin identifier, ordered by
 segment number, checked against the total length, and the chunked transfer
 framing is decoded.  Only pieces of segmented records travel with their bytes.
 """
@@ -17,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvlume.llm.arrow import chunks
+from kvlume.llm.components import join_keys
+from kvlume.llm.store import cut
 
 SEGMENT_BYTES = 16_384
 CHUNK = 4_096
@@ -114,23 +116,40 @@ def page_records(record_id: str, page_id: str | None, url: str | None, payload:
         yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{record_id[:-1]}.{i}>"), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Segment-Origin-ID", record_id), ("WARC-Segment-Number", str(i)), *last], piece)
 
 
-def parse(data: bytes):
-    """(fields, block) of each record of an archive; a damaged rest of a file
-    gives one record with the field ``error``."""
-    at = 0
-    while at < len(data):
-        head_end = data.find(END, at)
-        if not data.startswith(b"WARC/1.", at) or head_end < 0:
+def parse(data: bytes | Iterable[bytes]):
+    """(fields, block) of each record of an archive that comes whole or in pieces,
+    of which one record is held at a time; a damaged rest gives one record with
+    the field ``error``."""
+    pieces, held, at = iter([data] if isinstance(data, bytes) else data), bytearray(), 0
+
+    def upto(size: int) -> bool:
+        """Whether there are so many bytes from ``at`` on; reads what is needed."""
+        nonlocal at
+        while len(held) - at < size:
+            more = next(pieces, None)
+            if more is None:
+                return False
+            del held[:at]
+            at = 0
+            held.extend(more)
+        return True
+
+    while upto(1):
+        seen = 0
+        while (head_end := held.find(END, at + seen)) < 0:
+            seen = max(0, len(held) - at - len(END))
+            if not upto(len(held) - at + 1):
+                break
+        if head_end < 0 or not held.startswith(b"WARC/1.", at):
             yield {"error": "not a record"}, b""
             return
-        fields = _fields(data[at:head_end])
-        size = fields.get("content-length", "")
-        start = head_end + len(END)
-        if not size.isdigit() or data[start + int(size) : start + int(size) + 4] != END:
+        fields = _fields(bytes(held[at:head_end]))
+        size, head = fields.get("content-length", ""), head_end + len(END) - at
+        if not size.isdigit() or not upto(head + int(size) + len(END)) or held[at + head + int(size) : at + head + int(size) + len(END)] != END:
             yield {"error": "block differs from Content-Length"} | {k: v for k, v in fields.items() if k.startswith("warc-")}, b""
             return
-        yield fields, data[start : start + int(size)]
-        at = start + int(size) + 4
+        yield fields, bytes(held[at + head : at + head + int(size)])
+        at += head + int(size) + len(END)
 
 
 def join_segments(pieces: list[tuple[int, int | None, bytes]]) -> bytes:
@@ -149,9 +168,18 @@ def join_segments(pieces: list[tuple[int, int | None, bytes]]) -> bytes:
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
     """page_id, url, payload, digest and ``first``: the smallest id with an equal
     payload of ``least`` bytes or more, where that is another row's id."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(body_col).cast("string").cast("binary"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    firsts = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("digest", "first")
-    return rows.join(firsts, "digest", "left").withColumn("first", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(body_col).cast("string").cast("binary"), F.lit(b"")).alias("payload"))
+    digest = F.sha2("payload", 256).alias("digest")
+    long = F.octet_length("payload") >= least
+    # equal payloads are found without the payloads themselves
+    narrow = rows.where(long).select("page_id", digest)
+    firsts = cut(narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    again = cut(join_keys(narrow, firsts, "digest", "n", total).where(~F.col("first").eqNullSafe(F.col("page_id"))).distinct())
+    other = again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first")
+    own = rows.where(long).select("*", digest)
+    whole = own.join(other, own["page_id"].eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").drop("_page", "_digest")
+    return whole.unionByName(rows.where(~long).select("*", digest, F.lit(None).cast(rows.schema["page_id"].dataType).alias("first")))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", date: str = "2024-01-01T00:00:00Z", segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
@@ -196,15 +224,19 @@ def _checked(payload: bytes, digest: str | None) -> tuple[int, str]:
     return len(payload), got
 
 
-def _inflate(data: bytes) -> bytes:
+def _inflated(data: bytes, size: int = 4_000_000) -> Iterator[bytes]:
+    """The bytes of a plain or gzip file (of any number of members), a few at a time."""
     if not data.startswith(b"\x1f\x8b"):
-        return data
-    out = []
+        yield from (data[i : i + size] for i in range(0, len(data), size))
+        return
     while data:
         z = zlib.decompressobj(31)
-        out += [z.decompress(data), z.flush()]
+        while data and not z.eof:
+            piece = z.decompress(data, size)
+            data = z.unconsumed_tail
+            if piece:
+                yield piece
         data = z.unused_data
-    return b"".join(out)
 
 
 def read_archives(spark: SparkSession, path: str, id_type: str = "long", with_payload: bool = False) -> DataFrame:
@@ -212,14 +244,15 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "long", with_pa
     refers_to, payload_bytes, payload_digest, error and, if asked for, payload.
 
     Records that can't be read have their reason in ``error`` and no payload.
-    A revisit's length and digest are those its record states.
+    A revisit's length and digest are those its record states; it is an error
+    if no readable response of the page it names has that digest.
     """
 
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
                 rows, held = [], 0
-                for f, block in parse(_inflate(data.as_py())):
+                for f, block in parse(_inflated(data.as_py())):
                     kind, number = f.get("warc-type"), f.get("warc-segment-number")
                     key = f.get("warc-segment-origin-id") if kind == "continuation" else f.get("warc-record-id")
                     digest = f.get("warc-payload-digest", "").removeprefix("sha256:") or None
@@ -280,4 +313,11 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "long", with_pa
 
     schema = T.StructType([*[T.StructField(n, T.StringType()) for n in ("page_id", "url", "record_type", "refers_to")], *_READ.fields])
     out = grouped.mapInArrow(assemble, schema).withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
-    return out if with_payload else out.drop("payload")
+    out = out if with_payload else cut(out.drop("payload"))
+    answers = out.where((F.col("record_type") == "response") & F.col("error").isNull()).select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    lost = cut(out.where(F.col("record_type") == "revisit").select("refers_to", "payload_digest").distinct().join(answers, ["refers_to", "payload_digest"], "left_anti"))
+    if lost.isEmpty():
+        return out
+    marked = out.join(lost.select(F.col("refers_to").alias("_r"), F.col("payload_digest").alias("_d")), (F.col("record_type") == "revisit") & F.col("refers_to").eqNullSafe(F.col("_r")) & F.col("payload_digest").eqNullSafe(F.col("_d")), "left")
+    reason = F.when(F.col("_d").isNotNull() | F.col("_r").isNotNull(), F.coalesce("error", F.lit("no readable response has this payload"))).otherwise(F.col("error"))
+    return marked.withColumn("error", reason).select(out.columns)
