@@ -420,6 +420,43 @@ def test_damaged_archives(spark, tmp_path):
     assert got[1] == (3000, None) and got[2] == (None, "a segment is missing or repeated") and got[3][1] == "payload differs from its digest" and got[None][1] == "not a record"
 
 
+def test_archives_in_pieces():
+    """Any cut of an archive, plain or gzip members, gives the same records."""
+    import gzip
+
+    records = [*warc.page_records("<urn:a>", "1", "u", b"x" * 3000, "d", None, "d", 1000), *warc.page_records("<urn:b>", "2", "u", b"", "d", None, "d")]
+    data = b"".join(r + warc.END for r in records)
+    want = list(warc.parse(data))
+    assert len(want) == len(records)
+    for n in (1, 3, 7, 100, len(data)):
+        assert list(warc.parse(data[i : i + n] for i in range(0, len(data), n))) == want
+        assert list(warc.parse(warc._inflated(gzip.compress(data), n))) == want
+        assert list(warc.parse(warc._inflated(b"".join(gzip.compress(r + warc.END) for r in records), n))) == want
+        assert list(warc.parse(data[i : min(i + n, len(data) - 9)] for i in range(0, len(data) - 9, n)))[-1][0]["error"]
+
+
+def test_revisits_of_lost_responses(spark, tmp_path):
+    good, bad = b"x" * 200, b"y" * 200
+    records = [
+        *warc.page_records("<urn:a>", "1", "u", good, hashlib.sha256(good).hexdigest(), None, "d"), *warc.page_records("<urn:b>", "2", "u", good, hashlib.sha256(good).hexdigest(), "1", "d"),
+        *warc.page_records("<urn:c>", "3", "u", bad, "00", None, "d"), *warc.page_records("<urn:d>", "4", "u", bad, hashlib.sha256(bad).hexdigest(), "3", "d"),
+        *warc.page_records("<urn:e>", "5", "u", good, hashlib.sha256(good).hexdigest(), "77", "d"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(r + warc.END for r in records))
+    got = {r["page_id"]: r["error"] for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert got == {1: None, 2: None, 3: "payload differs from its digest", 4: "no readable response has this payload", 5: "no readable response has this payload"}
+
+
+def test_pages_of_one_text(spark, tmp_path):
+    """Nine tenths of the pages are one text, a third of the ids null."""
+    rows = [(None if i % 3 == 0 else i, f"u{i}", "same " * 40 if i % 10 else f"own {i} " * 30) for i in range(1, 400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "a"))
+    got = warc.read_archives(spark, str(tmp_path / "a")).collect()
+    assert len(got) == len(rows) and all(r["error"] is None for r in got)
+    assert sum(r["record_type"] == "revisit" for r in got) == sum(i % 10 != 0 for i in range(1, 400)) - 1 and {r["refers_to"] for r in got} == {None, 1}
+
+
 # --- toxicity ---
 
 
