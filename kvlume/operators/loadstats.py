@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvlume.functions.prefix import rank
+from kvlume.functions.prefix import rank, running_sum
 from kvlume.schemas import EVENT_RING, MAX_RATE, SEGMENTS, TELEMETRY_RING, TRAIN_BATCH, TRAIN_MINIMUM
 
 
@@ -36,22 +36,27 @@ def bursts(ops: DataFrame, order: str, window: int, factor: float = 2.5, least:
 
 
 def with_cooldown(found: DataFrame, checks: int = 10) -> DataFrame:
-    """Bursts that are reported: after one, the next ``checks`` checks are mute.
+    """Bursts that are reported: after one, the next ``checks`` checks (windows with
+    more than 50 operations) are mute.
 
-    Only windows that hold a burst matter and each mutes those that follow, a
-    fold over one row a window; windows are a small aggregate of the operations.
+    A burst more than ``checks`` checks after the burst before it is reported in
+    any case, so runs of closer bursts are judged apart from one another.
     """
-
-    def run(pdf):
-        out, mute = [], 0
-        for r in pdf.sort_values("window").itertuples():
-            fire = bool(r.burst) and mute == 0
-            mute = checks if fire else max(0, mute - (r.total > 50))
-            out.append(fire)
-        return pdf.sort_values("window").assign(reported=out)
-
-    schema = "window long, total long, hot long, burst boolean, heat_stroke boolean, reported boolean"
-    return found.groupBy().applyInPandas(run, schema)
+    busy = rank(found.where(F.col("total") > 50).select("window", "burst"), "window", "check")
+    bursts_ = rank(busy.where("burst").select("window", "check"), "window", "number")
+    before = bursts_.select((F.col("number") + 1).alias("number"), F.col("check").alias("_before"))
+    apart = F.when(F.col("check") - F.col("_before") <= checks, 0).otherwise(1).cast("long")
+    runs = running_sum(bursts_.join(before, "number", "left"), "number", apart, "run").select("window", "check", "run")
+
+    def judge(pdf):
+        out, mute_to = [], -1
+        for r in pdf.sort_values("check").itertuples():
+            out.append(r.check > mute_to)
+            mute_to = r.check + checks if out[-1] else mute_to
+        return pdf.sort_values("check").assign(reported=out)[["window", "reported"]]
+
+    reported = runs.groupBy("run").applyInPandas(judge, "window long, reported boolean")
+    return found.join(reported, "window", "left").withColumn("reported", F.coalesce("reported", F.lit(False)))
 
 
 def burst_stop(counts: DataFrame) -> DataFrame:

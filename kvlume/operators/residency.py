@@ -3,8 +3,8 @@
 Without deletes, residency is a set computation: a segment of capacity C holds
 the C keys with the newest accesses.  Hits of a whole trace are found in
 parallel chunks: only the C newest keys of a chunk can matter to later ones, so
-chunk summaries of bounded size are folded in order, and each chunk is then
-replayed on its own from the state it starts with.  With deletes the rules are
+chunk summaries of bounded size are folded in order, in two levels, and each
+chunk is then replayed on its own from the state it starts with.  With deletes the rules are
 sequential per segment and a fold replays them.
 """
 
@@ -53,16 +53,18 @@ def segment_sizes(spark: SparkSession, keys: DataFrame) -> DataFrame:
     return every.join(counted, "segment", "left").select("segment", F.coalesce("n", F.lit(0).cast("long")).alias("keys"))
 
 
-def hits(log: DataFrame, capacity: int, chunk: int = 20_000) -> DataFrame:
+def hits(log: DataFrame, capacity: int, chunk: int = 20_000, group: int = 1_000) -> DataFrame:
     """``seq``, ``segment``, ``key`` and ``hit`` of a delete-free trace in which
-    every access admits its key; exact, by chunks of ``chunk`` sequence numbers."""
+    every access admits its key; exact, by chunks of ``chunk`` sequence numbers.
+    Chunk summaries are folded within groups of ``group`` chunks, and group
+    summaries before them, so no task holds those of a whole trace."""
     chunked = log.select("segment", F.floor(F.col("seq") / chunk).cast("long").alias("chunk"), "seq", "key")
     last = chunked.groupBy("segment", "chunk", "key").agg(F.max("seq").alias("at"))
     newest_first = Window.partitionBy("segment", "chunk").orderBy(F.desc("at"))
-    summary = last.withColumn("r", F.row_number().over(newest_first)).where(F.col("r") <= capacity).drop("r")
+    summary = last.withColumn("r", F.row_number().over(newest_first)).where(F.col("r") <= capacity).drop("r").withColumn("group", F.floor(F.col("chunk") / group).cast("long"))
 
-    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: OrderedDict = OrderedDict()
+    def fold_(pdf: pd.DataFrame, held: OrderedDict) -> pd.DataFrame:
+        """What is held before each chunk, oldest first, if ``held`` is at first."""
         out = []
         for number, own in pdf.sort_values(["chunk", "at"]).groupby("chunk", sort=True):
             out.append((int(pdf["segment"].iloc[0]), number, list(held)))
@@ -73,7 +75,17 @@ def hits(log: DataFrame, capacity: int, chunk: int = 20_000) -> DataFrame:
                     held.popitem(last=False)
         return pd.DataFrame(out, columns=["segment", "chunk", "held"])
 
-    begin = summary.groupBy("segment").applyInPandas(starts, "segment int, chunk long, held array<string>")
+    def within(key, own: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame(columns=["segment", "chunk", "held"])
+        return fold_(own, OrderedDict((k, True) for k in (state["held"].iloc[0] if len(state) else [])))
+
+    held = "segment int, chunk long, held array<string>"
+    by_group = summary.groupBy("segment", "group", "key").agg(F.max("at").alias("at"))
+    newest_of_group = Window.partitionBy("segment", "group").orderBy(F.desc("at"))
+    groups = by_group.withColumn("r", F.row_number().over(newest_of_group)).where(F.col("r") <= capacity).select("segment", F.col("group").alias("chunk"), "key", "at")
+    first = groups.groupBy("segment").applyInPandas(lambda pdf: fold_(pdf, OrderedDict()), held).withColumnRenamed("chunk", "group")
+    begin = summary.groupBy("segment", "group").cogroup(first.groupBy("segment", "group")).applyInPandas(within, held)
 
     def replay(key, accesses: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         held = OrderedDict((k, True) for k in (state["held"].iloc[0] if len(state) else []))

@@ -105,7 +105,7 @@ def test_chunked_hits_equal_simulator(spark, chunk):
     r = random.Random(chunk)
     ops = [(i, f"k{int(r.paretovariate(0.7)) % 80}") for i in range(2000)]
     log = spark.createDataFrame(ops, "seq long, key string").withColumn("segment", segment_of(F.col("key"), 3))
-    got = {x["seq"]: x["hit"] for x in residency.hits(log, 5, chunk).collect()}
+    got = {x["seq"]: x["hit"] for x in residency.hits(log, 5, chunk, 3).collect()}
     caches, segment = {}, {x["key"]: x["segment"] for x in log.select("key", "segment").distinct().collect()}
     for seq, key in ops:
         assert got[seq] == caches.setdefault(segment[key], Plain(5)).access("PUT", key)

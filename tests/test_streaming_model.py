@@ -133,3 +133,22 @@ def test_config():
     assert parse_args([]) == Config()
     c = parse_args(["--capacity", "100", "--mode", "write-back"])
     assert c.segment_capacity == 3 and c.mode == "write-back" and c.cluster_size == 5
+
+
+def test_cooldown_equals_a_plain_loop(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(i, r.choice([20, 60, 100]), 3, False, False) for i in range(300)]
+    rows = [(i, t, h, t > 50 and r.random() < (0.6 if i // 40 % 2 else 0.04), False) for i, t, h, _, _ in rows]
+    mute, want = 0, []
+    for i, total, _, burst, _ in rows:
+        if total > 50:
+            if mute:
+                mute -= 1
+            elif burst:
+                mute = 10
+                want.append(i)
+    w = spark.createDataFrame(rows, "window long, total long, hot long, burst boolean, heat_stroke boolean")
+    got = loadstats.with_cooldown(w)
+    assert got.count() == 300 and [x["window"] for x in got.where("reported").orderBy("window").collect()] == want
