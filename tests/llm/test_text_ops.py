@@ -387,3 +387,27 @@ def test_many_notices_in_one_text():
     start = time.process_time()
     base, found = license_scan.Searcher().spans("under the mit license " * 100_000)
     assert len(base) == len(found) == 100_000 and time.process_time() - start < 60
+
+
+def test_workers_need_no_installed_package(sf, tmp_path):
+    """All that is shared travels with its code: workers that can't import the
+    package run every query that shares something."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = tmp_path / "run.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[4]').config('spark.sql.shuffle.partitions', '4').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "def there(batches):\n    import importlib.util\n    assert importlib.util.find_spec('kvlume') is None\n    yield from batches\n"
+        "spark.range(1).mapInArrow(there, 'id long').count()\n"
+        "from kvlume import catalog\nfrom kvlume.llm import queries\n"
+        "for f in (*(queries.QUERIES[n] for n in ('op1_language_id', 'op2_license_scan', 'op4_toxicity', 'op6_lm_score', 'op7_decontamination', 'op8_pii', 'op9_media')), catalog.QUERIES['predicted_loads']):\n"
+        f"    assert len(f(spark, {sf!r}).collect()) > 0\n"
+        "print('all ran')\n"
+    )
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0 and "all ran" in done.stdout, done.stderr[-1500:]
