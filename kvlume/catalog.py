@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kvlume.functions import hashing, linalg, resp
 from kvlume.operators import bloom, compaction, loadstats, model, policy, quorum, residency, versions
 from kvlume.plans import commands, metrics
+from kvlume.schemas import MAX_RATE, SEGMENTS
 from kvlume.sources import backend, binary, flatfile, tables
 from kvlume.sources.scratch import scratch
 from kvlume.sources.tables import kv_log, table
@@ -522,15 +523,13 @@ def _(spark, d):
     return loadstats.bursts(kv_log(spark, d).withColumnRenamed("segment", "shard"), "seq", 500)
 
 
-@query(
-    "burst_reports",
-    """, x AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // 500 AS win FROM kv), c AS (SELECT win, segment, count(*) AS n, sum(count(*)) OVER (PARTITION BY win) AS total FROM x GROUP BY win, segment),
+COOLDOWN = """x AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // 500 AS win FROM kv), c AS (SELECT win, segment, count(*) AS n, sum(count(*)) OVER (PARTITION BY win) AS total FROM x GROUP BY win, segment),
 b AS (SELECT win, CAST(total AS BIGINT) AS total, count(*) FILTER (n > total / 32 * 2.5) AS hot FROM c GROUP BY win, total),
 f AS (SELECT win, total, hot, total > 50 AND hot >= 2 AS reported, CASE WHEN total > 50 AND hot >= 2 THEN 10 ELSE 0 END AS mute FROM b WHERE win = 0
-  UNION ALL SELECT b.win, b.total, b.hot, b.total > 50 AND b.hot >= 2 AND f.mute = 0, CASE WHEN b.total > 50 AND b.hot >= 2 AND f.mute = 0 THEN 10 WHEN b.total > 50 THEN greatest(0, f.mute - 1) ELSE f.mute END FROM f JOIN b ON b.win = f.win + 1)
-SELECT win AS "window", total, hot, total > 50 AND hot >= 2 AS burst, total > 50 AND hot >= 4 AS heat_stroke, reported FROM f""",
-    KV,
-)
+  UNION ALL SELECT b.win, b.total, b.hot, b.total > 50 AND b.hot >= 2 AND f.mute = 0, CASE WHEN b.total > 50 AND b.hot >= 2 AND f.mute = 0 THEN 10 WHEN b.total > 50 THEN greatest(0, f.mute - 1) ELSE f.mute END FROM f JOIN b ON b.win = f.win + 1)"""
+
+
+@query("burst_reports", "SELECT win AS \"window\", total, hot, total > 50 AND hot >= 2 AS burst, total > 50 AND hot >= 4 AS heat_stroke, reported FROM f", KV, COOLDOWN)
 def _(spark, d):
     return loadstats.with_cooldown(loadstats.bursts(kv_log(spark, d).withColumnRenamed("segment", "shard"), "seq", 500))
 
@@ -1006,3 +1005,90 @@ def _(spark, d):
     return doc.select(m.alias("m")).select("m.cache_size", F.array_join("m.segment_sizes", ",").alias("segment_sizes"), "m.lsm.total_deletes", "m.lsm.total_puts", "m.sstable_count")
 
 
+
+
+DOC = """cache_hits long, cache_misses long, write_through_ops long, write_back_ops long, cache_size long, write_mode string, segment_sizes array<long>, node_requests array<long>,
+flush_count long, heatstroke_count long, traffic_rate int, lsm struct<wal_bytes: long, memtable_size: long, memtable_entries: long, sstable_count: long, total_puts: long, total_gets: long, total_deletes: long, levels: array<long>>,
+raft struct<commit_index: long, leader_id: int, nodes: array<struct<node_id: int, role: string, term: long, commit_index: long, last_applied: long, log_size: long>>>,
+pinn struct<num_parameters: long, telemetry_count: long, migrations: array<struct<from_shard: int, to_shard: int, confidence: double>>>, events array<string>, segments int, server_running boolean"""
+
+
+@query(
+    "metrics_document",
+    """, ch AS (SELECT key FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY seq DESC) AS r FROM latest) WHERE r <= 2),
+sz AS (SELECT epoch, sum(length(key) + CASE WHEN op = 'PUT' THEN 8 ELSE 0 END + 32) AS size, count(*) AS n FROM ep GROUP BY epoch),
+ns AS (SELECT node_id, max(index) AS li, count(*) AS n, arg_max(term, index) AS term FROM rl GROUP BY node_id),
+mg AS (SELECT shard FROM loads WHERE load > 0.7 AND (SELECT min(load) FROM loads) < (SELECT avg(load) FROM loads))
+SELECT count(*) FILTER (op = 'GET' AND key IN (SELECT key FROM ch)) AS cache_hits, count(*) FILTER (op = 'GET' AND key NOT IN (SELECT key FROM ch)) AS cache_misses, count(*) FILTER (op = 'PUT') AS write_through_ops, CAST(0 AS BIGINT) AS write_back_ops,
+  (SELECT count(*) FROM latest) AS cache_size, 'write-through' AS write_mode,
+  (SELECT string_agg(CAST(n AS VARCHAR), ',' ORDER BY s) FROM (SELECT range AS s, count(key) AS n FROM range(32) LEFT JOIN latest ON segment = range GROUP BY 1)) AS segment_sizes,
+  (SELECT string_agg(CAST(n AS VARCHAR), ',' ORDER BY node) FROM (SELECT shard * 5 // 32 AS node, count(*) AS n FROM tr GROUP BY 1)) AS node_requests,
+  (SELECT count(*) FILTER (reported) FROM f) AS flush_count, (SELECT count(*) FILTER (reported AND total > 50 AND hot >= 4) FROM f) AS heatstroke_count, CAST(12000 AS INT) AS traffic_rate,
+  (SELECT CAST(sum(length(key) + CASE WHEN op = 'PUT' THEN 8 ELSE 0 END + 25) AS BIGINT) FROM w) AS wal_bytes, (SELECT CAST(arg_max(size, epoch) AS BIGINT) FROM sz) AS memtable_size, (SELECT arg_max(n, epoch) FROM sz) AS memtable_entries,
+  (SELECT count(DISTINCT sst_id) FROM runs) AS sstable_count, count(*) FILTER (op = 'PUT') AS total_puts, count(*) FILTER (op = 'GET') AS total_gets, count(*) FILTER (op = 'DEL') AS total_deletes,
+  (SELECT count(DISTINCT sst_id) FROM runs) || ',0,0,0' AS levels, (SELECT commit_index FROM ci) AS commit_index, CAST(0 AS INT) AS leader_id,
+  (SELECT string_agg(node_id || ':' || CASE WHEN node_id = 0 THEN 'Leader' ELSE 'Follower' END || ':' || term || ':' || least(li, (SELECT commit_index FROM ci)) || ':' || n, ',' ORDER BY node_id) FROM ns) AS nodes,
+  CAST(12737 AS BIGINT) AS num_parameters, (SELECT least(1024, count(*)) FROM tel) AS telemetry_count, (SELECT coalesce(string_agg(CAST(shard AS VARCHAR), ',' ORDER BY shard), '') FROM mg) AS migrations,
+  (SELECT string_agg(op, ',' ORDER BY seq) FROM (SELECT seq, op FROM w ORDER BY seq DESC LIMIT 50)) AS events, CAST(32 AS INT) AS segments, true AS server_running
+FROM kv""",
+    KV,
+    TRAF,
+    RAFT,
+    MATCH,
+    COOLDOWN,
+    TEL,
+    LOADS,
+)
+def _(spark, d):
+    """The metrics document over logs, traffic and the replicated log, read back
+    field by field. What only a running server has (locks, loss, votes) is left out."""
+    log = kv_log(spark, d)
+    live, writes = versions.latest(log), versions.writes(log)
+    answered = policy.lookup(log.where(F.col("op") == "GET"), policy.cached(log, 2), live)
+    tables_ = compaction.memtables(log, SMALL_FLUSH)
+    runs = compaction.flush(_epochs(spark, d))
+    reports = loadstats.with_cooldown(loadstats.bursts(log.withColumnRenamed("segment", "shard"), "seq", 500))
+    raft, commit = _commit(spark, d)
+    nodes = quorum.node_states(raft, 0, commit)
+    counts = log.groupBy(F.col("segment").alias("shard")).agg(F.count(F.lit(1)).alias("ops"))
+    loads = counts.join(F.broadcast(counts.agg(F.max("ops").alias("_m")))).select("shard", (F.col("ops") / F.col("_m")).alias("load"))
+    moves = loadstats.recommendations(loads).select("from_shard", "to_shard", "confidence")
+    level = lambda i: F.count_distinct(F.when(F.col("level") == i, F.col("sst_id")))
+    lsm = metrics.nested(
+        "lsm",
+        writes.agg(F.sum(compaction.frame_bytes(log)).alias("wal_bytes")),
+        tables_.agg(F.max_by("approximate_size", "epoch").alias("memtable_size"), F.max_by("entry_count", "epoch").alias("memtable_entries")),
+        runs.agg(F.count_distinct("level", "sst_id").alias("sstable_count"), F.array(*[level(i) for i in range(4)]).alias("levels")),
+        log.agg(*[F.count_if(F.col("op") == o).alias(n) for o, n in (("PUT", "total_puts"), ("GET", "total_gets"), ("DEL", "total_deletes"))]),
+    )
+    rows = _telemetry(spark, d).select((F.col("tick") * 32 + F.col("shard")).alias("seq"))
+    pinn = metrics.nested("pinn", loadstats.ring(rows).agg(F.count(F.lit(1)).alias("telemetry_count"), F.lit(model.parameters()).alias("num_parameters")), metrics.structs_in_order(moves, "from_shard", "migrations"))
+    doc = metrics.document(
+        metrics.one_row(
+            policy.counters(log, answered),
+            live.agg(F.count(F.lit(1)).alias("cache_size"), F.lit("write-through").alias("write_mode"), F.lit(MAX_RATE).alias("traffic_rate"), F.lit(SEGMENTS).alias("segments"), F.lit(True).alias("server_running")),
+            metrics.in_order(residency.segment_sizes(spark, live), "segment", "keys", "segment_sizes"),
+            metrics.in_order(tables.traffic(spark, TRAFFIC).groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node", "n", "node_requests"),
+            reports.agg(F.count_if("reported").alias("flush_count"), F.count_if(F.col("reported") & F.col("heat_stroke")).alias("heatstroke_count")),
+            lsm,
+            metrics.nested("raft", commit, nodes.agg(F.max("leader_id").alias("leader_id")), metrics.structs_in_order(nodes.drop("leader_id"), "node_id", "nodes")),
+            pinn,
+            metrics.in_order(loadstats.event_ring(writes.select("seq", "op")), "seq", "op", "events"),
+        )
+    )
+    m = doc.select(F.from_json("metrics", DOC).alias("m")).select("m.*")
+    listed = lambda c, f=lambda x: x.cast("string"): F.array_join(F.transform(c, f), ",")
+    node = lambda x: F.concat_ws(":", x["node_id"], x["role"], x["term"], x["commit_index"], x["log_size"])
+    plain = ("cache_hits", "cache_misses", "write_through_ops", "write_back_ops", "cache_size", "write_mode", "flush_count", "heatstroke_count", "traffic_rate", "segments", "server_running")
+    return m.select(
+        *plain,
+        *[listed(c).alias(c) for c in ("segment_sizes", "node_requests", "events")],
+        *[F.col(f"lsm.{c}") for c in ("wal_bytes", "memtable_size", "memtable_entries", "sstable_count", "total_puts", "total_gets", "total_deletes")],
+        listed("lsm.levels").alias("levels"),
+        "raft.commit_index",
+        "raft.leader_id",
+        listed("raft.nodes", node).alias("nodes"),
+        "pinn.num_parameters",
+        "pinn.telemetry_count",
+        listed("pinn.migrations", lambda x: x["from_shard"].cast("string")).alias("migrations"),
+    )

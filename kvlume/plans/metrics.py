@@ -22,3 +22,16 @@ def one_row(*parts: DataFrame) -> DataFrame:
 
 def document(fields: DataFrame) -> DataFrame:
     return fields.select(F.to_json(F.struct(*fields.columns)).alias("metrics"))
+
+
+def nested(name: str, *parts: DataFrame) -> DataFrame:
+    """One-row frames as one struct column."""
+    row = one_row(*parts)
+    return row.select(F.struct(*row.columns).alias(name))
+
+
+def structs_in_order(df: DataFrame, order: str, name: str) -> DataFrame:
+    """One row: the rows by ``order``, which stands first in each, as an array of
+    structs; for a fixed number of rows."""
+    columns = [order, *[c for c in df.columns if c != order]]
+    return df.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
