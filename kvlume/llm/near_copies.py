@@ -110,7 +110,8 @@ def described(docs: DataFrame, text_col: str, name: str) -> DataFrame:
 
 def _sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """fp, n and members of the sets whose fp is in ``wanted``. A filter of fixed
-    size keeps most others from leaving the tasks that read the texts."""
+    size keeps most others from leaving the tasks that read the texts, and of
+    copies each task gives one."""
     spark = docs.sparkSession
     low = F.col("fp").bitwiseAND(F.lit(FILTER_BITS - 1))
     bits = np.zeros(FILTER_BITS, bool)
@@ -120,11 +121,14 @@ def _sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     asked = share(spark, np.packbits(bits))
 
     def start():
-        may = np.unpackbits(asked()).astype(bool)
+        may, given = np.unpackbits(asked()).astype(bool), set()
 
         def one(texts):
             sets, fp, _ = shingle_sets(texts)
             take = may[fp & (FILTER_BITS - 1)]
+            for i in np.flatnonzero(take).tolist():  # a task gives each set once, however many copies it reads
+                take[i] = fp[i] not in given
+                given.add(fp[i])
             return [pa.array(fp), pa.array([len(s) if t else -1 for s, t in zip(sets, take, strict=True)], pa.int64()), pa.array([s.view(np.int64) if t else None for s, t in zip(sets, take, strict=True)], pa.list_(pa.int64()))]
 
         return one
