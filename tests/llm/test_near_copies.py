@@ -95,3 +95,21 @@ def test_sketches_rule_out_without_error():
             words = near_copies.sketches([np.unique(base), np.unique(other), np.zeros(0, np.uint64)])
             turned = sum(int(np.bitwise_count(np.uint64(w.view(np.uint64)[0] ^ w.view(np.uint64)[1]))) for w in words)
             assert turned <= 2 * k and (n > 300 or k < 9 or turned > k) and all(w[2] == 0 for w in words)
+
+
+def test_edited_copies_leave_few_pairs(spark, monkeypatch):
+    """Copies of one text with up to six edits: what the leaders do not join is
+    few pairs, not a share of the group's square."""
+    r, seen = random.Random(8), []
+    base = [f"w{r.randrange(3000)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 300):
+        w = list(base)
+        for at in r.sample(range(150), 1 + k % 6):
+            w[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(w)))
+    verified = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda docs, text_col, pairs: (seen.append(pairs.count()), verified(docs, text_col, pairs))[1])
+    kept = near_copies.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x["doc_id"] for x in kept.collect()} == brute_kept(rows)
+    assert sum(seen[1:]) < len(rows) / 3, seen
