@@ -230,6 +230,20 @@ def test_suffix_tree_equals_naive(spark, head_words, grams):
         assert few == pytest.approx(full, rel=1e-6)
 
 
+@pytest.mark.parametrize("room", [{"contexts": 1}, {"contexts": 2, "grams": 5}, {"grams": 2}])
+def test_contexts_beyond_the_model_are_joined(spark, room):
+    """Scores do not depend on how many contexts and counts the model has room for."""
+    r = random.Random(2)
+    texts = [" ".join(w for k in range(r.randrange(1, 12)) for w in r.choice([["the", "cat"], ["on", "a", "mat"], ["a", "cat", "sat"], ["dog"], [f"rare{r.randrange(30)}"]])) for _ in range(60)]
+    train = [i % 5 != 1 for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(zip(texts, train, strict=True))], "doc_id long, text string, train boolean")
+    learnt = {w for t, k in zip(texts, train, strict=True) if k for w in low_words(t)}
+    want, _, two = naive_scores(texts, train, learnt, 2, 3, lm_score.MIN_DIVERGENCE)
+    assert two > 4
+    got = {x["doc_id"]: x["score"] for x in lm_score.score(docs, F.col("train"), min_count=2, context_count=3, **room).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-6)
+
+
 def test_tree_distributions_sum_to_one(spark):
     words = ["abra", "cad", "bra", "x", "abra cad"]
     docs = spark.createDataFrame([(" ".join(words * 3), True), ("abra cad bra", True), ("zz", False)], "text string, train boolean")
