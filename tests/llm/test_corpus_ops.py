@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kvlume.llm import components, lm_score, media, packing, queries, simhash, toxicity, warc
-from kvlume.llm.arrow import SPACED, Words
+from kvlume.llm.arrow import SPACED, Words, share_arrays
 
 ODD = [None, "", " \n\t", "a", "a b", "É é ÉÉ", "x" * 50_000, "word " * 3_000, "A b\tc\x0bd"]
 
@@ -244,6 +244,38 @@ def test_contexts_beyond_the_model_are_joined(spark, room):
     assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-6)
 
 
+def test_a_worker_holds_the_model_once(spark):
+    """Its tasks look into the arrays that the broadcast brought; none copies them."""
+    shared = share_arrays(spark, lm_score.Symbols(pa.array(["a ", "b "], pa.large_string()), np.array([3, 2]), 9, 3, 4))
+
+    def run(batches):
+        one, two = shared(), shared()
+        same = all(np.shares_memory(getattr(one, k), getattr(two, k)) and not getattr(one, k).flags.writeable for k in ("counts", "number", "share"))
+        same = same and one.words.buffers()[2].address == two.words.buffers()[2].address and one.words.to_pylist() == ["a ", "b "]
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([same and one.counts.tolist() == [3, 2]] * b.num_rows)], names=["ok"])
+
+    assert [r["ok"] for r in spark.range(4).mapInArrow(run, "ok boolean").collect()] == [True] * 4
+
+
+def test_symbols_meet_the_contexts_left_in_tables_in_one_exchange(spark):
+    at = lambda *x: sum(s << 20 * (len(x) - 1 - i) for i, s in enumerate(x))
+    away = spark.createDataFrame([(0, at(1, 2, 3), 0.5, 0.0), (1, at(1, 2, 3), 0.25, 0.125), (1, at(1, 2, 9), 0.5, 0.0), (2, at(7, 2, 3), 0.5, 0.125), (3, at(2, 3), 0.25, 0.125), (4, at(2, 4), 0.25, 0.125)], "_row long, _gram long, _p double, _step double")
+    contexts = spark.createDataFrame([(at(1, 2), 10), (at(1, 3), 5)], "c long, m long")
+    triples = spark.createDataFrame([(at(1, 2, 3), 4), (at(1, 2, 4), 6), (at(1, 3, 9), 5)], "gram long, n long")
+    k = 2 * 10**0.8
+    long = lambda n, p: (n + k * p) / (10 + k)
+    for pairs, two in ((None, 0), (spark.createDataFrame([(at(2, 3), 2)], "gram long, n long"), 2)):
+        asked = away if pairs is not None else away.withColumn("_step", F.lit(0.0)).where(F.col("_gram") >= 1 << 40)
+        got = lm_score.joined(asked, lm_score.Rest(pairs, contexts, triples))
+        want = [(0, long(4, 0.5)), (1, long(0, 0.5)), (1, long(4, 0.25 + 0.125 * two)), (2, 0.5 + 0.125 * two)]
+        want += [(3, 0.25 + 0.125 * two), (4, 0.25)] if two else []
+        assert sorted((r["_row"], r["_p"]) for r in got.collect()) == [(r, pytest.approx(p)) for r, p in sorted(want)]
+        if pairs is None:
+            plan = got._jdf.queryExecution().sparkPlan().toString()
+            assert "Join" not in plan and got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_tree_distributions_sum_to_one(spark):
     words = ["abra", "cad", "bra", "x", "abra cad"]
     docs = spark.createDataFrame([(" ".join(words * 3), True), ("abra cad bra", True), ("zz", False)], "text string, train boolean")
