@@ -6,8 +6,10 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import os
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kvlume.llm import components, lm_score, media, packing, queries, simhash, toxicity, warc
-from kvlume.llm.arrow import SPACED, Words, share_arrays
+from kvlume.llm.arrow import SPACED, Words, give_back, share_arrays
 
 ODD = [None, "", " \n\t", "a", "a b", "É é ÉÉ", "x" * 50_000, "word " * 3_000, "A b\tc\x0bd"]
 
@@ -244,6 +246,17 @@ def test_contexts_beyond_the_model_are_joined(spark, room):
     assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-6)
 
 
+def test_free_memory_goes_back_between_tasks():
+    """A worker that Spark keeps does not stay as large as its largest task."""
+    rss = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    held = [bytes(1000) for _ in range(200_000)]
+    last = held.pop()  # above the others, so that they are not given back by themselves
+    del held
+    before = rss()
+    give_back()
+    assert rss() < before - 100e6 and len(last) == 1000
+
+
 def test_a_worker_holds_the_model_once(spark):
     """Its tasks look into the arrays that the broadcast brought; none copies them."""
     shared = share_arrays(spark, lm_score.Symbols(pa.array(["a ", "b "], pa.large_string()), np.array([3, 2]), 9, 3, 4))
@@ -260,20 +273,27 @@ def test_a_worker_holds_the_model_once(spark):
 
 def test_symbols_meet_the_contexts_left_in_tables_in_one_exchange(spark):
     at = lambda *x: sum(s << 20 * (len(x) - 1 - i) for i, s in enumerate(x))
-    away = spark.createDataFrame([(0, at(1, 2, 3), 0.5, 0.0), (1, at(1, 2, 3), 0.25, 0.125), (1, at(1, 2, 9), 0.5, 0.0), (2, at(7, 2, 3), 0.5, 0.125), (3, at(2, 3), 0.25, 0.125), (4, at(2, 4), 0.25, 0.125)], "_row long, _gram long, _p double, _step double")
-    contexts = spark.createDataFrame([(at(1, 2), 10), (at(1, 3), 5)], "c long, m long")
+    asked = [(0, at(1, 2, 3), 5), (1, at(1, 2, 3), -1), (1, at(1, 2, 9), 0), (2, at(7, 3, 4), 1)]
+    contexts = spark.createDataFrame([(at(1, 2), 10.0), (at(1, 3), 5.0)], "c long, m double")
     triples = spark.createDataFrame([(at(1, 2, 3), 4), (at(1, 2, 4), 6), (at(1, 3, 9), 5)], "gram long, n long")
+    before = spark.createDataFrame([(2, 2.0, 6.0, True), (3, 2.0, 6.0, False)], "b long, weight double, seen double, state boolean")
+    share = spark.createDataFrame([(3, 0.5), (4, 0.25), (9, 0.125)], "x long, share double")
     k = 2 * 10**0.8
-    long = lambda n, p: (n + k * p) / (10 + k)
-    for pairs, two in ((None, 0), (spark.createDataFrame([(at(2, 3), 2)], "gram long, n long"), 2)):
-        asked = away if pairs is not None else away.withColumn("_step", F.lit(0.0)).where(F.col("_gram") >= 1 << 40)
-        got = lm_score.joined(asked, lm_score.Rest(pairs, contexts, triples))
-        want = [(0, long(4, 0.5)), (1, long(0, 0.5)), (1, long(4, 0.25 + 0.125 * two)), (2, 0.5 + 0.125 * two)]
-        want += [(3, 0.25 + 0.125 * two), (4, 0.25)] if two else []
+    long = lambda n, pair, share: (n + k * (pair + 2 * share) / 8) / (10 + k)
+    for pairs in (None, spark.createDataFrame([(at(2, 3), 2)], "gram long, n long")):
+        own = [r for r in asked if pairs is not None or r[2] >= 0]
+        got = lm_score.far(spark.createDataFrame(own, "_row long, _triple long, _n long"), lm_score.Rest(pairs, contexts, triples, before, share))
+        want = [(0, long(4, 5, 0.5)), (1, long(0, 0, 0.125)), (2, 0.25)] + ([(1, long(4, 2, 0.5))] if pairs is not None else [])
         assert sorted((r["_row"], r["_p"]) for r in got.collect()) == [(r, pytest.approx(p)) for r, p in sorted(want)]
         if pairs is None:
-            plan = got._jdf.queryExecution().sparkPlan().toString()
-            assert "Join" not in plan and got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+            plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+            assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_the_room_is_filled_count_by_count(spark):
+    """46 and 47 fall into one eighth of an octave; only 47 has room."""
+    counts = spark.createDataFrame([(i, n) for i, n in enumerate([5000, 5000, 47, 47, 46, 46, 46])], "c long, n long")
+    assert [lm_score._most(counts, room) for room in (1, 2, 3, 4, 6, 7)] == [1 << 62, 5000, 5000, 47, 47, 46]
 
 
 def test_tree_distributions_sum_to_one(spark):
