@@ -53,20 +53,24 @@ def segment_sizes(spark: SparkSession, keys: DataFrame) -> DataFrame:
     return every.join(counted, "segment", "left").select("segment", F.coalesce("n", F.lit(0).cast("long")).alias("keys"))
 
 
-def hits(log: DataFrame, capacity: int, chunk: int = 20_000, group: int = 1_000) -> DataFrame:
+def hits(log: DataFrame, capacity: int, chunk: int = 20_000, group: int = 1_000, parts: int | None = None) -> DataFrame:
     """``seq``, ``segment``, ``key`` and ``hit`` of a delete-free trace in which
     every access admits its key; exact, by chunks of ``chunk`` sequence numbers.
     Chunk summaries are folded within groups of ``group`` chunks, and group
-    summaries before them, so no task holds those of a whole trace."""
-    chunked = log.select("segment", F.floor(F.col("seq") / chunk).cast("long").alias("chunk"), "seq", "key")
-    last = chunked.groupBy("segment", "chunk", "key").agg(F.max("seq").alias("at"))
-    newest_first = Window.partitionBy("segment", "chunk").orderBy(F.desc("at"))
-    summary = last.withColumn("r", F.row_number().over(newest_first)).where(F.col("r") <= capacity).drop("r").withColumn("group", F.floor(F.col("chunk") / group).cast("long"))
-
-    def fold_(pdf: pd.DataFrame, held: OrderedDict) -> pd.DataFrame:
-        """What is held before each chunk, oldest first, if ``held`` is at first."""
-        out = []
-        for number, own in pdf.sort_values(["chunk", "at"]).groupby("chunk", sort=True):
+    summaries before them, so no task holds those of a whole trace. The accesses
+    are dealt out once, to ``parts`` tasks, for both the summaries and the replay."""
+    pair, dealt_to = ("segment", "chunk"), (parts,) if parts else ()
+    chunked = log.select("segment", F.floor(F.col("seq") / chunk).cast("long").alias("chunk"), "seq", "key").repartition(*dealt_to, *pair)
+    last = chunked.groupBy(*pair, "key").agg(F.max("seq").alias("at"))
+    newest_first = Window.partitionBy(*pair).orderBy(F.desc("at"))
+    newest = last.withColumn("r", F.row_number().over(newest_first)).where(F.col("r") <= capacity)
+    summary = newest.select("segment", F.floor(F.col("chunk") / group).cast("long").alias("group"), "key", "at").repartition(*dealt_to, "segment", "group")
+
+    def fold_(pdf: pd.DataFrame, held: OrderedDict, width: int) -> pd.DataFrame:
+        """What is held before each chunk of ``width`` numbers, oldest first, if
+        ``held`` is at first."""
+        out, ordered = [], pdf.sort_values("at")
+        for number, own in ordered.groupby(ordered["at"] // width, sort=True):
             out.append((int(pdf["segment"].iloc[0]), number, list(held)))
             for key in own["key"]:
                 held.pop(key, None)
@@ -78,13 +82,13 @@ def hits(log: DataFrame, capacity: int, chunk: int = 20_000, group: int = 1_000)
     def within(key, own: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if not len(own):
             return pd.DataFrame(columns=["segment", "chunk", "held"])
-        return fold_(own, OrderedDict((k, True) for k in (state["held"].iloc[0] if len(state) else [])))
+        return fold_(own, OrderedDict((k, True) for k in (state["held"].iloc[0] if len(state) else [])), chunk)
 
     held = "segment int, chunk long, held array<string>"
     by_group = summary.groupBy("segment", "group", "key").agg(F.max("at").alias("at"))
     newest_of_group = Window.partitionBy("segment", "group").orderBy(F.desc("at"))
-    groups = by_group.withColumn("r", F.row_number().over(newest_of_group)).where(F.col("r") <= capacity).select("segment", F.col("group").alias("chunk"), "key", "at")
-    first = groups.groupBy("segment").applyInPandas(lambda pdf: fold_(pdf, OrderedDict()), held).withColumnRenamed("chunk", "group")
+    groups = by_group.withColumn("r", F.row_number().over(newest_of_group)).where(F.col("r") <= capacity).select("segment", "key", "at")
+    first = groups.groupBy("segment").applyInPandas(lambda pdf: fold_(pdf, OrderedDict(), chunk * group), held).withColumnRenamed("chunk", "group")
     begin = summary.groupBy("segment", "group").cogroup(first.groupBy("segment", "group")).applyInPandas(within, held)
 
     def replay(key, accesses: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
@@ -102,7 +106,6 @@ def hits(log: DataFrame, capacity: int, chunk: int = 20_000, group: int = 1_000)
                     held.popitem(last=False)
         return own.assign(hit=found)[["seq", "segment", "key", "hit"]]
 
-    pair = ("segment", "chunk")
     return chunked.groupBy(*pair).cogroup(begin.groupBy(*pair)).applyInPandas(replay, "seq long, segment int, key string, hit boolean")
 
 

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str, name: str, rows: int = 250_000) -> int:
+    """Tasks that take a table's rows in shares of about ``rows`` at any size, and
+    no fewer than there are cores. The rows are counted in the files' footers."""
+    return max(spark.sparkContext.defaultParallelism, 1 + table(spark, sf_dir, name).count() // rows)
+
+
 def kv_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, ts, key, op, value, segment: the events as keyed operations."""
     kind = F.col("event_type")
@@ -24,9 +30,10 @@ def kv_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, key, segment: part accesses by line item, in the order of the items;
-    there are no deletes."""
+    there are no deletes. Ranges of order keys are so narrow that tasks get about
+    equal shares."""
     ties = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    items = rank(table(spark, sf_dir, "lineitem").select("l_orderkey", *ties), "l_orderkey", "seq", ties=ties)
+    items = rank(table(spark, sf_dir, "lineitem").select("l_orderkey", *ties), "l_orderkey", "seq", 8_192, ties=ties, parts=parts(spark, sf_dir, "lineitem"))
     return items.select("seq", F.concat(F.lit("part:"), F.col("l_partkey")).alias("key")).withColumn("segment", segment_of(F.col("key")))
 
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from kvlume.functions.hashing import segment_of
+from kvlume.functions.prefix import rank
 from kvlume.operators import residency
 from kvlume.operators.residency import Lru
 from kvlume.schemas import segment_capacity
+from kvlume.sources import tables
 
 
 class Plain:
@@ -111,6 +114,32 @@ def test_chunked_hits_equal_simulator(spark, chunk):
         assert got[seq] == caches.setdefault(segment[key], Plain(5)).access("PUT", key)
 
 
+def test_shares_of_a_trace_do_not_grow_with_it(spark):
+    """Each task sorts about as many rows at any size, in ranking and in replay."""
+    share = F.spark_partition_id().alias("task")
+    for n in (20_000, 80_000):
+        parts = n // 2_500
+        ranked = rank(spark.range(n), "id", "seq", 100, parts=parts)
+        assert ranked.where(F.col("seq") != F.col("id") + 1).count() == 0
+        log = ranked.select("seq", F.concat(F.lit("k"), F.col("id") * 7 % 501).alias("key")).withColumn("segment", segment_of(F.col("key")))
+        for rows in (ranked, residency.hits(log, 5, 500, 3, parts=parts)):
+            sizes = [r["count"] for r in rows.select(share).groupBy("task").count().collect()]
+            assert sum(sizes) == n and max(sizes) < 2.5 * 2_500
+
+
+def test_hits_rank_a_trace_once(spark, sf):
+    """Summaries and replay read one exchange."""
+    got = residency.hits(tables.access_log(spark, sf), 5, 500, 3, parts=9)
+    assert len(got.collect()) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"Sort \[_b#\d+L ASC NULLS FIRST, l_orderkey", final)) == 1
+
+
+def test_tasks_for_a_table(spark, sf):
+    assert tables.parts(spark, sf, "lineitem", 100) == 61
+    assert tables.parts(spark, sf, "lineitem") == spark.sparkContext.defaultParallelism
+
+
 def test_empty_log(spark):
     log = spark.createDataFrame([], "seq long, key string, segment int, op string, value double")
     assert residency.hits(log, 3).count() == residency.fold(log, 3).count() == residency.resident(log, 3).count() == 0
