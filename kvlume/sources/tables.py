@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str, name: str, rows: int = 250_000) -> int:
-    """Tasks that take a table's rows in shares of about ``rows`` at any size, and
-    no fewer than there are cores. The rows are counted in the files' footers."""
-    return max(spark.sparkContext.defaultParallelism, 1 + table(spark, sf_dir, name).count() // rows)
+    """Tasks that take a table's rows in shares of about ``rows``, no fewer than
+    there are cores and no more than the 200 up to which Spark writes a shuffle
+    without holding a task's input in memory; larger tables get larger shares.
+    The rows are counted in the files' footers."""
+    return max(spark.sparkContext.defaultParallelism, min(200, 1 + table(spark, sf_dir, name).count() // rows))
 
 
 def kv_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,7 +136,7 @@ def test_hits_rank_a_trace_once(spark, sf):
 
 
 def test_tasks_for_a_table(spark, sf):
-    assert tables.parts(spark, sf, "lineitem", 100) == 61
+    assert tables.parts(spark, sf, "lineitem", 100) == 61 and tables.parts(spark, sf, "lineitem", 10) == 200
     assert tables.parts(spark, sf, "lineitem") == spark.sparkContext.defaultParallelism
 
 
